@@ -88,7 +88,7 @@ def emotion_tags(hits: Column, lexicon: Lexicon) -> Column:
 def wants_to_leave(text: Column, lexicon: Lexicon) -> Column:
     if not lexicon.leaving:
         return F.lit(False)
-    return text.rlike("(?iu)" + "|".join(lexicon.leaving))
+    return text.rlike("(?iU)" + "|".join(lexicon.leaving))
 
 
 def action_signal(sentiment: Column, themes: Column, leaving: Column) -> Column:
