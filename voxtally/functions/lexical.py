@@ -5,10 +5,12 @@ from math import lcm
 from pyspark.sql import Column, functions as F
 
 from voxtally import constants as K
-from voxtally.functions.text import bind, compact, ngrams, sentences, term_counts, tokens
+from voxtally.functions.text import bind, compact, sentences, term_counts, tokens
 from voxtally.lexicon import Lexicon
 
 KEY_TERMS = 8
+# Languages their script gives away.
+SCRIPTS = {"hi": r"\p{IsDevanagari}", "zh": r"\p{IsHan}"}
 
 
 def matches(toks: Column, terms) -> Column:
@@ -72,7 +74,7 @@ def ranked_themes(hits: Column, lexicon: Lexicon) -> Column:
         )
         for i, theme in enumerate(K.THEMES)
     ])
-    found = F.array_sort(F.filter(counted, lambda s: s["minus"] < 0))
+    found = F.sort_array(F.filter(counted, lambda s: s["minus"] < 0))
     return F.transform(F.slice(found, 1, 3), lambda s: s["theme"])
 
 
@@ -86,9 +88,10 @@ def emotion_tags(hits: Column, lexicon: Lexicon) -> Column:
 
 
 def wants_to_leave(text: Column, lexicon: Lexicon) -> Column:
+    """Whether a leaving pattern, written in lower case, occurs in the text in any case."""
     if not lexicon.leaving:
         return F.lit(False)
-    return text.rlike("(?iU)" + "|".join(lexicon.leaving))
+    return F.lower(text).rlike("(?U)" + "|".join(lexicon.leaving))
 
 
 def action_signal(sentiment: Column, themes: Column, leaving: Column) -> Column:
@@ -126,10 +129,9 @@ def language(text: Column, toks: Column, lexicon: Lexicon) -> Column:
         rows = []
         for i, lang in enumerate(K.LANGUAGES):
             score = _weight(hits, evidence(set(lexicon.function_words.get(lang, []))))
-            if lang == "zh":
-                score = score + F.regexp_count(text, F.lit(r"\p{IsHan}")) * unit
-            if lang == "hi":
-                score = score + F.regexp_count(text, F.lit(r"\p{IsDevanagari}")) * unit
+            if lang in SCRIPTS:
+                letters = F.regexp_count(text, F.lit(SCRIPTS[lang])) * unit
+                score = score + F.when(text.rlike(SCRIPTS[lang]), letters).otherwise(0)
             rows.append(F.struct(score.alias("score"), F.lit(-i).alias("ord"),
                                  F.lit(lang).alias("lang")))
         best = F.array_max(F.array(*rows))
@@ -141,12 +143,11 @@ def language(text: Column, toks: Column, lexicon: Lexicon) -> Column:
 def key_terms(toks: Column, lexicon: Lexicon, n: int = KEY_TERMS) -> Column:
     """The row's n most frequent words of three letters or more that are no function
     words, ties in alphabetical order."""
-    stop = lexicon.stop_words
-    content = F.filter(toks, lambda t: ~t.isin(stop) & (F.length(t) >= 3))
+    content = F.filter(toks, lambda t: content_word(t, lexicon, 3))
     order = F.transform(
         term_counts(content), lambda s: F.struct((-s["tf"]).alias("minus"), s["term"].alias("term"))
     )
-    return F.transform(F.slice(F.array_sort(order), 1, n), lambda s: s["term"])
+    return F.transform(F.slice(F.sort_array(order), 1, n), lambda s: s["term"])
 
 
 def lead_sentence(text: Column, terms: Column) -> Column:
@@ -169,16 +170,6 @@ def lead_sentence(text: Column, terms: Column) -> Column:
     ))
 
 
-def phrase_candidates(toks: Column, lexicon: Lexicon) -> Column:
-    """Content words of four letters or more, and pairs of neighbouring ones."""
-    stop = lexicon.stop_words
-
-    def content(t):
-        return ~t.isin(stop) & (F.length(t) >= 4)
-
-    pairs = F.filter(
-        ngrams(toks, 2),
-        lambda p: content(F.split_part(p, F.lit(" "), F.lit(1)))
-        & content(F.split_part(p, F.lit(" "), F.lit(2))),
-    )
-    return F.concat(F.filter(toks, content), pairs)
+def content_word(term: Column, lexicon: Lexicon, least: int) -> Column:
+    """No function word, and of at least so many letters."""
+    return ~term.isin(lexicon.stop_words) & (F.length(term) >= least)

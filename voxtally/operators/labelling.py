@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from voxtally import constants as K
 from voxtally.functions import lexical as L
 from voxtally.functions.labeljson import chunk_labels
-from voxtally.functions.text import term_counts, tokens
+from voxtally.functions.text import tokens
 from voxtally.lexicon import DEFAULT, Lexicon
 from voxtally.operators.joins import lookup_join
 
@@ -80,22 +80,33 @@ def lexicon_labels(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT
     )
 
 
+def phrases(df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """``(id, term)`` for every content word of four letters or more and every pair of
+    neighbouring ones, as often as they occur."""
+    words = df.select(id_, tokens(F.col(text)).alias("_t")).select(
+        id_, F.inline(F.arrays_zip(
+            F.col("_t").alias("word"), F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))).alias("next")
+        ))
+    ).filter(L.content_word(F.col("word"), lexicon, 4))
+    pair = F.when(
+        L.content_word(F.col("next"), lexicon, 4), F.concat_ws(" ", "word", "next")
+    )
+    return words.select(id_, F.explode(F.array("word", pair)).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
+
+
 def key_phrases(
     df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4, **join
 ) -> DataFrame:
-    """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``.
-
-    Counting within a text is done in its row, so the phrases are shuffled once to
-    meet their document frequencies and once to be ranked.
-    """
-    per_row = df.select(
-        id_,
-        F.inline(term_counts(L.phrase_candidates(tokens(F.col(text)), lexicon))),
+    """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``."""
+    per_text = phrases(df, id_, text, lexicon).groupBy(id_, "term").agg(
+        F.count(F.lit(1)).alias("tf")
     )
-    frequency = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)))
     scored = lookup_join(
-        per_row, frequency.withColumnRenamed("n", "df"), "term", id_, counts=frequency, **join
+        per_text, frequency.withColumnRenamed("n", "df"), "term", id_, counts=frequency, **join
     ).withColumn("score", F.round(F.col("tf") * F.log(total.scalar() / F.col("df")), 6))
     best = Window.partitionBy(id_).orderBy(F.desc("score"), "term")
     return (

@@ -57,9 +57,12 @@ def split(checked: DataFrame) -> DataFrame:
 
 def error_lines(checked: DataFrame) -> DataFrame:
     """One line per broken rule: ``pos``, ``err_ord`` and ``error``."""
-    return checked.select("pos", "shown_id", F.posexplode("errors").alias("err_ord", "e")).select(
-        "pos", "err_ord", V.error_line(F.col("pos"), F.col("shown_id"), F.col("e")).alias("error")
-    )
+    # The outer form keeps Spark from computing the errors a second time in a filter.
+    exploded = checked.select(
+        "pos", "shown_id", F.posexplode_outer("errors").alias("err_ord", "e")
+    ).filter(F.col("e").isNotNull())
+    line = V.error_line(F.col("pos"), F.col("shown_id"), F.col("e"))
+    return exploded.select("pos", "err_ord", line.alias("error"))
 
 
 def first_errors(checked: DataFrame, n: int = K.REPORTED_ERRORS) -> DataFrame:

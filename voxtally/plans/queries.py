@@ -18,6 +18,7 @@ from voxtally.plans import views
 from voxtally.plans.views import PROSE
 from voxtally.schemas import ANALYZED_FIELDS, LABEL_FIELDS
 from voxtally.sources import files, tables
+from voxtally.sources.checkpoints import settle
 
 SEP = "|"
 
@@ -430,12 +431,17 @@ def _counts(spark, sf):
     return stats.cohort_counts(views.analyzed_rows(spark, sf))
 
 
+def _settled_counts(spark, sf):
+    """For reports that read the counts more than once: the rows are scored a single time."""
+    return settle(_counts(spark, sf))
+
+
 def freq_tables(spark, sf):
     return stats.frequencies(_counts(spark, sf)).select("dim", "value", "n")
 
 
 def cohort_stats(spark, sf):
-    return stats.cohort_stats(_counts(spark, sf)).select(
+    return stats.cohort_stats(_settled_counts(spark, sf)).select(
         "total", "avg_burnout_score", "urgent_action_count",
         F.array_join("top_themes", SEP).alias("top_themes"),
         *[_pairs(c).alias(c) for c in (
@@ -458,7 +464,7 @@ def kpi_tiles(spark, sf):
 
 
 def value_counts(spark, sf):
-    counts = _counts(spark, sf)
+    counts = _settled_counts(spark, sf)
     return stats.value_counts(counts, "sentiment").unionByName(
         stats.value_counts(counts, "burnout_risk_level")
     )
@@ -576,15 +582,15 @@ def text_topk(spark, sf):
 
 
 def report_queries(spark, sf):
-    return report.queries(_counts(spark, sf))
+    return report.queries(_settled_counts(spark, sf))
 
 
 def report_context(spark, sf):
-    return report.references(report.context(_counts(spark, sf), tables.kb_seed(spark)))
+    return report.references(report.context(_settled_counts(spark, sf), tables.kb_seed(spark)))
 
 
 def report_findings(spark, sf):
-    return report.findings(_counts(spark, sf))
+    return report.findings(_settled_counts(spark, sf))
 
 
 def report_actions(spark, sf):
@@ -592,7 +598,7 @@ def report_actions(spark, sf):
 
 
 def report_json(spark, sf):
-    return files.as_json(report.report(_counts(spark, sf), tables.kb_seed(spark)), "report")
+    return files.as_json(report.report(_settled_counts(spark, sf), tables.kb_seed(spark)), "report")
 
 
 # -- synthetic data --------------------------------------------------------------------
