@@ -13,6 +13,7 @@ def lookup_join(
     how: str = "inner",
     counts: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` to the one row per key of ``lookup``.
 
@@ -20,7 +21,9 @@ def lookup_join(
     ``spread_by``, and its lookup row is repeated once per part; every other key joins as
     it is. Only the heavy keys are broadcast: there are fewer than
     (number of rows / heavy_rows) of them whatever the data looks like, a million for
-    10^12 rows. ``counts(key, n)`` saves the counting pass when the caller has it.
+    10^12 rows. ``counts(key, n)`` saves the counting pass when the caller has it;
+    ``hint="merge"`` keeps Spark from broadcasting a lookup whose size it cannot tell, such
+    as a vocabulary.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -41,4 +44,6 @@ def lookup_join(
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
+    if hint:
+        right = right.hint(hint)
     return left.join(right, [key, "_part"], how).drop("_part")

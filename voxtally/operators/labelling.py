@@ -106,7 +106,8 @@ def key_phrases(
     frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)))
     scored = lookup_join(
-        per_text, frequency.withColumnRenamed("n", "df"), "term", id_, counts=frequency, **join
+        per_text, frequency.withColumnRenamed("n", "df"), "term", id_, counts=frequency,
+        hint="merge", **join
     ).withColumn("score", F.round(F.col("tf") * F.log(total.scalar() / F.col("df")), 6))
     best = Window.partitionBy(id_).orderBy(F.desc("score"), "term")
     return (
