@@ -159,7 +159,7 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     survey(spark, [(9, "r9", "Great tools and good software")]).write.mode("append").parquet(source)
     write_stream(analyze_stream(stream), out, mark).awaitTermination(120)
     got = spark.read.parquet(out)
-    assert got.columns == ANALYZED_FIELDS
+    assert got.columns == ["pos", *ANALYZED_FIELDS]
     want = analyze_stream(spark.read.parquet(source))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert {r["response_id"] for r in got.collect()} == {"r0", "r2", "r9"}

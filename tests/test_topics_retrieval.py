@@ -80,7 +80,7 @@ def test_prediction_and_confidence(spark):
 
 
 def test_encoder_and_stored_model(spark, tmp_path):
-    texts = spark.createDataFrame([(f"word{i % 3} common text",) for i in range(12)], "text string")
+    texts = spark.createDataFrame([(f"word{'abc'[i % 3]} common text",) for i in range(12)], "text string")
     encoder = topics.fit_encoder(texts, features=32)
     vectors = topics.encode(encoder, texts)
     assert all(abs(r["features"].norm(2) - 1) < 1e-9 for r in vectors.collect())

@@ -27,7 +27,9 @@ def enrich(records: DataFrame, labels: DataFrame, spread_by: str = "pos", **join
     return lookup_join(records, labels, "response_id", spread_by, **join)
 
 
-def with_topics(rows: DataFrame, topics: DataFrame | None, spread_by: str = "pos") -> DataFrame:
+def with_topics(
+    rows: DataFrame, topics: DataFrame | None, spread_by: str = "pos", **join
+) -> DataFrame:
     """Adds the topic columns; rows without a topic, or a run without topics, get defaults."""
     fields = ["topic_id", "topic_label", "topic_keywords"]
     if topics is None:
@@ -35,7 +37,7 @@ def with_topics(rows: DataFrame, topics: DataFrame | None, spread_by: str = "pos
             rows = rows.withColumn(f, F.lit(None).cast(kind))
     else:
         rows = lookup_join(
-            rows, topics.select("response_id", *fields), "response_id", spread_by, "left"
+            rows, topics.select("response_id", *fields), "response_id", spread_by, "left", **join
         )
     return rows.withColumns({
         "topic_id": F.coalesce("topic_id", F.lit(K.NO_TOPIC)),
@@ -44,10 +46,10 @@ def with_topics(rows: DataFrame, topics: DataFrame | None, spread_by: str = "pos
     })
 
 
-def analyzed(rows: DataFrame) -> DataFrame:
-    """The 18 columns of the result table."""
+def result(rows: DataFrame) -> DataFrame:
+    """``pos`` and the 18 columns of the result table."""
     return rows.withColumnsRenamed({
         "risk_score": "burnout_risk_score",
         "risk_level": "burnout_risk_level",
         "risk_factors": "burnout_risk_factors",
-    }).select(*ANALYZED_FIELDS)
+    }).select("pos", *ANALYZED_FIELDS)

@@ -120,12 +120,19 @@ def keywords_by_similarity(
     broadcast list has at most topics × candidates rows.
     """
     listed = keywords(docs, topic, text, candidates).select(topic, "term")
-    vec = array_to_vector(V.doubles(F.col(vector)))
     words = docs.select(
-        vec.alias("v"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")
+        V.doubles(F.col(vector)).alias("v"),
+        F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"),
     ).join(F.broadcast(listed.select("term").distinct()), "term")
-    term_vectors = words.groupBy("term").agg(
-        vector_to_array(Summarizer.mean(F.col("v"))).alias("tv")
+    # One counter per term and dimension: the vectors are added up where they are read.
+    term_vectors = (
+        words.select("term", F.posexplode("v").alias("i", "x"))
+        .groupBy("term", "i")
+        .agg(F.avg("x").alias("x"))
+        .groupBy("term")
+        .agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]
+        ).alias("tv"))
     )
     topic_vectors = centroids(docs, topic, vector)
     best = Window.partitionBy(topic).orderBy(F.desc("similarity"), "term")

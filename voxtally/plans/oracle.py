@@ -478,34 +478,47 @@ def histogram(bounds, label: str) -> str:
     )
 
 
-ORACLE = {
-    "analyze": f"""{ANALYZED}
-SELECT response_id, {masked('text')} AS anonymized_text, department, language AS language_detected,
-  sentiment, sentiment_confidence, primary_theme,
-  array_to_string(secondary_themes, {SEP}) AS secondary_themes, '' AS key_phrases, '' AS summary_en,
+RESULT = f"""response_id, scored.text AS anonymized_text, department, language_detected, sentiment,
+  sentiment_confidence, primary_theme, array_to_string(secondary_themes, {SEP}) AS secondary_themes,
+  array_to_string(terms[1:4], {SEP}) AS key_phrases, lead AS summary_en,
   array_to_string(emotion_tags, {SEP}) AS emotion_tags, action_signal, -1 AS topic_id,
   'N/A' AS topic_label, '' AS topic_keywords, risk_score AS burnout_risk_score,
-  risk_level AS burnout_risk_level, risk_factors AS burnout_risk_factors
-FROM scored""",
-    "analyze_lexicon": f"""WITH {VALID},
-masked AS (SELECT pos, response_id, department, {masked('text')} AS text FROM valid),
-{lexical('masked')},
-joined AS (
+  risk_level AS burnout_risk_level, risk_factors AS burnout_risk_factors"""
+
+
+def joined_labels(source: str) -> str:
+    """CTE ``joined``: ``source`` with its lexical labels."""
+    return f"""joined AS (
   SELECT m.*, sentiment, sentiment_confidence, primary_theme, secondary_themes, emotion_tags,
     language_detected, terms, lead, {action(
         'sentiment', 'list_concat([primary_theme], secondary_themes)',
         f"regexp_matches(m.text, {q(LEAVING)})")} AS action_signal
-  FROM masked m JOIN sent USING (response_id) JOIN themes USING (response_id)
+  FROM {source} m JOIN sent USING (response_id) JOIN themes USING (response_id)
     JOIN emo USING (response_id) JOIN lang USING (response_id) JOIN keys USING (response_id)
-    JOIN lead USING (response_id)),
-{scored('joined')}
-SELECT response_id, text AS anonymized_text, department, language_detected, sentiment,
-  sentiment_confidence, primary_theme, array_to_string(secondary_themes, {SEP}) AS secondary_themes,
-  array_to_string(terms[1:4], {SEP}) AS key_phrases, lead AS summary_en,
+    JOIN lead USING (response_id))"""
+
+
+ORACLE = {
+    "analyze": f"""{ANALYZED}
+SELECT response_id, {masked('text')} AS anonymized_text, department, language AS language_detected,
+  sentiment, sentiment_confidence, primary_theme,
+  array_to_string(secondary_themes, {SEP}) AS secondary_themes, '' AS key_phrases, '' AS summary_en,
   array_to_string(emotion_tags, {SEP}) AS emotion_tags, action_signal, -1 AS topic_id,
   'N/A' AS topic_label, '' AS topic_keywords, risk_score AS burnout_risk_score,
   risk_level AS burnout_risk_level, risk_factors AS burnout_risk_factors
 FROM scored""",
+    "analyze_lexicon": f"""WITH {VALID},
+masked AS (SELECT pos, response_id, department, {masked('text')} AS text FROM valid),
+{lexical('masked')}, {joined_labels('masked')}, {scored('joined')}
+SELECT {RESULT} FROM scored""",
+    "analyze_repeated": f"""WITH survey AS (
+  SELECT turn AS pos, 'c' || conv_id AS response_id, text, role AS department FROM conversations),
+valid AS (SELECT *, {STRIPPED} AS stripped FROM survey
+  WHERE length(text) BETWEEN 5 AND 5000 AND length({STRIPPED}) > 0),
+masked AS (SELECT response_id, arg_max({masked('stripped')}, pos) AS text FROM valid GROUP BY 1),
+{lexical('masked')}, {joined_labels('masked')}, {scored('joined')}
+SELECT v.pos, v.department, {RESULT.replace(' department,', '')}
+FROM scored JOIN valid v USING (response_id)""",
     "analyze_summary": f"""WITH {CHECKED}
 SELECT count(*) FILTER (msg IS NULL) AS total_processed,
   count(msg) AS validation_errors FROM checked""",

@@ -14,7 +14,7 @@ from voxtally.functions import lexical as L
 from voxtally.operators import (
     burnout, labelling, masking, merge, report, retrieval, stats, synth, topics, validate,
 )
-from voxtally.plans import views
+from voxtally.plans import analysis, views
 from voxtally.plans.views import PROSE
 from voxtally.schemas import ANALYZED_FIELDS, LABEL_FIELDS
 from voxtally.sources import files, tables
@@ -411,10 +411,32 @@ def analyze(spark, sf):
     return _flat(views.analyzed_rows(spark, sf).select(*ANALYZED_FIELDS))
 
 
+def _prose_labeller(rows):
+    return labelling.lexicon_labels(rows, "anonymized_text", PROSE)
+
+
 def analyze_lexicon(spark, sf):
-    masked = masking.mask(validate.valid(_checked(spark, sf)))
-    scored = burnout.score(labelling.lexicon_labels(masked, "anonymized_text", PROSE))
-    return _flat(merge.analyzed(merge.with_topics(scored, None)))
+    """The analysis with labels read from the texts."""
+    return _flat(analysis.analyze(
+        views.survey_raw(spark, sf), _prose_labeller, unique_ids=True
+    ).select(*ANALYZED_FIELDS))
+
+
+def analyze_repeated(spark, sf):
+    """The analysis where ids repeat: every turn of a conversation carries the same id."""
+    turns = _read(spark, sf, "conversations").select(
+        F.col("turn").alias("pos"), F.concat(F.lit("c"), F.col("conv_id")).alias("response_id"),
+        "text", F.col("role").alias("department"),
+    )
+    return _flat(analysis.analyze(turns, _prose_labeller))
+
+
+def analyze_topics(spark, sf):
+    """The analysis with topic modelling switched on."""
+    return _flat(analysis.analyze(
+        views.survey_raw(spark, sf), views.with_drawn_labels, run_topics=True,
+        unique_ids=True,
+    ))
 
 
 def analyze_summary(spark, sf):
@@ -475,7 +497,11 @@ def urgent_rows(spark, sf):
 
 
 def business_counters(spark, sf):
-    return stats.business_counters(views.analyzed_rows(spark, sf))
+    masked = masking.mask(validate.valid(_checked(spark, sf)))
+    scored = burnout.score(views.with_drawn_labels(masked))
+    return stats.business_counters(
+        scored.withColumnRenamed("risk_level", "burnout_risk_level")
+    )
 
 
 def labelled_counter(spark, sf):
@@ -611,7 +637,7 @@ def synth_survey(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        analyze, analyze_lexicon, analyze_summary,
+        analyze, analyze_lexicon, analyze_repeated, analyze_topics, analyze_summary,
         src_rename, json_records, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses,
         validate_rows, validate_split, validate_errors, validate_errors_top50,
         validate_summary, validate_json,

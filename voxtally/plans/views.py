@@ -12,7 +12,7 @@ from voxtally import constants as K
 from voxtally.functions.draws import draw, pick, weighted
 from voxtally.functions.lexical import action_signal
 from voxtally.lexicon import DEFAULT
-from voxtally.operators import burnout, masking, merge, validate
+from voxtally.plans.analysis import analyze
 from voxtally.sources.tables import read_table
 
 # Emotion words the labels are drawn from: those that score and five that do not.
@@ -109,16 +109,9 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analyzed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Validated, masked, labelled and scored rows, in the result's column names, with
-    ``pos`` and ``pii_detected``. One row-wise stage: a label belongs to its own row, and
-    document numbers are unique, so nothing has to be joined."""
-    checked = validate.valid(validate.check_rows(survey_raw(spark, sf)))
-    scored = burnout.score(with_drawn_labels(masking.mask(checked)))
-    return merge.with_topics(scored, None).withColumnsRenamed({
-        "risk_score": "burnout_risk_score",
-        "risk_level": "burnout_risk_level",
-        "risk_factors": "burnout_risk_factors",
-    })
+    """Result rows with drawn labels. Document numbers are unique and a label belongs to its
+    own row, so this is one stage without a shuffle."""
+    return analyze(survey_raw(spark, sf), with_drawn_labels, unique_ids=True)
 
 
 def prose_topics(spark: SparkSession, sf: str) -> DataFrame:

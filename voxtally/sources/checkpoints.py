@@ -1,4 +1,4 @@
-"""Small results that several later steps read, computed once."""
+"""Results that several later steps read, computed once."""
 
 import tempfile
 

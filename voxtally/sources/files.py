@@ -32,9 +32,14 @@ def declared_fields(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header. Every column is text: ids keep their zeros, empty cells are null."""
-    header = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header. Every column is text: ids keep their zeros, empty cells are null.
+
+    Without ``multi_line`` no cell may hold a line break, and large files can be split.
+    """
+    header = spark.read.csv(
+        path, header=True, multiLine=multi_line, escape='"', inferSchema=False
+    )
     return declared_fields(rename_columns(header))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from voxtally.lexicon import DEFAULT, Lexicon
-from voxtally.operators import burnout, labelling, masking, merge, validate
+from voxtally.operators import labelling
+from voxtally.plans.analysis import analyze
 
 
 def analyze_stream(
@@ -23,9 +24,11 @@ def analyze_stream(
         records = records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
             ["response_id"]
         )
-    checked = validate.valid(validate.check_rows(records))
-    labelled = labelling.lexicon_labels(masking.mask(checked), "anonymized_text", lexicon)
-    return merge.analyzed(merge.with_topics(burnout.score(labelled), None))
+    return analyze(
+        records,
+        label=lambda rows: labelling.lexicon_labels(rows, "anonymized_text", lexicon),
+        unique_ids=True,
+    )
 
 
 def write_stream(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
