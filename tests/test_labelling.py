@@ -78,7 +78,7 @@ def test_term_counts_and_sentences(spark):
 def test_lead_sentence_is_the_densest(spark):
     text = "Hello there. Low pay, late pay and no pay day. Pay matters."
     df = spark.createDataFrame([(text,)], "text string").withColumn("t", tokens(F.col("text")))
-    terms = df.withColumn("k", L.key_terms(F.col("t"), DEFAULT))
+    terms = df.withColumn("k", L.key_terms("t", DEFAULT))
     row = terms.select("k", L.lead_sentence(F.col("text"), F.col("k")).alias("lead")).first()
     assert row["k"][0] == "pay"
     assert row["lead"] == "Low pay, late pay and no pay day"

@@ -5,7 +5,9 @@ from math import lcm
 from pyspark.sql import Column, functions as F
 
 from voxtally import constants as K
-from voxtally.functions.text import bind, compact, sentences, term_counts, tokens
+from voxtally.functions.text import (
+    bind, compact, quoted, sentences, strings, term_counts, tokens,
+)
 from voxtally.lexicon import Lexicon
 
 KEY_TERMS = 8
@@ -13,18 +15,33 @@ KEY_TERMS = 8
 SCRIPTS = {"hi": r"\p{IsDevanagari}", "zh": r"\p{IsHan}"}
 
 
-def matches(toks: Column, terms) -> Column:
-    """Tokens that are in a term list, repeats kept."""
+def matches(column: str, terms) -> Column:
+    """The entries of a list column that are in a term list, repeats kept."""
     terms = sorted(set(terms))
     if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(toks, lambda t: t.isin(terms))
+        return strings([])
+    return F.expr(f"filter({column}, t -> t IN ({quoted(terms)}))")
 
 
-def _weight(hits: Column, by_weight: dict[int, list[str]]) -> Column:
+def content_words(column: str, lexicon: Lexicon, least: int) -> Column:
+    """The entries that are no function words and have at least so many letters."""
+    return F.expr(f"filter({column}, t -> {_is_content('t', lexicon, least)})")
+
+
+def is_content(column: str, lexicon: Lexicon, least: int) -> Column:
+    return F.expr(_is_content(column, lexicon, least))
+
+
+def _is_content(name, lexicon, least):
+    rule = f"length({name}) >= {least}"
+    stop = lexicon.stop_words
+    return f"{rule} AND {name} NOT IN ({quoted(stop)})" if stop else rule
+
+
+def _weight(column: str, by_weight: dict[int, list[str]]) -> Column:
     total = F.lit(0)
     for weight, terms in by_weight.items():
-        total = total + F.size(matches(hits, terms)) * weight
+        total = total + F.size(matches(column, terms)) * weight
     return total
 
 
@@ -36,7 +53,7 @@ def _han_count(text: Column, terms) -> Column:
     ).otherwise(0)
 
 
-def polarity(text: Column, hits: Column, lexicon: Lexicon) -> tuple[Column, Column]:
+def polarity(text: Column, hits: str, lexicon: Lexicon) -> tuple[Column, Column]:
     pos = _weight(hits, lexicon.positive) + _han_count(text, lexicon.positive_han)
     neg = _weight(hits, lexicon.negative) + _han_count(text, lexicon.negative_han)
     return pos, neg
@@ -64,7 +81,7 @@ def sentiment_confidence(pos: Column, neg: Column) -> Column:
     )
 
 
-def ranked_themes(hits: Column, lexicon: Lexicon) -> Column:
+def ranked_themes(hits: str, lexicon: Lexicon) -> Column:
     """Up to three theme keys by number of hits, ties in theme order."""
     counted = F.array(*[
         F.struct(
@@ -78,7 +95,7 @@ def ranked_themes(hits: Column, lexicon: Lexicon) -> Column:
     return F.transform(F.slice(found, 1, 3), lambda s: s["theme"])
 
 
-def emotion_tags(hits: Column, lexicon: Lexicon) -> Column:
+def emotion_tags(hits: str, lexicon: Lexicon) -> Column:
     """Up to three emotions with a hit, in alphabetical order."""
     present = compact(*[
         F.when(F.size(matches(hits, terms)) > 0, emotion)
@@ -107,45 +124,47 @@ def action_signal(sentiment: Column, themes: Column, leaving: Column) -> Column:
     )
 
 
-def language(text: Column, toks: Column, lexicon: Lexicon) -> Column:
+def function_words(column: str, lexicon: Lexicon) -> Column:
+    """The tokens ``language`` looks at."""
+    return matches(column, [w for words in lexicon.function_words.values() for w in words])
+
+
+def language(text: Column, words: str, lexicon: Lexicon) -> Column:
     """Language with the most evidence, ties in language order, ``unknown`` without any.
 
-    A function word is worth the same in total however many languages share it;
-    Han and Devanagari characters count for Chinese and Hindi.
+    ``words`` names the column of ``function_words``. Such a word is worth the same in total
+    however many languages share it; Han and Devanagari characters count for Chinese and
+    Hindi.
     """
-    owners: dict[str, list[str]] = {}
-    for lang, words in lexicon.function_words.items():
-        for w in set(words):
-            owners.setdefault(w, []).append(lang)
-    unit = lcm(*[len(o) for o in owners.values()]) if owners else 1
-
-    def evidence(words_of):
+    owners: dict[str, int] = {}
+    for listed in lexicon.function_words.values():
+        for w in set(listed):
+            owners[w] = owners.get(w, 0) + 1
+    unit = lcm(*owners.values()) if owners else 1
+    rows = []
+    for i, lang in enumerate(K.LANGUAGES):
         by_share: dict[int, list[str]] = {}
-        for w in words_of:
-            by_share.setdefault(unit // len(owners[w]), []).append(w)
-        return by_share
-
-    def scored(hits):
-        rows = []
-        for i, lang in enumerate(K.LANGUAGES):
-            score = _weight(hits, evidence(set(lexicon.function_words.get(lang, []))))
-            if lang in SCRIPTS:
-                letters = F.regexp_count(text, F.lit(SCRIPTS[lang])) * unit
-                score = score + F.when(text.rlike(SCRIPTS[lang]), letters).otherwise(0)
-            rows.append(F.struct(score.alias("score"), F.lit(-i).alias("ord"),
-                                 F.lit(lang).alias("lang")))
-        best = F.array_max(F.array(*rows))
-        return F.when(best["score"] > 0, best["lang"]).otherwise("unknown")
-
-    return bind(matches(toks, owners), scored)
-
-
-def key_terms(toks: Column, lexicon: Lexicon, n: int = KEY_TERMS) -> Column:
-    """The row's n most frequent words of three letters or more that are no function
-    words, ties in alphabetical order."""
-    content = F.filter(toks, lambda t: content_word(t, lexicon, 3))
+        for w in set(lexicon.function_words.get(lang, [])):
+            by_share.setdefault(unit // owners[w], []).append(w)
+        score = _weight(words, by_share)
+        if lang in SCRIPTS:
+            letters = F.regexp_count(text, F.lit(SCRIPTS[lang])) * unit
+            score = score + F.when(text.rlike(SCRIPTS[lang]), letters).otherwise(0)
+        rows.append(F.struct(
+            score.alias("score"), F.lit(-i).alias("ord"), F.lit(lang).alias("lang")
+        ))
+    return bind(
+        F.array_max(F.array(*rows)),
+        lambda best: F.when(best["score"] > 0, best["lang"]).otherwise("unknown"),
+    )
+
+
+def key_terms(column: str, lexicon: Lexicon, n: int = KEY_TERMS) -> Column:
+    """The n most frequent tokens of three letters or more that are no function words,
+    ties in alphabetical order."""
     order = F.transform(
-        term_counts(content), lambda s: F.struct((-s["tf"]).alias("minus"), s["term"].alias("term"))
+        term_counts(content_words(column, lexicon, 3)),
+        lambda s: F.struct((-s["tf"]).alias("minus"), s["term"].alias("term")),
     )
     return F.transform(F.slice(F.sort_array(order), 1, n), lambda s: s["term"])
 
@@ -168,8 +187,3 @@ def lead_sentence(text: Column, terms: Column) -> Column:
         )))["sentence"],
         F.lit(""),
     ))
-
-
-def content_word(term: Column, lexicon: Lexicon, least: int) -> Column:
-    """No function word, and of at least so many letters."""
-    return ~term.isin(lexicon.stop_words) & (F.length(term) >= least)

@@ -60,9 +60,23 @@ def compact(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def quoted(values) -> str:
+    """Values as a comma-separated list of SQL literals."""
+
+    def literal(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+
+    return ", ".join(literal(v) for v in values)
+
+
+# Long literal lists are given as SQL text: one expression instead of one object per value.
+
+
 def strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({quoted(values)})") if values else F.expr("cast(array() as array<string>)")
 
 
 def literal_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.expr(f"map({quoted(x for kv in d.items() for x in kv)})")

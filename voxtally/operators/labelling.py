@@ -35,11 +35,11 @@ def with_hits(df: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         for words in group.values()
         for t in words
     }
-    return df.withColumn("hits", L.matches(F.col("tokens"), terms))
+    return df.withColumn("hits", L.matches("tokens", terms))
 
 
 def sentiment(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    pos, neg = L.polarity(F.col(text), F.col("hits"), lexicon)
+    pos, neg = L.polarity(F.col(text), "hits", lexicon)
     return df.withColumns({"pos_weight": pos, "neg_weight": neg}).withColumns({
         "sentiment": L.sentiment_class(F.col("pos_weight"), F.col("neg_weight")),
         "sentiment_confidence": L.sentiment_confidence(F.col("pos_weight"), F.col("neg_weight")),
@@ -48,7 +48,7 @@ def sentiment(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) ->
 
 def themes(df: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """``primary_theme`` (the default theme without a hit) and up to two secondary ones."""
-    return df.withColumn("_ranked", L.ranked_themes(F.col("hits"), lexicon)).withColumns({
+    return df.withColumn("_ranked", L.ranked_themes("hits", lexicon)).withColumns({
         "primary_theme": F.coalesce(
             F.get("_ranked", F.lit(0)), F.lit(K.LABEL_DEFAULTS["primary_theme"])
         ),
@@ -56,16 +56,22 @@ def themes(df: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     }).drop("_ranked")
 
 
+def language(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Adds ``language_detected``."""
+    return df.withColumn("_words", L.function_words("tokens", lexicon)).withColumn(
+        "language_detected", L.language(F.col(text), "_words", lexicon)
+    ).drop("_words")
+
+
 def lexicon_labels(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """All label columns, row by row: no join and no shuffle, and fit for streams."""
     df = with_hits(with_tokens(df, text), lexicon)
-    df = themes(sentiment(df, text, lexicon), lexicon)
+    df = language(themes(sentiment(df, text, lexicon), lexicon), text, lexicon)
     body = F.col(text)
     return (
         df.withColumns({
-            "_terms": L.key_terms(F.col("tokens"), lexicon),
-            "emotion_tags": L.emotion_tags(F.col("hits"), lexicon),
-            "language_detected": L.language(body, F.col("tokens"), lexicon),
+            "_terms": L.key_terms("tokens", lexicon),
+            "emotion_tags": L.emotion_tags("hits", lexicon),
             "action_signal": L.action_signal(
                 F.col("sentiment"),
                 F.array_insert("secondary_themes", 1, F.col("primary_theme")),
@@ -87,10 +93,8 @@ def phrases(df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFA
         id_, F.inline(F.arrays_zip(
             F.col("_t").alias("word"), F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))).alias("next")
         ))
-    ).filter(L.content_word(F.col("word"), lexicon, 4))
-    pair = F.when(
-        L.content_word(F.col("next"), lexicon, 4), F.concat_ws(" ", "word", "next")
-    )
+    ).filter(L.is_content("word", lexicon, 4))
+    pair = F.when(L.is_content("next", lexicon, 4), F.concat_ws(" ", "word", "next"))
     return words.select(id_, F.explode(F.array("word", pair)).alias("term")).filter(
         F.col("term").isNotNull()
     )

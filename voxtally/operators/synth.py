@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtally import constants as K
 from voxtally.functions.draws import draw, pick, weighted
+from voxtally.functions.text import strings
 
 # Opening by language and sentiment; %s takes the theme in that language.
 OPENINGS = {
@@ -86,13 +87,13 @@ def synthesize(base: DataFrame, seed_id: str = "id", batch: int = K.SYNTH_BATCH)
 
 
 def _nested(table: dict[str, list[str]], row, column):
-    cells = F.array(*[F.array(*[F.lit(v) for v in table[lang]]) for lang in K.LANGUAGES])
+    cells = F.array(*[strings(table[lang]) for lang in K.LANGUAGES])
     return F.get(F.get(cells, row), column)
 
 
 def _text():
     sentiment_no = F.array_position(
-        F.array(*[F.lit(s) for s in K.SENTIMENTS]), F.col("declared_sentiment")
+        strings(K.SENTIMENTS), F.col("declared_sentiment")
     ).cast("int") - 1
     place = (F.col("row") % K.SYNTH_BATCH).cast("int")
     opening = F.replace(

@@ -318,7 +318,7 @@ def theme_tags(spark, sf):
 
 def emotion_tags(spark, sf):
     return _flat(_with_hits(spark, sf).select(
-        "response_id", L.emotion_tags(F.col("hits"), PROSE).alias("emotion_tags")
+        "response_id", L.emotion_tags("hits", PROSE).alias("emotion_tags")
     ))
 
 
@@ -335,15 +335,15 @@ def action_signal(spark, sf):
 
 
 def detect_language(spark, sf):
-    return labelling.with_tokens(views.survey_raw(spark, sf)).select(
-        "response_id", "language",
-        L.language(F.col("text"), F.col("tokens"), PROSE).alias("language_detected"),
+    rows = labelling.with_tokens(views.survey_raw(spark, sf))
+    return labelling.language(rows, "text", PROSE).select(
+        "response_id", "language", "language_detected"
     )
 
 
 def lead_sentence(spark, sf):
     terms = labelling.with_tokens(views.survey_raw(spark, sf)).withColumn(
-        "terms", L.key_terms(F.col("tokens"), PROSE)
+        "terms", L.key_terms("tokens", PROSE)
     )
     return _flat(terms.select(
         "response_id", "terms", L.lead_sentence(F.col("text"), F.col("terms")).alias("lead")
