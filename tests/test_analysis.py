@@ -69,3 +69,14 @@ def test_report_on_a_cohort(spark, sample):
     assert row["total_responses"] == 3 and len(row["key_findings"]) == 5
     with pytest.raises(ValueError):
         analysis.report_on(analysis.analyze(sample.limit(0)), tables.kb_seed(spark))
+
+
+def test_topics_that_cannot_be_fitted_are_skipped(spark, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(analysis, "text_topics", fail)
+    many = survey(spark, [(i, f"r{i}", f"the same text {i}") for i in range(12)])
+    with pytest.warns(UserWarning, match="no room"):
+        got = analysis.analyze(many, run_topics=True)
+    assert {r["topic_label"] for r in got.collect()} == {"N/A"}

@@ -116,3 +116,18 @@ def test_histogram_is_cumulative(spark):
     got = {r["le"]: r["bucket_count"] for r in rows}
     assert got["0.05"] == 1 and got["0.1"] == 2 and got["10.0"] == 2 and got["+Inf"] == 3
     assert rows[0]["observations"] == 3 and rows[0]["total"] == 99.11
+
+
+def test_counters_ride_along(spark):
+    from pyspark.sql import Observation
+
+    rows = spark.createDataFrame(
+        [("high", "monitor", True), ("low", "urgent_action", False)],
+        "burnout_risk_level string, action_signal string, pii_detected boolean",
+    )
+    seen = Observation("run")
+    assert stats.observe_counters(rows, seen).count() == 2
+    assert seen.get == {
+        "surveys_analyzed": 2, "burnout_high_risk": 1, "urgent_actions": 1, "pii_detected": 1,
+    }
+    assert stats.business_counters(rows).first().asDict() == {**seen.get, "insights_generated": 1}

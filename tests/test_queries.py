@@ -10,7 +10,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-WITHOUT_SQL = {"sentiment_model", "topic_fit", "cosine_topk_lsh", "report_json", "analyze_topics"}
+WITHOUT_SQL = {"sentiment_model", "topic_fit", "cosine_topk_lsh", "analyze_topics"}
 
 
 @pytest.fixture(scope="module")

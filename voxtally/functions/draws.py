@@ -5,9 +5,9 @@ from pyspark.sql import Column, functions as F
 from voxtally.functions.text import strings
 
 
-def draw(id_: Column, k: int, p: int, m: int) -> Column:
-    """A value from 0 to m-1: ``(((id + 1) * p) % 1000003 + k) % m``."""
-    return ((((id_ + 1) * p) % 1000003 + k) % m).cast("int")
+def draw(id_: str, k: int, p: int, m: int) -> Column:
+    """A value from 0 to m-1 from a column of ids: ``(((id + 1) * p) % 1000003 + k) % m``."""
+    return F.expr(f"cast(((({id_} + 1) * {p}L) % 1000003 + {k}) % {m} as int)")
 
 
 def pick(values: list[str], index: Column) -> Column:

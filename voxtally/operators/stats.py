@@ -7,7 +7,7 @@ map-side-combined aggregation; the reports then work on that table only.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from voxtally import constants as K
 
@@ -135,15 +135,24 @@ def urgent_rows(analyzed: DataFrame) -> DataFrame:
     )
 
 
-def business_counters(analyzed: DataFrame) -> DataFrame:
-    """Counters of one run over rows that also carry ``pii_detected``."""
-    return analyzed.agg(
+def _run_counters() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("surveys_analyzed"),
         F.count_if(F.col("burnout_risk_level").isin("high", "critical")).alias("burnout_high_risk"),
         F.count_if(F.col("action_signal") == "urgent_action").alias("urgent_actions"),
         F.count_if(F.col("pii_detected")).alias("pii_detected"),
-        F.count(F.lit(1)).cast("boolean").cast("bigint").alias("insights_generated"),
-    )
+    ]
+
+
+def business_counters(analyzed: DataFrame) -> DataFrame:
+    """Counters of one run over rows that also carry ``pii_detected``."""
+    report = F.count(F.lit(1)).cast("boolean").cast("bigint").alias("insights_generated")
+    return analyzed.agg(*_run_counters(), report)
+
+
+def observe_counters(analyzed: DataFrame, observation: Observation) -> DataFrame:
+    """The rows as they are; the counters come with whatever is done with them next."""
+    return analyzed.observe(observation, *_run_counters())
 
 
 def labelled_counter(log: DataFrame, labels: list[str]) -> DataFrame:

@@ -70,14 +70,14 @@ def synthesize(base: DataFrame, seed_id: str = "id", batch: int = K.SYNTH_BATCH)
     group = F.floor(F.col("row") / batch).cast("long") * len(languages) + F.col("li")
     drawn = rows.withColumn("g", group).withColumns({
         "language": pick(languages, F.col("li")),
-        "theme_no": draw(F.col("g"), 1, 62711, len(K.THEMES)),
-        "declared_sentiment": weighted(K.SENTIMENT_PERCENT, draw(F.col("g"), 2, 7919, 100)),
-        "department": pick(K.DEPARTMENTS, draw(F.col("g"), 3, 53813, len(K.DEPARTMENTS))),
+        "theme_no": draw("g", 1, 62711, len(K.THEMES)),
+        "declared_sentiment": weighted(K.SENTIMENT_PERCENT, draw("g", 2, 7919, 100)),
+        "department": pick(K.DEPARTMENTS, draw("g", 3, 53813, len(K.DEPARTMENTS))),
         "counter": F.col("li") * F.col("_total") + F.col("row"),
     }).withColumns({
         "survey_theme": pick(list(K.THEMES), F.col("theme_no")),
         "experience": pick(
-            K.EXPERIENCE_LEVELS, draw(F.col("counter"), 4, 45911, len(K.EXPERIENCE_LEVELS))
+            K.EXPERIENCE_LEVELS, draw("counter", 4, 45911, len(K.EXPERIENCE_LEVELS))
         ),
     })
     return drawn.withColumn("text", _text()).select(

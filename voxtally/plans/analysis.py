@@ -1,10 +1,10 @@
 """The whole analysis of a survey table, and the report on its result."""
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxtally import constants as K
 from voxtally.operators import burnout, labelling, masking, merge, report, stats, topics, validate
 from voxtally.schemas import LABEL_FIELDS
 from voxtally.sources.checkpoints import settle
@@ -42,8 +42,8 @@ def analyze(
     own department. With ``unique_ids`` (a promise of the caller) there is nothing to look
     up, and row-wise labels make the whole analysis one stage without a shuffle.
 
-    ``run_topics`` needs at least ten valid records; with fewer the topic columns keep their
-    defaults.
+    ``run_topics`` needs at least ten valid records; with fewer, or when the topics cannot be
+    fitted, the topic columns keep their defaults.
     """
     valid = validate.valid(validate.check_rows(survey))
     if unique_ids:
@@ -61,9 +61,12 @@ def analyze(
         )
     assigned = None
     if run_topics and topics.enough_rows(valid.select("pos")):
-        assigned = text_topics(rows.groupBy("response_id").agg(
-            F.min("anonymized_text").alias("text")
-        ))
+        try:
+            assigned = text_topics(rows.groupBy("response_id").agg(
+                F.min("anonymized_text").alias("text")
+            ))
+        except Exception as problem:
+            warnings.warn(f"topics skipped: {problem}")
     return merge.result(merge.with_topics(rows, assigned, **join))
 
 

@@ -342,6 +342,59 @@ REPORT_QUERIES = f"""{FREQ}, {TOTALS}, asked AS (
     || ' employee engagement' AS query FROM {top('theme', 3)}
   UNION ALL SELECT 3, {q(K.CRISIS_QUERY)} FROM totals WHERE avg_burnout_score > 0.55)"""
 
+FINDINGS = f"""line(ord, finding) AS (
+  SELECT 0, printf('%.1f%% of %d responses are negative', round(negative_count * 100e0 / total, 1), total)
+  FROM totals UNION ALL
+  SELECT 1, 'Most mentioned theme: ' || {display('value')} || ' (' || n || ' responses)'
+  FROM {top('theme', 1)} UNION ALL
+  SELECT 2, printf('%.1f%% show high or critical burnout risk', round(high_risk_count * 100e0 / total, 1))
+  FROM totals UNION ALL
+  SELECT 3, urgent_action_count || ' responses need urgent action' FROM totals UNION ALL
+  SELECT 4, printf('Mean burnout score is %.3f (', avg_burnout_score) || CASE
+    WHEN avg_burnout_score <= 0.3 THEN 'low' WHEN avg_burnout_score <= 0.55 THEN 'medium'
+    WHEN avg_burnout_score <= 0.75 THEN 'high' ELSE 'critical' END || ')' FROM totals)"""
+
+ACTIONS = f"""led AS (
+  SELECT CAST(ord AS INT) AS ord, value AS theme, CASE
+    WHEN value IN {in_list(K.HIGH_RISK_THEMES)} THEN 'high'
+    WHEN value IN {in_list(K.MEDIUM_RISK_THEMES)} THEN 'medium' ELSE 'low' END AS priority
+  FROM {top('theme')}),
+act AS (
+  SELECT ord, priority, theme, coalesce((SELECT arg_min(text, id) FROM kb WHERE topic = theme),
+      'Review the responses on ' || {display('theme')}) AS action,
+    CASE priority WHEN 'high' THEN 'Leadership' WHEN 'medium' THEN 'Management' ELSE 'HR' END AS owner
+  FROM led)"""
+
+CONTEXT = f"""corpus AS (SELECT id, text FROM kb), {text_topk(PROSE.stop_words)},
+context AS (
+  SELECT CAST(row_number() OVER (ORDER BY min((query_id, rank))) - 1 AS INT) AS ord, text
+  FROM results JOIN kb USING (id) GROUP BY text ORDER BY ord LIMIT 3)"""
+
+
+def json_map(dim: str) -> str:
+    return f"""'{{' || (SELECT string_agg(to_json(value) || ':' || n, ',' ORDER BY value)
+      FROM {of(dim)}) || '}}'"""
+
+
+def json_list(item: str, relation: str) -> str:
+    return f"'[' || (SELECT string_agg({item}, ',' ORDER BY ord) FROM {relation}) || ']'"
+
+
+REPORT = f"""SELECT '{{"total_responses":' || total
+  || ',"sentiment_distribution":' || {json_map('sentiment')}
+  || ',"top_themes":' || {json_list('to_json(value)', top('theme'))}
+  || ',"burnout_risk_summary":' || {json_map('risk_level')}
+  || ',"executive_summary":' || to_json(
+    printf('%d responses, mean burnout score %.3f, %d need urgent action. Leading theme: ',
+      total, avg_burnout_score, urgent_action_count)
+    || (SELECT {display('value')} FROM {top('theme', 1)}) || '.')
+  || ',"key_findings":' || {json_list('to_json(finding)', 'line')}
+  || ',"recommended_actions":' || {json_list(
+    "'{\"priority\":' || to_json(priority) || ',\"theme\":' || to_json(theme) || ',\"action\":' "
+    "|| to_json(action) || ',\"owner\":' || to_json(owner) || '}'", 'act')}
+  || ',"rag_references":' || {json_list('to_json(text)', 'context')} || '}}' AS report
+FROM totals WHERE total > 0"""
+
 # -- topics -----------------------------------------------------------------------------
 
 
@@ -745,30 +798,11 @@ asked AS (
 {text_topk([])}
 SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM results""",
     "report_queries": f"{REPORT_QUERIES} SELECT query_id, query FROM asked",
-    "report_context": f"""{REPORT_QUERIES}, {KB}, corpus AS (SELECT id, text FROM kb),
-{text_topk(PROSE.stop_words)}
-SELECT CAST(row_number() OVER (ORDER BY min((query_id, rank))) - 1 AS INT) AS ord, text
-FROM results JOIN kb USING (id) GROUP BY text ORDER BY ord LIMIT 3""",
-    "report_findings": f"""{FREQ}, {TOTALS}, line(ord, finding) AS (
-  SELECT 0, printf('%.1f%% of %d responses are negative', round(negative_count * 100e0 / total, 1), total)
-  FROM totals UNION ALL
-  SELECT 1, 'Most mentioned theme: ' || {display('value')} || ' (' || n || ' responses)'
-  FROM {top('theme', 1)} UNION ALL
-  SELECT 2, printf('%.1f%% show high or critical burnout risk', round(high_risk_count * 100e0 / total, 1))
-  FROM totals UNION ALL
-  SELECT 3, urgent_action_count || ' responses need urgent action' FROM totals UNION ALL
-  SELECT 4, printf('Mean burnout score is %.3f (', avg_burnout_score) || CASE
-    WHEN avg_burnout_score <= 0.3 THEN 'low' WHEN avg_burnout_score <= 0.55 THEN 'medium'
-    WHEN avg_burnout_score <= 0.75 THEN 'high' ELSE 'critical' END || ')' FROM totals)
+    "report_context": f"{REPORT_QUERIES}, {KB}, {CONTEXT} SELECT ord, text FROM context",
+    "report_findings": f"""{FREQ}, {TOTALS}, {FINDINGS}
 SELECT CAST(ord AS INT) AS ord, finding FROM line WHERE (SELECT total FROM totals) > 0""",
-    "report_actions": f"""{FREQ}, {KB}, t AS (
-  SELECT CAST(ord AS INT) AS ord, value AS theme, CASE
-    WHEN value IN {in_list(K.HIGH_RISK_THEMES)} THEN 'high'
-    WHEN value IN {in_list(K.MEDIUM_RISK_THEMES)} THEN 'medium' ELSE 'low' END AS priority
-  FROM {top('theme')})
-SELECT ord, priority, theme, coalesce((SELECT arg_min(text, id) FROM kb WHERE topic = theme),
-    'Review the responses on ' || {display('theme')}) AS action,
-  CASE priority WHEN 'high' THEN 'Leadership' WHEN 'medium' THEN 'Management' ELSE 'HR' END AS owner
-FROM t""",
+    "report_actions": f"""{FREQ}, {KB}, {ACTIONS}
+SELECT ord, priority, theme, action, owner FROM act""",
+    "report_json": f"{REPORT_QUERIES}, {KB}, {FINDINGS}, {ACTIONS}, {CONTEXT} {REPORT}",
     "synth_survey": SYNTH,
 }
