@@ -116,8 +116,8 @@ def keywords_by_similarity(
     """Keywords re-ranked by likeness to their topic: ``(topic, rank, term, similarity)``.
 
     A term's vector is the mean vector of the texts it occurs in, a topic's that of its
-    own texts. Only the ``candidates`` best terms of each topic are considered, so the
-    broadcast list has at most topics × candidates rows.
+    own texts. Only the ``candidates`` best terms of each topic are considered; with topics
+    from ``fold_small`` the broadcast list has at most (n_topics + 1) × candidates rows.
     """
     listed = keywords(docs, topic, text, candidates).select(topic, "term")
     words = docs.select(

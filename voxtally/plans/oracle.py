@@ -759,24 +759,30 @@ SELECT count(*) AS surveys_analyzed,
     "topic_outliers": f"WITH {folded(50)} SELECT vec_id, label, topic_id FROM folded",
     "topic_keywords": f"""WITH {topic_terms('documents', 'source')}
 SELECT source, CAST(rank AS INT) AS rank, term, score FROM ranked WHERE rank <= 5""",
-    "topic_keywords_rerank": f"""WITH docs AS (
+    "topic_keywords_rerank": f"""WITH joined AS (
   SELECT doc_id, text, embedding, label FROM documents JOIN embeddings ON vec_id = doc_id),
-{topic_terms('docs', 'label')},
-candidate AS (SELECT label, term FROM ranked WHERE rank <= 30),
+kept AS (
+  SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INT) AS topic_id
+  FROM (SELECT label, count(*) AS n FROM joined GROUP BY label) WHERE n >= {K.MIN_TOPIC_SIZE}
+  QUALIFY topic_id < {K.N_TOPICS}),
+docs AS (
+  SELECT doc_id, text, embedding, coalesce(topic_id, -1) AS topic_id FROM joined LEFT JOIN kept USING (label)),
+{topic_terms('docs', 'topic_id')},
+candidate AS (SELECT topic_id, term FROM ranked WHERE rank <= 30),
 comp AS (
-  SELECT doc_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
-  FROM docs),
+  SELECT doc_id, topic_id, generate_subscripts(embedding, 1) AS i,
+    CAST(unnest(embedding) AS DOUBLE) AS x FROM docs),
 used AS (
   SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM docs)
   WHERE term IN (SELECT term FROM candidate)),
 tv AS (SELECT term, i, avg(x) AS x FROM used JOIN comp USING (doc_id) GROUP BY ALL),
-cv AS (SELECT label, i, avg(x) AS x FROM comp GROUP BY ALL),
+cv AS (SELECT topic_id, i, avg(x) AS x FROM comp WHERE topic_id <> -1 GROUP BY ALL),
 sim AS (
-  SELECT label, term,
+  SELECT topic_id, term,
     round(sum(tv.x * cv.x) / (sqrt(sum(tv.x * tv.x)) * sqrt(sum(cv.x * cv.x))), 4) AS similarity
-  FROM candidate JOIN tv USING (term) JOIN cv USING (label, i) GROUP BY ALL)
-SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY similarity DESC, term) AS INT) AS rank,
-  term, similarity FROM sim QUALIFY rank <= 5""",
+  FROM candidate JOIN tv USING (term) JOIN cv USING (topic_id, i) GROUP BY ALL)
+SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY similarity DESC, term) AS INT)
+  AS rank, term, similarity FROM sim QUALIFY rank <= 5""",
     "topic_labels": f"""WITH {topic_terms('documents', 'source')}
 SELECT source, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS topic_label,
   string_agg(term, '|' ORDER BY rank) AS topic_keywords FROM ranked WHERE rank <= 5 GROUP BY source""",

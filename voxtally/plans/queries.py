@@ -548,7 +548,7 @@ def topic_keywords(spark, sf):
 
 
 def topic_keywords_rerank(spark, sf):
-    return topics.keywords_by_similarity(views.prose_topics(spark, sf), "label")
+    return topics.keywords_by_similarity(topics.fold_small(views.prose_topics(spark, sf), "label"))
 
 
 def topic_labels(spark, sf):

@@ -67,7 +67,7 @@ def records_of_request(df: DataFrame, column: str, *keep: str) -> DataFrame:
 
 
 def dense_positions(df: DataFrame, name: str = "pos") -> DataFrame:
-    """Adds 0, 1, 2, ... in file order.
+    """Adds 0, 1, 2, ... in file order to a table as read, before any shuffle.
 
     A first pass counts the rows of each partition; the running totals are one row per
     partition, which is all that is ordered in one place and broadcast.
