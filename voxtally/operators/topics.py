@@ -10,13 +10,17 @@ from pyspark.sql.window import Window
 
 from voxtally import constants as K
 from voxtally.functions import vectors as V
-from voxtally.functions.text import TOKEN, tokens
+from voxtally.functions.text import TOKEN, bind, tokens
 
 
 # -- vectors and clusters -------------------------------------------------------
 
-def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 12) -> PipelineModel:
-    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out."""
+def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 8) -> PipelineModel:
+    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out.
+
+    Every later step carries a vector per text, so there are about as many numbers in it as
+    in a sentence embedding.
+    """
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
@@ -186,14 +190,18 @@ def centroids(df: DataFrame, topic: str = "topic_id", vector: str = "embedding")
 def _with_similarities(df, centres, vector):
     """Adds ``_near``: (cosine, -topic) for every topic, in topic order. The centres are
     one small array (n_topics vectors), so there is no join."""
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct("topic_id", "centroid"))))
+    listed = centres.select("topic_id", V.unit(F.col("centroid")).alias("c")).agg(
+        F.array_sort(F.collect_list(F.struct("topic_id", "c")))
+    )
     return (
         df.withColumn("_centres", listed.scalar())
-        .withColumn("_v", V.doubles(F.col(vector)))
-        .withColumn("_near", F.transform("_centres", lambda c: F.struct(
-            V.cosine(F.col("_v"), c["centroid"]).alias("cos"), (-c["topic_id"]).alias("minus")
-        )))
-        .drop("_centres", "_v")
+        .withColumn("_near", bind(
+            V.unit(V.doubles(F.col(vector))),
+            lambda v: F.transform("_centres", lambda c: F.struct(
+                V.dot(v, c["c"]).alias("cos"), (-c["topic_id"]).alias("minus")
+            )),
+        ))
+        .drop("_centres")
     )
 
 

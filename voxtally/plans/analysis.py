@@ -70,7 +70,7 @@ def analyze(
     return merge.result(merge.with_topics(rows, assigned, **join))
 
 
-def text_topics(texts: DataFrame, id_: str = "response_id", features: int = 1 << 12) -> DataFrame:
+def text_topics(texts: DataFrame, id_: str = "response_id", features: int = 1 << 8) -> DataFrame:
     """Topic table of ``(id, text)`` from hashed TF-IDF vectors.
 
     The vectors are written once: clustering reads them again in every round, and must not
