@@ -221,22 +221,28 @@ def label_chunks(spark, sf):
     )
 
 
-def _length_labeller(asked):
+def _length_labeller():
     """Stands in for an external model: labels a text by its length."""
-    return json.dumps([
-        {
-            "id": a["id"],
-            "sentiment": K.SENTIMENTS[len(a["text"]) % 5],
-            "sentiment_confidence": (len(a["text"]) % 101) / 100,
-            "key_phrases": [a["response_id"]],
-            "action_signal": K.ACTIONS[len(a["text"]) % 4],
-        }
-        for a in asked
-    ])
+    sentiments, actions = list(K.SENTIMENTS), list(K.ACTIONS)
+
+    # A nested function travels to the workers whole; they need not have this package.
+    def label(asked):
+        return json.dumps([
+            {
+                "id": a["id"],
+                "sentiment": sentiments[len(a["text"]) % 5],
+                "sentiment_confidence": (len(a["text"]) % 101) / 100,
+                "key_phrases": [a["response_id"]],
+                "action_signal": actions[len(a["text"]) % 4],
+            }
+            for a in asked
+        ])
+
+    return label
 
 
 def label_hook(spark, sf):
-    answered = labelling.ask_model(views.survey_raw(spark, sf), _length_labeller, "text")
+    answered = labelling.ask_model(views.survey_raw(spark, sf), _length_labeller(), "text")
     return _flat(labelling.read_answers(answered))
 
 
