@@ -136,11 +136,19 @@ def test_default_k_and_single_query(spark):
     assert "TakeOrderedAndProject" in plan_of(retrieval.nearest(corpus, rows[7][1]))
 
 
-def test_too_many_queries_is_an_error(spark):
-    rows, corpus = unit_rows(spark, retrieval.MAX_QUERIES + 1)
+def test_more_queries_than_a_group(spark, monkeypatch):
+    rows, corpus = unit_rows(spark, 40)
     queries = corpus.withColumnRenamed("id", "query_id")
-    with pytest.raises(Exception, match="several calls"):
-        retrieval.cosine_topk(corpus, queries).collect()
+    docs = [(i, t) for i, (_, _, t) in enumerate(K.KB_SEED)]
+    texts = spark.createDataFrame(docs, "id int, text string")
+    asked = texts.withColumnsRenamed({"id": "query_id", "text": "query"})
+    whole = set(retrieval.cosine_topk(corpus, queries).collect())
+    near = set(retrieval.cosine_topk_lsh(corpus, queries).collect())
+    by_text = set(retrieval.text_topk(texts, asked).collect())
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 7)
+    assert set(retrieval.cosine_topk(corpus, queries).collect()) == whole and len(whole) == 120
+    assert set(retrieval.cosine_topk_lsh(corpus, queries).collect()) == near
+    assert set(retrieval.text_topk(texts, asked).collect()) == by_text and len(by_text) >= 10
 
 
 def lnc_ltc(docs, queries, k):

@@ -17,10 +17,11 @@ def lexicon_labeller(rows: DataFrame) -> DataFrame:
 
 
 def model_labeller(fn, **options) -> Labeller:
-    """Labels from an external model, see ``labelling.ask_model``. Rows it gives no label drop out."""
+    """Labels from an external model, see ``labelling.ask_model``. Rows it gives no label drop
+    out. The answers are kept, so that no later step asks again."""
 
     def label(rows: DataFrame) -> DataFrame:
-        answers = labelling.read_answers(labelling.ask_model(rows, fn, **options))
+        answers = settle(labelling.read_answers(labelling.ask_model(rows, fn, **options)))
         # Rows and answers have one row per id here.
         return rows.join(answers, "response_id")
 
