@@ -1,10 +1,9 @@
 import json
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL, survey
+from tests.conftest import survey
 from voxtally import constants as K
 from voxtally.operators import synth, validate
 from voxtally.schemas import ANALYZED_FIELDS, SURVEY_FIELDS
@@ -174,3 +173,13 @@ def test_stream_drops_repeated_ids(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(source)
     write_stream(analyze_stream(stream, "at"), out, mark).awaitTermination(120)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_raw_json_lines_are_checked(spark, tmp_path):
+    lines = ['{"response_id": "a", "text": "long enough"}', '{"response_id": 5, "text": "long enough"}', "{}"]
+    (tmp_path / "raw.json").write_text("\n".join(lines), "utf-8")
+    raw = files.dense_positions(files.read_json_records(spark, str(tmp_path / "raw.json")))
+    checked = validate.check_json(raw)
+    assert validate.summary(checked).first()["valid_count"] == 1
+    assert validate.valid(checked).first()["text"] == "long enough"
+    assert validate.error_lines(checked).count() == 3

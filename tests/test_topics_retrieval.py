@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL, plan_of
+from tests.conftest import plan_of
 from voxtally import constants as K
 from voxtally.lexicon import DEFAULT
 from voxtally.operators import report, retrieval, topics
