@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.conftest import SMALL, plan_of
+from voxtally.plans.oracle import ORACLE
+from voxtally.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,7 +24,7 @@ def duck():
 
 
 def test_names():
-    assert set(oracle_sql()) == set(queries()) - WITHOUT_SQL
+    assert set(ORACLE) == set(QUERIES) - WITHOUT_SQL
 
 
 def check_plan(df, name):
@@ -32,13 +34,13 @@ def check_plan(df, name):
     assert name == "label_hook" or ("EvalPython" not in plan and "InPandas" not in plan)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
-    df = queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     check_plan(df, name)
     columns = sorted(df.columns)
     got = sorted(tuple(repr(r[c]) for c in columns) for r in df.collect())
-    relation = duck.sql(oracle_sql()[name])
+    relation = duck.sql(ORACLE[name])
     assert sorted(relation.columns) == columns
     at = [relation.columns.index(c) for c in columns]
     assert got == sorted(tuple(repr(r[i]) for i in at) for r in relation.fetchall())
@@ -46,7 +48,7 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_query_runs(spark, name):
-    df = queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     check_plan(df, name)
     assert df.count() > 0
 
@@ -64,7 +66,7 @@ ROW_WISE = [
 
 @pytest.mark.parametrize("name", ROW_WISE)
 def test_row_wise_queries_shuffle_nothing(spark, name):
-    plan = plan_of(queries()[name](spark, SMALL))
+    plan = plan_of(QUERIES[name](spark, SMALL))
     shuffles = [
         line for line in plan.split("\n")
         # The spread of a one-file table over the local cores, and a count for one value.
@@ -75,12 +77,12 @@ def test_row_wise_queries_shuffle_nothing(spark, name):
 
 
 def test_columns_are_pruned(spark):
-    plan = plan_of(queries()["latency_histogram"](spark, SMALL))
+    plan = plan_of(QUERIES["latency_histogram"](spark, SMALL))
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
     for name in ("cosine_topk", "topic_keywords", "key_phrases"):
-        assert "WindowGroupLimit" in plan_of(queries()[name](spark, SMALL))
+        assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SMALL))
     for name in ("preview", "top_themes", "validate_errors_top50"):
-        assert "TakeOrderedAndProject" in plan_of(queries()[name](spark, SMALL))
+        assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, SMALL))

@@ -1,24 +1,20 @@
 """Results that several later steps read, computed once."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the cluster's checkpoint folder, its lineage cut.
+    """``df`` computed now and kept in the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; on a cluster a missing setting is an error, as a folder of one
-    machine would not outlive it.
+    The folder is the session's ``spark.checkpoint.dir``; a session without one is an error
+    wherever it runs, as a folder of one machine would not outlive that machine. Files go
+    when nothing refers to the result any more if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
