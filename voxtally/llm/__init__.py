@@ -1,0 +1 @@
+"""Operators of a training-data pipeline over a table of documents."""
