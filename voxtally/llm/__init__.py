@@ -1 +1,8 @@
 """Operators of a training-data pipeline over a table of documents."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers whole; they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

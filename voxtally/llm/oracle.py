@@ -1,10 +1,56 @@
 """SQL for the corpus queries that SQL can express, over the same tables."""
 
-#: A-Z to lower case.
+
 def _lower(text: str) -> str:
+    """A-Z to lower case."""
     return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex({_lower(text)}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _shingles(words: str, size: int = 5) -> str:
+    return (
+        f"CASE WHEN len({words}) >= {size} THEN list_distinct(list_transform(range(1, len({words}) - {size - 2}), "
+        f"lambda i: array_to_string({words}[i:i + {size - 1}], ' '))) "
+        f"WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END"
+    )
+
+
+#: kind, pattern, group that must be long enough, its least length
+_SECRETS = (
+    (
+        "assign",
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2, 6,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+
+def _secret_spans() -> str:
+    """doc_id, k, kind, s, e for every long enough match."""
+    parts = [
+        f"""
+        SELECT doc_id, {k} AS k, '{kind}' AS kind, e - length(w) AS s, e FROM (
+            SELECT doc_id, w, v, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+            FROM (
+                SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS w,
+                       unnest(regexp_extract_all(t, '{pattern}', {group})) AS v,
+                       unnest(string_split_regex(t, '{pattern}')[:-2]) AS g,
+                       unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i
+                FROM d
+            )
+        ) WHERE length(v) >= {least}"""
+        for k, (kind, pattern, group, least) in enumerate(_SECRETS)
+    ]
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_lower('text')} AS t FROM documents)
@@ -14,4 +60,29 @@ ORACLE = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op6_decontamination": f"""
+        WITH dw AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+        ds AS (SELECT doc_id, unnest({_shingles('w')}) AS s FROM dw),
+        iw AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+        il AS (SELECT item_id, {_shingles('w')} AS l FROM iw),
+        i AS (SELECT item_id, len(l) AS n, unnest(l) AS s FROM il)
+        SELECT doc_id, item_id, count(*) AS matched, any_value(n)::BIGINT AS shingles,
+               count(*) / any_value(n) AS containment
+        FROM ds JOIN i USING (s) GROUP BY doc_id, item_id
+        HAVING count(*) * 5 >= any_value(n) * 4
+    """,
+    "op8_secrets": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        spans AS ({_secret_spans()}),
+        f AS (
+            SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b,
+                   count(*) FILTER (k = 2) AS c,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS every
+            FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM d LEFT JOIN f USING (doc_id)
+    """,
 }

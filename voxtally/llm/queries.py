@@ -1,7 +1,13 @@
 """The corpus operators over whole tables, with production parameters: (spark, folder) -> DataFrame."""
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from voxtally.llm import secret_scan
 from voxtally.llm.common import table
+from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
+from voxtally.llm.packing import pack
 from voxtally.llm.simhash import near_groups
 
 
@@ -9,11 +15,35 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secrets(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    findings, _ = secret_scan.scan(documents, path="doc_id")
+    by_path = secret_scan.findings_by_path(documents, findings, path="doc_id")
+    base = F.filter("findings", lambda f: f["kind"] < len(secret_scan.BASE))
+
+    def count(rule):
+        return F.size(F.filter("findings", lambda f: f["rule"] == rule)).cast("long").alias(f"n_{rule}")
+
+    counts = [count(r.name) for r in secret_scan.BASE]
+    return by_path.select(
+        "doc_id", *counts, secret_scan.address(secret_scan.joined_spans(base)).alias("base_sha256"),
+        secret_scan.joined_spans(F.col("findings")).alias("spans"),
+    )
+
+
 def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op10_simhash)
+    for f in (op1_exact_dedup, op5_packing, op6_decontamination, op8_secrets, op10_simhash)
 }
