@@ -7,6 +7,7 @@ from voxtally.llm import secret_scan
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
+from voxtally.llm.lm import scored
 from voxtally.llm.packing import pack
 from voxtally.llm.simhash import near_groups
 
@@ -15,6 +16,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark, sf_dir):
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,5 +50,5 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op5_packing, op6_decontamination, op8_secrets, op10_simhash)
+    for f in (op1_exact_dedup, op3_language_model, op5_packing, op6_decontamination, op8_secrets, op10_simhash)
 }
