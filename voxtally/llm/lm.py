@@ -31,7 +31,7 @@ from voxtally.llm.common import fold
 ORDER = 2
 ADDED = 0.1
 #: Pseudo-counts that a context gives to its shorter one.
-MASS = 8.0
+MASS = 16.0
 _START, _END = b" ", b""  # neither is ever a word
 
 
