@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from voxtally.llm import secret_scan
+from voxtally.llm import pii_crf, secret_scan
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
@@ -44,11 +44,30 @@ def op8_secrets(spark, sf_dir):
     )
 
 
+def op9_pii(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = pii_crf.personal_data(documents, pii_crf.potentials(documents))
+    kinds = F.array(*[F.lit(k) for k in pii_crf.KINDS])
+
+    def count(kind):
+        has = F.filter("base", lambda s: s["kind"] == pii_crf.KINDS.index(kind))
+        return F.size(has).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        text = F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"]))
+        return F.array_join(text, ",")
+
+    return found.select(
+        "doc_id", *[count(k) for k in pii_crf.KINDS],
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_language_model, op5_packing, op6_decontamination, op8_secrets, op10_simhash)
+    for f in (op1_exact_dedup, op3_language_model, op5_packing, op6_decontamination, op8_secrets, op9_pii, op10_simhash)
 }
