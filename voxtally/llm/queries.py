@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from voxtally.llm import pii_crf, secret_scan
+from voxtally.llm import pii_crf, quality, secret_scan
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
@@ -20,6 +20,12 @@ def op3_language_model(spark, sf_dir):
     return scored(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.predictions(quality.scored(documents, model), folds=5, held=0)
+
+
 def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -69,5 +75,5 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_language_model, op5_packing, op6_decontamination, op8_secrets, op9_pii, op10_simhash)
+    for f in (op1_exact_dedup, op3_language_model, op4_quality, op5_packing, op6_decontamination, op8_secrets, op9_pii, op10_simhash)
 }
