@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from voxtally.llm import pii_crf, quality, secret_scan
+from voxtally.llm import pii_crf, quality, secret_scan, toxicity
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
@@ -34,6 +34,12 @@ def op6_decontamination(spark, sf_dir):
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.predictions(toxicity.scored(documents, grammar), folds=4, held=2)
+
+
 def op8_secrets(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     findings, _ = secret_scan.scan(documents, path="doc_id")
@@ -75,5 +81,5 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_language_model, op4_quality, op5_packing, op6_decontamination, op8_secrets, op9_pii, op10_simhash)
+    for f in (op1_exact_dedup, op3_language_model, op4_quality, op5_packing, op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash)
 }
