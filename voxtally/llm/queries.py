@@ -7,6 +7,7 @@ from voxtally.llm import pii_crf, quality, secret_scan, toxicity
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
+from voxtally.llm.language_id import identify
 from voxtally.llm.lm import scored
 from voxtally.llm.packing import pack
 from voxtally.llm.simhash import near_groups
@@ -16,6 +17,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_language_model(spark, sf_dir):
     return scored(table(spark, sf_dir, "documents"))
 
@@ -81,5 +86,8 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_language_model, op4_quality, op5_packing, op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash)
+    for f in (
+        op1_exact_dedup, op2_language_id, op3_language_model, op4_quality, op5_packing,
+        op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash,
+    )
 }

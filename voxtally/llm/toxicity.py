@@ -169,10 +169,10 @@ def insult_arcs(sample: DataFrame, arcs: int = ARCS) -> dict[str, float]:
     gain = n * (surprise(part, F.lit(share)) + surprise(1 - part, F.lit(1 - share)))
     weight = F.log((F.col("t") + 2 * share) / (F.col("c") + 2 * (1 - share))) - float(np.log(share / (1 - share)))
     # Chernoff: a share of toxic documents this large comes by chance in fewer than one in
-    # 20 samples for any of some e^14 (a million) beginnings.
+    # 20 samples for any of some e^11 (60,000) beginnings.
     found = (
         counted.withColumn("gain", gain).withColumn("w", weight)
-        .filter((part > share) & (F.col("gain") > 17.0) & (F.col("w") > 1.5))
+        .filter((part > share) & (F.col("gain") > 14.0) & (F.col("w") > 1.5))
         .orderBy(F.desc("w"), "beginning").limit(arcs).collect()
     )
     kept: dict[str, float] = {}
