@@ -131,3 +131,9 @@ def contained(
         "doc_id", "item_id", F.col("_b._matched").alias("matched"),
         F.col("_b._n").cast("long").alias("shingles"), F.col("_b.c").alias("containment"),
     )
+
+
+def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are."""
+    leaks = contained(docs, items).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -16,7 +16,7 @@ ever have two, the join compares whole texts instead.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally.llm.common import lower_ascii
 from voxtally.sources.checkpoints import settle
@@ -74,3 +74,20 @@ def exact_groups(
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("_digest").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of equal texts, that with the largest doc_id; of
+    repeated rows with that id and text one stays, the first by its other columns."""
+    decided = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
+
+    def row(digest: Column) -> Column:
+        return F.concat_ws(":", digest, F.col("doc_id").cast("string"))
+
+    staying = decided.select(row(F.col("text_sha256")).alias("_row")).distinct()
+    marked = docs.withColumn("_row", row(sha256(lower_ascii(F.col("text")))))
+    order = Window.partitionBy("_row").orderBy(*[c for c in docs.columns if c != "text"])
+    return (
+        marked.join(staying, "_row", "left_semi")
+        .withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_row", "_nth")
+    )

@@ -185,6 +185,21 @@ def scored(docs: DataFrame, model: Attention) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = docs_columns.index("text")
+        for batch in batches:
+            scores = [
+                model.forward(passages(None if t is None else t.encode()), np.zeros(1, np.int64))[0][0]
+                for t in batch.column(at).to_pylist()
+            ]
+            yield batch.filter(pa.array([bool(s >= threshold) for s in scores], pa.bool_()))
+
+    docs_columns = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predictions(scores: DataFrame, folds: int, held: int, threshold: float = 0.3) -> DataFrame:
     """``scores`` with held_out and predicted."""
     return scores.select(

@@ -189,3 +189,12 @@ def near_groups(
     return prints.join(ids, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component. Rows without id stay
+    only where a component has no id at all, repeated ids together."""
+    groups = near_groups(docs, words, radius)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    staying = groups.filter(own).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
