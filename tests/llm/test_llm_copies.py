@@ -1,0 +1,163 @@
+"""Exact and near copies: brute force, ties, nulls, hot groups."""
+
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tests.conftest import plan_of
+from voxtally.llm import exact_dedup, simhash
+from voxtally.llm.components import components
+
+DOCS = "doc_id long, text string, keep_id string, kept string, lang string"
+
+
+def table(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "x", "y", None) for i, t in zip(ids, texts)], DOCS)
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def expected_groups(texts, ids):
+    groups = {}
+    for i, t in zip(ids, texts):
+        groups.setdefault(ascii_lower(t), []).append(i)
+    out = []
+    for i, t in zip(ids, texts):
+        members = groups[ascii_lower(t)]
+        known = [m for m in members if m is not None]
+        keep = max(known) if known else None
+        digest = hashlib.sha256(ascii_lower(t).encode()).hexdigest()
+        out.append((i, keep, len(members), i == keep, digest))
+    return sorted(out, key=repr)
+
+
+TEXTS = ["A b", "a B", "", None, "É", "é", "a  b", "x" * 200_000, "X" * 200_000, "one"] + ["hot copy"] * 300
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(t, 1, 1)])
+def test_groups_against_brute_force(spark, digest):
+    """The second digest puts different texts under one value: whole texts decide."""
+    ids = list(range(len(TEXTS) - 2)) + [None, 5]
+    found = exact_dedup.exact_groups(table(spark, TEXTS, ids).repartition(7), salts=3, digest=digest)
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect()]
+    expected = expected_groups(TEXTS, ids)
+    assert sorted(rows, key=repr) == sorted([e[:4] for e in expected], key=repr)
+    if digest is exact_dedup.sha256:
+        assert {r.text_sha256 for r in found.collect()} == {e[4] for e in expected}
+
+
+def test_only_null_ids_and_no_rows(spark):
+    found = exact_dedup.exact_groups(table(spark, ["a", "a"], [None, None])).collect()
+    assert [(r.keep_id, r.group_size, r.kept) for r in found] == [(None, 2, True)] * 2
+    assert exact_dedup.exact_groups(table(spark, [])).collect() == []
+
+
+def test_exact_dedup_is_native_and_combines_before_the_shuffle(spark):
+    plan = plan_of(exact_dedup.winners(table(spark, ["a"])))
+    assert "partial_max" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_row_of_each_text_stays(spark):
+    docs = table(spark, ["a", "A", "b", "a", None, ""], [1, 3, 2, 3, 7, 8])
+    kept = exact_dedup.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, ascii_lower(r.text)) for r in kept.collect()) == [(2, "b"), (3, "a"), (8, "")]
+
+
+# -- SimHash ----------------------------------------------------------------------
+
+def slow_fingerprint(text, words=4):
+    tokens = [t for t in ascii_lower(text).encode().split()]
+    if not tokens:
+        return 0
+    shingles = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints, radius):
+    roots = list(range(len(prints)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(prints)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= radius:
+            x, y = sorted((root(a), root(b)))
+            roots[y] = x
+    return [root(i) for i in range(len(prints))]
+
+
+def test_masks_cover_every_set_of_positions():
+    masks = [m & (2**64 - 1) for m in simhash.masks(4)]
+    assert len(set(masks)) == 31 and all(32 <= m.bit_count() <= 34 for m in masks)
+    rng = random.Random(1)
+    for _ in range(20_000):
+        bits = sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
+        assert any(m & bits == 0 for m in masks)
+
+
+def test_fingerprint_against_brute_force():
+    rng = random.Random(2)
+    words = ["a", "B", "été", "x.", "the", " q"]
+    texts = ["", " \n", "One", "a b c", "É é"] + [
+        rng.choice([" ", "\t", "\n\x0b"]).join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(200)
+    ]
+    for text in texts:
+        assert simhash.fingerprint(text.encode()) & (2**64 - 1) == slow_fingerprint(text)
+    assert simhash.fingerprint(None) == 0
+    spark_says = xxhash.xxh64_intdigest("a b c d".encode(), 42)
+    assert simhash.fingerprint(b"A b c d") & (2**64 - 1) == spark_says
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_links_connect_what_all_pairs_connect(spark, block):
+    """Clusters around centres, one of them large enough for hot buckets, and strays."""
+    rng = random.Random(block)
+    prints = [0, 2**64 - 1]
+    for size, flips in ((60, 2), (10, 4), (3, 5)):
+        centre = rng.getrandbits(64)
+        prints += [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, flips))) for _ in range(size)]
+    prints = list(dict.fromkeys(prints + [rng.getrandbits(64) for _ in range(30)]))
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    rows = spark.createDataFrame([(x,) for x in signed], "fingerprint long")
+    links = simhash.links(rows, 4, block)
+    found = {r.node: r.root for r in components(links).collect()}
+    expected = slow_components(prints, 4)
+    ours = [found.get(x, x) for x in signed]
+    assert len({(a, b) for a, b in zip(ours, expected)}) == len(set(ours)) == len(set(expected))
+
+
+def test_near_groups(spark):
+    rng = random.Random(5)
+    base = " ".join(rng.choices("abcdefghij", k=400))
+    texts = [base, base + " k", base.upper(), "other words here now", None, "", " ", "other words here now"]
+    docs = table(spark, texts, [9, 4, 5, 3, 8, 2, None, 3])
+    prints = [slow_fingerprint(t) for t in texts]
+    comps = slow_components(prints, 4)
+    ids = [9, 4, 5, 3, 8, 2, None, 3]
+    expected = []
+    for i, c, p in zip(ids, comps, prints):
+        members = [j for j, d in zip(ids, comps) if d == c and j is not None]
+        expected.append((i, f"{p:016x}", min(members)))
+    found = [tuple(r) for r in simhash.near_groups(docs).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [2, 3, 3, 4]
+    assert simhash.near_groups(table(spark, [])).collect() == []
+
+
+def test_components_of_chains_and_hubs(spark):
+    chain = [(i, i + 1) for i in range(100, 140)]
+    hub = [(1, i) for i in range(2, 60)] + [(7, 7), (None, 3), (2, 1)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
+    assert found == {i: 100 for i in range(100, 141)} | {i: 1 for i in range(1, 60)}

@@ -1,0 +1,88 @@
+"""The registered corpus queries, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from tests.conftest import SMALL, plan_of
+from voxtally.llm import packing, quality
+from voxtally.llm.oracle import ORACLE
+from voxtally.llm.queries import QUERIES
+
+NATIVE = ("op1_", "op6_", "op8_")
+
+
+def test_names():
+    registered = __spark_entry__.queries()
+    assert {n.partition("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(registered) and set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_match_sql(spark, name):
+    connection = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = QUERIES[name](spark, SMALL)
+    relation = connection.sql(ORACLE[name])
+    columns = sorted(df.columns)
+    assert sorted(relation.columns) == columns
+    at = [relation.columns.index(c) for c in columns]
+    expected = sorted(tuple(repr(r[i]) for i in at) for r in relation.fetchall())
+    assert sorted(tuple(repr(r[c]) for c in columns) for r in df.collect()) == expected
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    if name.startswith(NATIVE):
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_of_the_unordered_queries(spark):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    for name in ("op3_language_model", "op4_quality", "op7_toxicity", "op9_pii", "op10_simhash"):
+        assert QUERIES[name](spark, SMALL).count() == documents
+    assert QUERIES["op2_language_id"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+
+
+def test_pipeline_against_plain_steps(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    left = {i: t for i, t in rows.items() if scores[i] >= 0.3}
+    last = {}
+    for i in sorted(left):
+        last[left[i].encode().lower()] = i
+    left = {i: left[i] for i in last.values()}
+
+    from tests.llm.test_llm_copies import slow_components, slow_fingerprint
+    from tests.llm.test_llm_search import shingles
+
+    ids = sorted(left)
+    roots = slow_components([slow_fingerprint(left[i]) for i in ids], 4)
+    left = {i: left[i] for i, r in zip(ids, roots) if ids[r] == min(j for j, q in zip(ids, roots) if q == r)}
+    items = [shingles(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    left = {
+        i: t for i, t in left.items()
+        if not any(s and 5 * len(s & shingles(t)) >= 4 * len(s) for s in items)
+    }
+    found = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r.doc_id for r in found} == set(left) and 0 < len(left) < len(rows)
+    assert sum(r.length for r in found) == sum(
+        len(packing.WordIds(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))(t.encode())) // 4 + 1
+        for t in left.values()
+    )
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SMALL).columns == docs.columns, name
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, SMALL).collect() == [], name
