@@ -1,4 +1,4 @@
-"""Token ids against the tokenizer, best fit against one piece after the other, whole packings."""
+"""Token ids against the tokenizer, best fit against one piece after the other, and whole packings."""
 
 import zlib
 from collections import Counter

@@ -189,7 +189,7 @@ def potentials(docs: DataFrame, sample: int = SAMPLE) -> Potentials:
             chain[int(rest), label] += n
         else:
             skip[label] += n
-    floor = np.log(0.01)  # what the patterns don't say is not certain
+    floor = np.log(0.05)  # what the patterns don't say is not certain
     logs = {s: np.maximum(np.log(c / c.sum()), floor) for s, c in shape.items()}
     joint = chain / chain.sum()
     lift = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
