@@ -193,10 +193,10 @@ def potentials(docs: DataFrame, sample: int = SAMPLE) -> Potentials:
     logs = {s: np.maximum(np.log(c / c.sum()), floor) for s, c in shape.items()}
     joint = chain / chain.sum()
     lift = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
-    agree = np.clip(np.log(skip[1] / skip[0]), 2.0, 8.0)
+    agree = np.clip(np.log(skip[1] / skip[0]), 3.0, 8.0)
     unseen = np.full(OTHER + 1, floor)
     unseen[OTHER] = 0.0
-    return Potentials(logs, unseen, np.clip(lift, -1.0, 1.0), agree * np.eye(OTHER + 1))
+    return Potentials(logs, unseen, np.clip(lift, -0.5, 0.5), agree * np.eye(OTHER + 1))
 
 
 def infer(found: Mentions, model: Potentials, rounds: int = ROUNDS) -> np.ndarray:
