@@ -30,7 +30,7 @@ WORTH = 60.0
 #: Pages that a level of the address hierarchy borrows from the one above.
 BORROWED = 4.0
 
-_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
+_TAG = re.compile(r"<!--|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
 _LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})(?![a-zA-Z])")
 _ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _RAW = ("script", "style", "noscript", "template", "textarea")
@@ -49,9 +49,10 @@ def visible_text(html: str) -> tuple[str, str]:
         if not tag:
             break
         position = at = tag.end()
-        if tag.group(2) is None:  # a comment
-            end = html.find("-->", position)
-            position = at = len(html) if end < 0 else end + 3
+        if tag.group(2) is None:
+            if tag.group() == "<!--":
+                end = html.find("-->", position)
+                position = at = len(html) if end < 0 else end + 3
             continue
         name, closes = tag.group(2).lower(), bool(tag.group(1))
         if name == "html" and not closes and not declared:
