@@ -67,11 +67,13 @@ class Block:
     def __init__(self, texts, order: int):
         read = Reader()
         parts = [read(t.as_py()) for t in texts]
+        read.known.clear()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        del parts
         self.starts = np.cumsum(sizes) - sizes
         self.sizes, self.order = sizes, order
-        place = np.arange(len(words)) - np.repeat(self.starts, sizes)
+        place = (np.arange(len(words)) - np.repeat(self.starts, sizes)).astype(np.int32)
         zero = np.zeros(1, np.uint64)
         self.start_key = _mix(zero, np.array([read.start], np.uint64))
         grams = [_mix(np.zeros(1, np.uint64), words)]
@@ -83,7 +85,9 @@ class Block:
             grams.append(_mix(before, words))
             self.has.append(place >= n - 2)
         keys = np.concatenate([*(g[h] for g, h in zip(grams, self.has)), self.start_key])
-        self.keys, self.at = np.unique(keys, return_inverse=True)
+        del grams, words, place
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.at = at.astype(np.int32)  # a block has fewer keys than that by far
 
     def trained(self, learn: np.ndarray) -> np.ndarray:
         """How often each key occurs in the documents to learn from."""
@@ -113,6 +117,7 @@ class Block:
             if n == 2:
                 before[self.starts] = start
             state = before[here] + mass
+            del before
             lower = weight[here]
             arc = np.log10((read[n - 1] + mass * 10.0**lower) / state)
             failure = np.log10(mass / state)
@@ -164,9 +169,11 @@ def scored(
     and from those with a null id; the others are held out. Null and empty texts are the end
     token alone. Repeated rows count each. Without any row to learn from every token has the
     base probability of an unknown one. Other columns are not read; an empty table gives an
-    empty result. ``blocks`` is as many as the session's shuffle partitions unless given.
+    empty result. There are as many buckets as the session has shuffle partitions, and twice
+    as many blocks unless given: a worker holds one block's tokens at a time.
     """
-    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or 2 * buckets
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"),
         (F.coalesce(fold(F.col("doc_id"), folds), F.lit(-1)) != 0).alias("_learn"),
@@ -177,7 +184,7 @@ def scored(
     def ask(block: pa.Table) -> pa.Table:
         own = Block(block.column("_text"), order)
         trained = own.trained(block.column("_learn").to_numpy())
-        cuts, number = own.cuts(blocks), block.column("_block")[0].as_py()
+        cuts, number = own.cuts(buckets), block.column("_block")[0].as_py()
         spans = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
         return pa.table({
             "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
