@@ -31,9 +31,9 @@ def spark():
 def sample(spark):
     """Three answers that are all valid."""
     return survey(spark, [
-        (0, "t1", "Great team culture and excellent leadership support.", "Engineering", "en"),
-        (1, "t2", "Workload is consistently overwhelming. No work-life balance.", "Operations", "en"),
-        (2, "t3", "Career growth is unclear. Need better development plans.", "Sales", "en"),
+        (0, "first", "My colleagues help each other and the atmosphere is friendly.", "Finance", "en"),
+        (1, "second", "Every week brings more overtime, I am exhausted.", "Logistics", "en"),
+        (2, "third", "Nobody told us when trainings take place this year.", "Legal", "en"),
     ])
 
 

@@ -100,11 +100,11 @@ def test_vector_cache(spark, tmp_path):
 
     first = spark.createDataFrame([(0, "aa"), (1, "b"), (2, "aa")], "id int, text string")
     other = spark.createDataFrame([(0, "b"), (1, "cccc")], "id int, text string")
-    got = tables.with_vectors(spark, first, path, "len", encode, "id")
+    got = tables.with_vectors(spark, first, path, "len", encode)
     assert sorted((r["id"], r["vec"][0]) for r in got.collect()) == [(0, 2.0), (1, 1.0), (2, 2.0)]
-    got = tables.with_vectors(spark, other, path, "len", encode, "id")
+    got = tables.with_vectors(spark, other, path, "len", encode)
     assert sorted((r["id"], r["vec"][0]) for r in got.collect()) == [(0, 1.0), (1, 4.0)]
-    tables.with_vectors(spark, other, path, "other", encode, "id").collect()
+    tables.with_vectors(spark, other, path, "other", encode).collect()
     assert seen == [["aa", "b"], ["cccc"], ["b", "cccc"]]
 
 

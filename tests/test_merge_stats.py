@@ -3,15 +3,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import survey
+from tests.conftest import plan_of, survey
 from voxtally import constants as K
 from voxtally.operators import merge, stats
 from voxtally.operators.joins import lookup_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("heavy_rows", [10**6, 7])
-def test_lookup_join_with_a_hot_key(spark, how, heavy_rows):
+def test_lookup_join_with_a_hot_key(spark, how):
     rows = spark.range(300).select(
         F.col("id").alias("pos"),
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
@@ -21,22 +20,32 @@ def test_lookup_join_with_a_hot_key(spark, how, heavy_rows):
         [("hot", -1)] + [(f"k{i}", i) for i in range(20)], "key string, v int"
     )
     want = sorted(map(tuple, rows.join(lookup, "key", how).select("pos", "key", "v").collect()), key=str)
-    got = lookup_join(rows, lookup, "key", "pos", how, heavy_rows=heavy_rows)
+    got = lookup_join(rows, lookup, "key", how)
     assert sorted(map(tuple, got.select("pos", "key", "v").collect()), key=str) == want
 
 
-def test_hot_key_is_spread(spark):
-    rows = spark.range(1000).select(F.col("id").alias("pos"), F.lit("hot").alias("key"))
-    lookup = spark.createDataFrame([("hot", 1)], "key string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+def test_hot_key_is_split(spark):
+    """Also where the lookup comes from an aggregate by the same key."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("pos"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key")
+    )
+    lookup = rows.groupBy("key").agg(F.max("pos").alias("v"))
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in low}
     try:
-        joined = lookup_join(rows, lookup, "key", "pos", heavy_rows=50, hint="merge")
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in sizes) == 1000 and len(sizes) > 1
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        joined = lookup_join(rows.repartition(8), lookup, "key")
+        assert len(joined.collect()) == 60_000
+        assert "skew=true" in plan_of(joined)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_last_label_wins_and_every_record_stays(spark):
@@ -130,4 +139,4 @@ def test_counters_ride_along(spark):
     assert seen.get == {
         "surveys_analyzed": 2, "burnout_high_risk": 1, "urgent_actions": 1, "pii_detected": 1,
     }
-    assert stats.business_counters(rows).first().asDict() == {**seen.get, "insights_generated": 1}
+    assert stats.business_counters(rows, spark.range(3)).first().asDict() == {**seen.get, "insights_generated": 3}

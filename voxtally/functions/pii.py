@@ -1,11 +1,17 @@
 """Masking expressions. ``(?U)`` gives \\b, \\d and \\s their Unicode meaning."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from voxtally import constants as K
 from voxtally.functions.text import literal_map
 
 _CARD_RUN = r"(?U)\b(\d{13,19})\b"
+# Every decimal digit of another script, and what it is worth.
+_FOREIGN = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None]
+_WORTH = "".join(str(unicodedata.decimal(c)) for c in _FOREIGN)
 _IBAN_RUN = r"(?U)\b([A-Z]{2}\d{2}[A-Z0-9]{11,30})\b"
 
 
@@ -31,8 +37,13 @@ def mask_person(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)" + K.PERSON_PATTERN, K.PLACEHOLDERS["PERSON"])
 
 
+def ascii_digits(run: Column) -> Column:
+    """Digits of any script as 0 to 9."""
+    return F.translate(run, "".join(_FOREIGN), _WORTH)
+
+
 def _digits(run: Column) -> Column:
-    return F.transform(F.split(run, ""), lambda ch: ch.cast("int"))
+    return F.transform(F.split(ascii_digits(run), ""), lambda ch: ch.try_cast("int"))
 
 
 def passes_luhn(run: Column) -> Column:
@@ -41,11 +52,13 @@ def passes_luhn(run: Column) -> Column:
         F.reverse(_digits(run)),
         lambda d, i: F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2),
     )
-    return F.aggregate(weighted, F.lit(0), lambda a, d: a + d) % 10 == 0
+    total = F.aggregate(weighted, F.lit(0), lambda a, d: a + d)
+    return F.coalesce(total % 10 == 0, F.lit(False))
 
 
 def passes_mod97(run: Column) -> Column:
     """IBAN check: move four characters to the end, letters are 10..35, remainder is 1."""
+    run = ascii_digits(run)
     moved = F.concat(F.substring(run, 5, 30), F.substring(run, 1, 4))
     values = F.transform(
         F.split(moved, ""),

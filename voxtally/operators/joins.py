@@ -2,48 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-HEAVY_ROWS = 1_000_000
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to the one row per key of ``lookup``: a merge join whatever the sizes.
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    spread_by: str,
-    how: str = "inner",
-    counts: DataFrame | None = None,
-    heavy_rows: int = HEAVY_ROWS,
-    hint: str | None = None,
-) -> DataFrame:
-    """Join ``rows`` to the one row per key of ``lookup``.
-
-    A key with more than ``heavy_rows`` rows is cut into that many parts by a hash of
-    ``spread_by``, and its lookup row is repeated once per part; every other key joins as
-    it is. Only the heavy keys are broadcast: there are fewer than
-    (number of rows / heavy_rows) of them whatever the data looks like, a million for
-    10^12 rows. ``counts(key, n)`` saves the counting pass when the caller has it;
-    ``hint="merge"`` keeps Spark from broadcasting a lookup whose size it cannot tell, such
-    as a vocabulary.
+    A lookup aggregated by its key would come without an exchange of its own, and adaptive
+    execution splits a hot key's rows only where both sides have one. The hash beside the key
+    changes nothing in the result, but makes Spark deal out both sides for this join.
     """
-    if counts is None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    heavy = F.broadcast(
-        counts.filter(F.col("n") > heavy_rows).select(
-            F.col(key), F.ceil(F.col("n") / heavy_rows).cast("int").alias("_parts")
-        )
-    )
-    spread = F.xxhash64(spread_by)
-    part = (
-        F.when(F.col(key).isNull(), F.pmod(spread, F.lit(1 << 20)))  # matches nothing anyway
-        .when(F.col("_parts").isNotNull(), F.pmod(spread, F.col("_parts")))
-        .otherwise(0)
-    )
-    left = rows.join(heavy, key, "left").withColumn("_part", part.cast("int")).drop("_parts")
-    right = (
-        lookup.join(heavy, key, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts")
-    )
-    if hint:
-        right = right.hint(hint)
-    return left.join(right, [key, "_part"], how).drop("_part")
+    left = rows.withColumn("_hash", F.xxhash64(key))
+    right = lookup.withColumn("_hash", F.xxhash64(key)).hint("merge")
+    return left.join(right, [key, "_hash"], how).drop("_hash")

@@ -101,7 +101,7 @@ def phrases(df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFA
 
 
 def key_phrases(
-    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4, **join
+    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4
 ) -> DataFrame:
     """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``."""
     # Shuffling the texts by id is cheaper than their phrases, and spares shuffling those
@@ -110,12 +110,11 @@ def key_phrases(
     per_text = phrases(texts, id_, text, lexicon).groupBy(id_, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = df.agg(F.count(F.lit(1)))
-    scored = lookup_join(
-        per_text, frequency.withColumnRenamed("n", "df"), "term", id_, counts=frequency,
-        hint="merge", **join
-    ).withColumn("score", F.round(F.col("tf") * F.log(total.scalar() / F.col("df")), 6))
+    scored = lookup_join(per_text, frequency, "term").withColumn(
+        "score", F.round(F.col("tf") * F.log(total.scalar() / F.col("df")), 6)
+    )
     best = Window.partitionBy(id_).orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("rank", F.row_number().over(best))

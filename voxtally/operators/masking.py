@@ -6,7 +6,6 @@ from voxtally.functions import pii
 from voxtally.functions.text import compact
 from voxtally.schemas import MASKED_FIELDS
 
-PATTERNS = ["EMAIL", "PHONE", "PERSON"]
 # Checksummed runs go first: the phone pattern would take 13 to 15 digit cards.
 EVERYTHING = ["CREDIT_CARD", "IBAN_CODE", "EMAIL", "PHONE", "PERSON"]
 
@@ -19,7 +18,7 @@ _MASKS = {
 }
 
 
-def mask(df: DataFrame, text: str = "text", entities: list[str] = PATTERNS) -> DataFrame:
+def mask(df: DataFrame, text: str = "text", entities: list[str] = EVERYTHING) -> DataFrame:
     """Adds ``anonymized_text``, ``pii_types`` and ``pii_detected``.
 
     A type is listed when its pattern changed the text. Null and blank text comes
@@ -42,7 +41,7 @@ def mask(df: DataFrame, text: str = "text", entities: list[str] = PATTERNS) -> D
     )
 
 
-def masked_table(survey: DataFrame, entities: list[str] = PATTERNS) -> DataFrame:
+def masked_table(survey: DataFrame, entities: list[str] = EVERYTHING) -> DataFrame:
     return mask(survey, "text", entities).withColumn("original_text", F.col("text")).select(
         *MASKED_FIELDS
     )

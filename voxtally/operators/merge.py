@@ -18,27 +18,23 @@ def last_by_id(df: DataFrame, fields: list[str], order: str = "pos") -> DataFram
     ).select("response_id", *[F.col("_last")[f].alias(f) for f in fields])
 
 
-def enrich(records: DataFrame, labels: DataFrame, spread_by: str = "pos", **join) -> DataFrame:
+def enrich(records: DataFrame, labels: DataFrame) -> DataFrame:
     """Every record that has a label, with the fields of that label; the others drop out.
 
     ``labels`` holds one row per ``response_id`` (see ``last_by_id``); every record of a
     repeated id is kept, with its own department.
     """
-    return lookup_join(records, labels, "response_id", spread_by, **join)
+    return lookup_join(records, labels, "response_id")
 
 
-def with_topics(
-    rows: DataFrame, topics: DataFrame | None, spread_by: str = "pos", **join
-) -> DataFrame:
+def with_topics(rows: DataFrame, topics: DataFrame | None) -> DataFrame:
     """Adds the topic columns; rows without a topic, or a run without topics, get defaults."""
     fields = ["topic_id", "topic_label", "topic_keywords"]
     if topics is None:
         for f, kind in zip(fields, ["int", "string", "array<string>"]):
             rows = rows.withColumn(f, F.lit(None).cast(kind))
     else:
-        rows = lookup_join(
-            rows, topics.select("response_id", *fields), "response_id", spread_by, "left", **join
-        )
+        rows = lookup_join(rows, topics.select("response_id", *fields), "response_id", "left")
     return rows.withColumns({
         "topic_id": F.coalesce("topic_id", F.lit(K.NO_TOPIC)),
         "topic_label": F.coalesce("topic_label", F.lit(K.NO_TOPIC_LABEL)),

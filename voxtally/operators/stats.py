@@ -144,10 +144,11 @@ def _run_counters() -> list[Column]:
     ]
 
 
-def business_counters(analyzed: DataFrame) -> DataFrame:
-    """Counters of one run over rows that also carry ``pii_detected``."""
-    report = F.count(F.lit(1)).cast("boolean").cast("bigint").alias("insights_generated")
-    return analyzed.agg(*_run_counters(), report)
+def business_counters(analyzed: DataFrame, reports: DataFrame) -> DataFrame:
+    """Counters of one run over rows that also carry ``pii_detected``, and how many reports
+    there are."""
+    written = reports.agg(F.count(F.lit(1)).alias("insights_generated"))
+    return analyzed.agg(*_run_counters()).withColumn("insights_generated", written.scalar())
 
 
 def observe_counters(analyzed: DataFrame, observation: Observation) -> DataFrame:

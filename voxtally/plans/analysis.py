@@ -31,10 +31,10 @@ def model_labeller(fn, **options) -> Labeller:
 def analyze(
     survey: DataFrame,
     label: Labeller = lexicon_labeller,
-    entities: list[str] = masking.PATTERNS,
+    entities: list[str] = masking.EVERYTHING,
     run_topics: bool = False,
     unique_ids: bool = False,
-    **join,
+    gate: bool = False,
 ) -> DataFrame:
     """The 18 result columns and ``pos`` for every valid record that gets a label.
 
@@ -43,10 +43,12 @@ def analyze(
     own department. With ``unique_ids`` (a promise of the caller) there is nothing to look
     up, and row-wise labels make the whole analysis one stage without a shuffle.
 
-    ``run_topics`` needs at least ten valid records; with fewer, or when the topics cannot be
-    fitted, the topic columns keep their defaults.
+    ``run_topics`` needs at least ten valid records; with fewer, or when there is no topic in
+    them, the topic columns keep their defaults. With ``gate`` a survey without a single valid
+    record raises its first errors instead of giving an empty table.
     """
-    valid = validate.valid(validate.check_rows(survey))
+    checked = validate.check_rows(survey)
+    valid = validate.require_valid(checked) if gate else validate.valid(checked)
     if unique_ids:
         rows = burnout.score(label(masking.mask(valid, entities=entities)))
     else:
@@ -58,7 +60,6 @@ def analyze(
                 "response_id", "anonymized_text", *LABEL_FIELDS,
                 "risk_score", "risk_level", "risk_factors",
             ),
-            **join,
         )
     assigned = None
     if run_topics and topics.enough_rows(valid.select("pos")):
@@ -68,7 +69,16 @@ def analyze(
             ))
         except Exception as problem:
             warnings.warn(f"topics skipped: {problem}")
-    return merge.result(merge.with_topics(rows, assigned, **join))
+    return merge.result(merge.with_topics(rows, assigned))
+
+
+def processed(checked: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """``total_processed`` analysed records and the ``validation_errors`` of all records, in one
+    row."""
+    done = analyzed.agg(F.count(F.lit(1)))
+    return checked.agg(F.sum(F.size("errors")).alias("validation_errors")).select(
+        done.scalar().alias("total_processed"), "validation_errors"
+    )
 
 
 def text_topics(texts: DataFrame, id_: str = "response_id", features: int = 1 << 8) -> DataFrame:

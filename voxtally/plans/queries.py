@@ -213,11 +213,24 @@ def pii_iban(spark, sf):
 
 # -- labels -----------------------------------------------------------------------
 
+def _echo():
+    def answer(asked):
+        return json.dumps([{"id": a["id"], "response_id": a["response_id"]} for a in asked])
+
+    return answer
+
+
 def label_chunks(spark, sf):
-    return views.survey_raw(spark, sf).select(
-        "response_id", F.expr(f"pos div {K.LABEL_CHUNK}").alias("chunk"),
-        (F.col("pos") % K.LABEL_CHUNK).alias("id_in_chunk"),
-    )
+    """What a model is given: ten records at a time, numbered from 0. Records lie so that the
+    chunks are known."""
+    survey = views.survey_raw(spark, sf).withColumn("_chunk", F.expr(f"pos div {K.LABEL_CHUNK}"))
+    together = survey.repartition("_chunk").sortWithinPartitions("_chunk", "pos")
+    given = labelling.ask_model(together, _echo(), "text")
+    asked = F.from_json("raw", "array<struct<id:long,response_id:string>>")
+    first = F.substring(F.get("ids", F.lit(0)), 2, 20).cast("long")
+    return given.select(
+        (first / K.LABEL_CHUNK).cast("long").alias("chunk"), F.inline_outer(asked)
+    ).select("response_id", "chunk", F.col("id").alias("id_in_chunk"))
 
 
 def _length_labeller():
@@ -445,11 +458,14 @@ def analyze_topics(spark, sf):
 
 
 def analyze_summary(spark, sf):
-    """Both counts in one pass over the records."""
-    return _checked(spark, sf).agg(
-        F.count_if(F.size("errors") == 0).alias("total_processed"),
-        F.sum(F.size("errors")).alias("validation_errors"),
-    )
+    """Every seventh record gets no label and is not processed."""
+    survey = views.survey_raw(spark, sf)
+
+    def some(rows):
+        return views.with_drawn_labels(rows).filter("pos % 7 <> 3")
+
+    analyzed = analysis.analyze(survey, some, unique_ids=True)
+    return analysis.processed(_checked(spark, sf), analyzed)
 
 
 # -- statistics ---------------------------------------------------------------------
@@ -504,8 +520,9 @@ def urgent_rows(spark, sf):
 def business_counters(spark, sf):
     masked = masking.mask(validate.valid(_checked(spark, sf)))
     scored = burnout.score(views.with_drawn_labels(masked))
+    reports = report.report(_settled_counts(spark, sf), tables.kb_seed(spark))
     return stats.business_counters(
-        scored.withColumnRenamed("risk_level", "burnout_risk_level")
+        scored.withColumnRenamed("risk_level", "burnout_risk_level"), reports
     )
 
 
@@ -595,7 +612,8 @@ def cosine_topk(spark, sf):
 
 
 def cosine_topk_lsh(spark, sf):
-    return retrieval.cosine_topk_lsh(*_vector_search(spark, sf))
+    # These vectors are nearly at right angles: fewer bits, or little would be found.
+    return retrieval.cosine_topk_lsh(*_vector_search(spark, sf), tables=24, bits=4)
 
 
 def text_topk(spark, sf):

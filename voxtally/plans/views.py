@@ -47,11 +47,11 @@ PROSE = replace(
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents", "doc_id")
+    return read_table(spark, sf, "documents")
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "embeddings", "vec_id")
+    return read_table(spark, sf, "embeddings")
 
 
 def response_id():

@@ -12,9 +12,12 @@ from voxtally.schemas import KB
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if there is nothing there; what can't be read is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -77,7 +80,6 @@ def with_vectors(
     path: str,
     encoder: str,
     encode: Callable[[DataFrame], DataFrame],
-    spread_by: str,
     text: str = "text",
 ) -> DataFrame:
     """Adds ``vec``; texts not in the cache at ``path`` are encoded and appended first.
@@ -95,7 +97,7 @@ def with_vectors(
         "text_hash", "vec"
     )
     keyed = texts.withColumn("text_hash", text_key(text))
-    return lookup_join(keyed, vectors, "text_hash", spread_by).drop("text_hash")
+    return lookup_join(keyed, vectors, "text_hash").drop("text_hash")
 
 
 # -- topic models ---------------------------------------------------------------
@@ -114,12 +116,5 @@ def load_topic_model(spark: SparkSession, path: str) -> tuple[PipelineModel, Dat
 
 # -- input tables -----------------------------------------------------------------
 
-def read_table(spark: SparkSession, folder: str, name: str, *spread_by: str) -> DataFrame:
-    """A parquet table. A scan with fewer splits than the session has cores is spread over
-    them by key, as its row-wise work would otherwise sit in a few tasks; a large table
-    has more splits than that and is read as it is."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *spread_by)
-    return df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
