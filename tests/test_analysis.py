@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tests.conftest import plan_of, survey
+from voxtally.operators import topics, validate
 from voxtally.plans import analysis
 from voxtally.schemas import ANALYZED_FIELDS
 from voxtally.sources import tables
@@ -72,10 +73,41 @@ def test_report_on_a_cohort(spark, sample):
 
 def test_topics_that_cannot_be_fitted_are_skipped(spark, monkeypatch):
     def fail(*_):
-        raise RuntimeError("no room")
+        raise topics.NoTopics("no room")
 
     monkeypatch.setattr(analysis, "text_topics", fail)
     many = survey(spark, [(i, f"r{i}", f"the same text {i}") for i in range(12)])
     with pytest.warns(UserWarning, match="no room"):
         got = analysis.analyze(many, run_topics=True)
     assert {r["topic_label"] for r in got.collect()} == {"N/A"}
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(analysis, "text_topics", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        analysis.analyze(many, run_topics=True)
+
+
+def test_topics_are_kept_and_used_again(spark, tmp_path):
+    def table(rows):
+        return spark.createDataFrame(rows, "response_id string, text string")
+
+    known = table([(f"a{i}", "salary bonus pay" if i % 2 else "laptop software tools") for i in range(40)])
+    path, cache = str(tmp_path / "model"), str(tmp_path / "cache")
+    fitted = {r["response_id"]: r for r in analysis.text_topics(known, path=path, cache=cache).collect()}
+    new = table([("x", "salary bonus pay"), ("y", "software laptop laptop"), ("z", "salary bonus pay")])
+    got = {r["response_id"]: r for r in analysis.predict_texts(new, path, cache=cache).collect()}
+    for one, other in (("x", "a1"), ("z", "a1"), ("y", "a0")):
+        assert got[one]["topic_id"] == fitted[other]["topic_id"] >= 0
+        assert set(got[one]["topic_keywords"]) == set(fitted[other]["topic_keywords"])
+        assert 0 < got[one]["topic_confidence"] <= 1
+    fields = ("topic_label", "topic_keywords", "topic_confidence")
+    assert len({tuple(map(str, (r[f] for f in fields))) for r in (got["x"], got["z"], fitted["a1"])}) == 1
+    assert spark.read.parquet(cache).count() == 3  # three different texts
+
+
+def test_gate(spark):
+    with pytest.raises(validate.NoValidRecords):
+        analysis.analyze(survey(spark, [(0, "a", "")]), gate=True)
+    assert analysis.analyze(survey(spark, [(0, "a", "")])).count() == 0

@@ -5,7 +5,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from voxtally import constants as K
@@ -15,12 +15,9 @@ from voxtally.functions.text import TOKEN, bind, tokens
 
 # -- vectors and clusters -------------------------------------------------------
 
-def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 8) -> PipelineModel:
-    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out.
-
-    Every later step carries a vector per text, so there are about as many numbers in it as
-    in a sentence embedding.
-    """
+def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 18) -> PipelineModel:
+    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out, which stays sparse:
+    it has as many numbers as the text has different words."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
@@ -128,16 +125,9 @@ def keywords_by_similarity(
         V.doubles(F.col(vector)).alias("v"),
         F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"),
     ).join(F.broadcast(listed.select("term").distinct()), "term")
-    # One counter per term and dimension: the vectors are added up where they are read.
-    term_vectors = (
-        words.select("term", F.posexplode("v").alias("i", "x"))
-        .groupBy("term", "i")
-        .agg(F.avg("x").alias("x"))
-        .groupBy("term")
-        .agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]
-        ).alias("tv"))
-    )
+    term_vectors = words.groupBy("term").agg(
+        Summarizer.mean(array_to_vector("v")).alias("m")
+    ).select("term", vector_to_array("m").alias("tv"))
     topic_vectors = centroids(docs, topic, vector)
     best = Window.partitionBy(topic).orderBy(F.desc("similarity"), "term")
     return (
@@ -215,32 +205,97 @@ def predict(df: DataFrame, centres: DataFrame, vector: str = "embedding") -> Dat
 def confidence(df: DataFrame, centres: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds ``topic_confidence``: the softmax share of the row's own topic over the cosines
     to all topics, at most 1; 0 for outliers."""
+    return _with_similarities(df, centres, vector).withColumn(
+        "topic_confidence", _own_share(F.col("_near"), F.col("topic_id"))
+    ).drop("_near")
+
+
+def _similarities(vectors: DataFrame, topics: DataFrame) -> DataFrame:
+    """Adds ``_near``: (cosine, -topic) for every topic to rows with ``features`` of length 1,
+    sparse or dense. The centres are n_topics vectors in one value, so there is no join."""
+    listed = topics.filter(F.col("topic_id") != K.NO_TOPIC).select(
+        "topic_id", V.unit(vector_to_array("centroid")).alias("c")
+    ).agg(F.array_sort(F.collect_list(F.struct("topic_id", "c"))))
+    raw = F.unwrap_udt("features")
+    places = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
+
+    def cosine(centre):
+        return F.aggregate(
+            F.arrays_zip(F.col("_at").alias("i"), F.col("_values").alias("x")), F.lit(0.0),
+            lambda a, s: a + s["x"] * F.get(centre, s["i"]),
+        )
+
+    return (
+        vectors.withColumns({"_at": places, "_values": raw["values"], "_centres": listed.scalar()})
+        .withColumn("_near", F.transform("_centres", lambda c: F.struct(
+            cosine(c["c"]).alias("cos"), (-c["topic_id"]).alias("minus")
+        )))
+        .drop("_at", "_values", "_centres")
+    )
+
+
+def _own_share(near: Column, topic: Column) -> Column:
+    """Softmax share of a row's topic, at most 1; 0 for outliers."""
     own = F.aggregate(
         F.arrays_zip(
-            F.transform("_near", lambda s: s["minus"]).alias("minus"),
-            V.softmax(F.transform("_near", lambda s: s["cos"])).alias("p"),
+            F.transform(near, lambda s: s["minus"]).alias("minus"),
+            V.softmax(F.transform(near, lambda s: s["cos"])).alias("p"),
         ),
         F.lit(0.0),
-        lambda acc, s: F.when(s["minus"] == -F.col("topic_id"), s["p"]).otherwise(acc),
+        lambda acc, s: F.when(s["minus"] == -topic, s["p"]).otherwise(acc),
     )
-    return _with_similarities(df, centres, vector).withColumn(
-        "topic_confidence",
-        F.when(F.col("topic_id") == K.NO_TOPIC, F.lit(0.0))
-        .otherwise(F.round(F.least(F.lit(1.0), own), 4)),
-    ).drop("_near")
+    return F.when(topic == K.NO_TOPIC, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), own), 4))
 
 
 def enough_rows(df: DataFrame, least: int = K.MIN_ROWS_FOR_TOPICS) -> bool:
     return df.limit(least).count() >= least
 
 
-def assign(texts: DataFrame, vectors: DataFrame, id_: str = "response_id") -> DataFrame:
-    """Topic table for texts whose ``features`` are given:
-    ``(id, topic_id, topic_label, topic_keywords, topic_confidence)``."""
-    model = fit_clusters(vectors)
-    folded = fold_small(model.transform(vectors)).withColumn(
-        "_array", vector_to_array("features")
+class NoTopics(ValueError):
+    """The vectors give no clusters: there are none, or none that differ."""
+
+
+def fit(
+    texts: DataFrame, vectors: DataFrame, id_: str = "response_id", n_topics: int = K.N_TOPICS
+) -> tuple[DataFrame, DataFrame]:
+    """``(members, topics)`` of texts whose ``features`` are given: ``(id, topic_id, features)``, and
+    ``(topic_id, centroid, topic_label, topic_keywords)`` with a row per topic. Outliers have a
+    label and no centroid."""
+    if vectors.isEmpty():
+        raise NoTopics("no vectors")
+    members = fold_small(fit_clusters(vectors, n_topics).transform(vectors), n_topics=n_topics).select(
+        id_, "topic_id", "features"
+    )
+    centres = members.filter(F.col("topic_id") != K.NO_TOPIC).groupBy("topic_id").agg(
+        Summarizer.mean(F.col("features")).alias("centroid")
+    )
+    named = labels(keywords(members.select(id_, "topic_id").join(texts, id_)))
+    return members, named.join(centres, "topic_id", "left").select(
+        "topic_id", "centroid", "topic_label", "topic_keywords"
+    )
+
+
+def _described(near: DataFrame, topics: DataFrame, id_: str) -> DataFrame:
+    share = _own_share(F.col("_near"), F.col("topic_id")).alias("topic_confidence")
+    return describe(
+        near.select(id_, "topic_id", share), topics.select("topic_id", "topic_label", "topic_keywords")
     )
-    scored = confidence(folded, centroids(folded, vector="_array"), "_array")
-    named = labels(keywords(folded.select(id_, "topic_id").join(texts, id_)))
-    return describe(scored.select(id_, "topic_id", "topic_confidence"), named)
+
+
+def members_described(members: DataFrame, topics: DataFrame, id_: str = "response_id") -> DataFrame:
+    """Topic table of the texts a model was fitted on:
+    ``(id, topic_id, topic_label, topic_keywords, topic_confidence)``."""
+    return _described(_similarities(members, topics), topics, id_)
+
+
+def assign_new(vectors: DataFrame, topics: DataFrame, id_: str = "response_id") -> DataFrame:
+    """The same table for other vectors: each goes to the topic with the nearest centre, the first
+    of equal ones. Without any topic all are outliers."""
+    near = _similarities(vectors, topics)
+    nearest = F.coalesce(-F.array_max("_near")["minus"], F.lit(K.NO_TOPIC))
+    return _described(near.withColumn("topic_id", nearest), topics, id_)
+
+
+def assign(texts: DataFrame, vectors: DataFrame, id_: str = "response_id") -> DataFrame:
+    """Topic table for texts whose ``features`` are given."""
+    return members_described(*fit(texts, vectors, id_), id_)

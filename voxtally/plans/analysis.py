@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtally.operators import burnout, labelling, masking, merge, report, stats, topics, validate
 from voxtally.schemas import LABEL_FIELDS
+from voxtally.sources import tables
 from voxtally.sources.checkpoints import settle
 
 Labeller = Callable[[DataFrame], DataFrame]
@@ -63,11 +64,11 @@ def analyze(
         )
     assigned = None
     if run_topics and topics.enough_rows(valid.select("pos")):
+        # Written once: the topic run reads the masked texts several times.
+        texts = settle(rows.groupBy("response_id").agg(F.min("anonymized_text").alias("text")))
         try:
-            assigned = text_topics(rows.groupBy("response_id").agg(
-                F.min("anonymized_text").alias("text")
-            ))
-        except Exception as problem:
+            assigned = text_topics(texts)
+        except topics.NoTopics as problem:
             warnings.warn(f"topics skipped: {problem}")
     return merge.result(merge.with_topics(rows, assigned))
 
@@ -81,15 +82,43 @@ def processed(checked: DataFrame, analyzed: DataFrame) -> DataFrame:
     )
 
 
-def text_topics(texts: DataFrame, id_: str = "response_id", features: int = 1 << 8) -> DataFrame:
-    """Topic table of ``(id, text)`` from hashed TF-IDF vectors.
+def text_topics(
+    texts: DataFrame, id_: str = "response_id", path: str | None = None, cache: str | None = None
+) -> DataFrame:
+    """Topic table of ``(id, text)`` from hashed TF-IDF vectors, kept at ``path`` for
+    ``predict_texts`` if given.
 
     The vectors are written once: clustering reads them again in every round, and must not
     go back to the texts for that, nor start over when an executor is lost.
     """
-    encoder = topics.fit_encoder(texts, features=features)
-    vectors = settle(topics.encode(encoder, texts).select(id_, "features"))
-    return topics.assign(texts, vectors, id_)
+    encoder = topics.fit_encoder(texts)
+    vectors = settle(_vectors(encoder, texts, id_, cache))
+    members, found = topics.fit(texts, vectors, id_)
+    if path:
+        tables.save_topic_model(encoder, found, path)
+        found = tables.load_topic_model(texts.sparkSession, path)[1]
+    return topics.members_described(members, found, id_)
+
+
+def predict_texts(
+    texts: DataFrame, path: str, id_: str = "response_id", cache: str | None = None
+) -> DataFrame:
+    """Topic table of other texts by the model at ``path``. Texts with a vector in ``cache`` are
+    not encoded again."""
+    encoder, found = tables.load_topic_model(texts.sparkSession, path)
+    return topics.assign_new(_vectors(encoder, texts, id_, cache), found, id_)
+
+
+def _vectors(encoder, texts: DataFrame, id_: str, cache: str | None) -> DataFrame:
+    """``(id, features)``."""
+    if cache is None:
+        return topics.encode(encoder, texts).select(id_, "features")
+
+    def encode(misses: DataFrame) -> DataFrame:
+        return topics.encode(encoder, misses).withColumnRenamed("features", "vec")
+
+    found = tables.with_vectors(texts.sparkSession, texts, cache, encoder.uid, encode)
+    return found.select(id_, F.col("vec").alias("features"))
 
 
 def report_on(analyzed: DataFrame, kb: DataFrame) -> DataFrame:

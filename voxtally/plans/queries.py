@@ -1,8 +1,12 @@
 """One query per operator: ``(spark, folder) -> DataFrame``. Lists are joined to text."""
 
 import json
+import uuid
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -559,6 +563,30 @@ def topic_fit(spark, sf):
     return _flat(topics.assign(docs.select("doc_id", "text"), vectors, "doc_id"))
 
 
+def topic_reuse(spark, sf):
+    """Topics fitted on every other ten documents, stored, loaded, and given to the rest. The
+    vectors are made so that four classes of known size lie apart."""
+    tens = F.col("doc_id") % 10
+    docs = views.documents(spark, sf).select(
+        "doc_id", "text", F.expr("(doc_id div 10) % 2 = 0").alias("fitted"),
+        F.when(tens == 0, 0).when(tens < 3, 1).when(tens < 6, 2).otherwise(3).alias("cls"),
+    )
+    raw = F.array(*[
+        F.when(F.col("cls") == i, 10.0).otherwise(0.0) + (F.col("doc_id") * 7 + i * 3) % 11 / 10.0
+        for i in range(4)
+    ])
+    vectors = docs.select("doc_id", "fitted", array_to_vector(raw).alias("raw"))
+    encoder = PipelineModel([Normalizer(inputCol="raw", outputCol="features")])
+    known = encoder.transform(vectors.filter("fitted")).select("doc_id", "features")
+    _, found = topics.fit(docs.filter("fitted").select("doc_id", "text"), known, "doc_id", n_topics=4)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder}/topics-{uuid.uuid4().hex}"
+    tables.save_topic_model(encoder, found, path)
+    loaded, found = tables.load_topic_model(spark, path)
+    rest = loaded.transform(vectors.filter("not fitted")).select("doc_id", "features")
+    return _flat(topics.assign_new(rest, found, "doc_id"))
+
+
 def topic_outliers(spark, sf):
     return topics.fold_small(
         views.embeddings(spark, sf).select("vec_id", "label"), "label", min_size=50
@@ -673,7 +701,7 @@ QUERIES = {
         freq_tables, cohort_stats, top_themes, top_departments, kpi_tiles, value_counts,
         urgent_rows, business_counters, labelled_counter, latency_histogram,
         model_latency_histogram,
-        vectors_unit_norm, topic_fit, topic_outliers, topic_keywords, topic_keywords_rerank,
+        vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_keywords, topic_keywords_rerank,
         topic_labels, topic_confidence, topic_predict,
         cosine_topk, cosine_topk_lsh, text_topk,
         report_queries, report_context, report_findings, report_actions, report_json,

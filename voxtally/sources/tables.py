@@ -84,12 +84,12 @@ def with_vectors(
 ) -> DataFrame:
     """Adds ``vec``; texts not in the cache at ``path`` are encoded and appended first.
 
-    ``encode`` takes ``(text_hash, text)`` and adds ``vec array<double>``. The key is the
+    ``encode`` takes ``(text_hash, text)`` and adds ``vec``, an array or a vector. The key is the
     text itself under the encoder's name, so other texts never get these vectors.
     """
     cache = _read(spark, path)
     if cache is None:
-        cache = spark.createDataFrame([], "encoder string, text_hash string, vec array<double>")
+        cache = spark.createDataFrame([], "encoder string, text_hash string")
     encode(cache_misses(texts, cache, encoder, text)).select(
         F.lit(encoder).alias("encoder"), "text_hash", "vec"
     ).write.mode("append").parquet(path)
