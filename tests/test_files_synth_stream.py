@@ -14,7 +14,7 @@ from voxtally.streaming.analyze import analyze_stream, write_stream
 def test_csv_is_text_and_renamed(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('id,response,lang,extra\n007,"multi\nline, ""quoted""",en,1\n8,plain text,,2\n', "utf-8")
-    rows = files.read_csv(spark, str(path)).collect()
+    rows = files.read_csv(spark, str(path), multi_line=True).collect()
     assert rows[0].asDict() == {
         "response_id": "007", "text": 'multi\nline, "quoted"', "department": None, "language": "en",
         "employee_id": None, "survey_theme": None,

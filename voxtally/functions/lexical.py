@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from voxtally import constants as K
 from voxtally.functions.text import (
-    bind, compact, quoted, sentences, strings, term_counts, tokens,
+    bind, quoted, sentences, strings, term_counts, tokens,
 )
 from voxtally.lexicon import Lexicon
 
@@ -96,12 +96,13 @@ def ranked_themes(hits: str, lexicon: Lexicon) -> Column:
 
 
 def emotion_tags(hits: str, lexicon: Lexicon) -> Column:
-    """Up to three emotions with a hit, in alphabetical order."""
-    present = compact(*[
-        F.when(F.size(matches(hits, terms)) > 0, emotion)
+    """Up to three emotions by number of hits, ties in alphabetical order."""
+    counted = F.array(*[
+        F.struct((-F.size(matches(hits, terms))).alias("minus"), F.lit(emotion).alias("emotion"))
         for emotion, terms in sorted(lexicon.emotions.items())
     ])
-    return F.slice(present, 1, 3)
+    found = F.sort_array(F.filter(counted, lambda s: s["minus"] < 0))
+    return F.transform(F.slice(found, 1, 3), lambda s: s["emotion"])
 
 
 def wants_to_leave(text: Column, lexicon: Lexicon) -> Column:

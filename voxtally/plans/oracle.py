@@ -246,11 +246,11 @@ themes AS (
   FROM tok LEFT JOIN theme_hit USING (response_id) GROUP BY response_id),
 emotion_term(t, emotion) AS ({values(emotions)}),
 emo AS (
-  SELECT response_id, coalesce(list(emotion ORDER BY emotion) FILTER (r <= 3), []) AS emotion_tags
+  SELECT response_id, coalesce(list(emotion ORDER BY r) FILTER (r <= 3), []) AS emotion_tags
   FROM tok LEFT JOIN (
     SELECT response_id, emotion,
-      row_number() OVER (PARTITION BY response_id ORDER BY emotion) AS r
-    FROM (SELECT DISTINCT response_id, emotion FROM word JOIN emotion_term USING (t))
+      row_number() OVER (PARTITION BY response_id ORDER BY count(*) DESC, emotion) AS r
+    FROM word JOIN emotion_term USING (t) GROUP BY response_id, emotion
   ) USING (response_id) GROUP BY response_id),
 share(t, li, w) AS ({values(shares)}),
 evidence AS (
@@ -600,7 +600,8 @@ SELECT count(*) FILTER (msg IS NULL AND pos % 7 <> 3) AS total_processed,
     "src_rename": """SELECT CAST(doc_id AS VARCHAR) AS response_id, text,
   CAST(NULL AS VARCHAR) AS department, lang AS language, CAST(NULL AS VARCHAR) AS employee_id,
   CAST(NULL AS VARCHAR) AS survey_theme FROM documents""",
-    "json_records": """SELECT event_id, CAST(0 AS INT) AS pos,
+    "json_records": """SELECT event_id // 5 AS request_id,
+  CAST(row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) - 1 AS INT) AS pos,
   CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
     "fill_ids": """SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 1 THEN 'd' || doc_id
   ELSE 'resp_' || printf('%05d', doc_id) || '_' || substr(sha256(text), 1, 6) END AS response_id
@@ -654,6 +655,10 @@ e(pos, err_ord, shown, loc, msg) AS (
 SELECT pos, CAST(err_ord AS INT) AS err_ord, {error_line('pos', 'shown', 'loc', 'msg')} AS error
 FROM e""",
     "pii_mask": f"WITH {SURVEY} SELECT response_id, {masked('text')} AS anonymized_text FROM survey",
+    "pii_blank": f"""WITH {SURVEY} SELECT response_id, CASE doc % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE text END
+  AS anonymized_text, FALSE AS blank_detected FROM (SELECT *, pos AS doc FROM survey) WHERE pos % 3 < 2
+UNION ALL SELECT response_id, {masked('text')}, {masked('text')} <> text FROM survey WHERE pos % 3 = 2""",
+    "pii_links": "SELECT page_id, url AS masked_url FROM pages",
     "pii_types": f"""WITH {SURVEY}, {runs('survey', r'\b[0-9]{13,19}\b', LUHN, '[CREDIT_CARD]')},
 steps AS (
   SELECT response_id, department, language, survey_theme, text AS t0, masked AS t1,
@@ -751,6 +756,8 @@ SELECT total, avg_burnout_score, urgent_action_count,
   {pairs(of('risk_level'))} AS burnout_summary, {pairs(of('action'))} AS action_distribution,
   {pairs(top('department'))} AS department_distribution
 FROM totals WHERE total > 0""",
+    "cohort_empty": f"""{FREQ}, {TOTALS}
+SELECT 'full' AS cohort, total, avg_burnout_score FROM totals WHERE total > 0""",
     "top_themes": f"{FREQ} SELECT value, n, first_pos FROM {top('theme')}",
     "top_departments": f"{FREQ} SELECT value, n, first_pos FROM {top('department')}",
     "kpi_tiles": f"""{ANALYZED}

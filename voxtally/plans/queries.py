@@ -56,11 +56,16 @@ def src_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_records(spark, sf):
-    request = F.concat(F.lit("["), F.col("props"), F.lit("]"))
-    events = _read(spark, sf, "events").select("event_id", request.alias("request"))
-    records = files.records_of_request(events, "request", "event_id")
+    """Five events to a request."""
+    listed = F.array_sort(F.collect_list(F.struct("event_id", "props")))
+    joined = F.array_join(F.transform(listed, lambda e: e["props"]), ", ")
+    requests = (
+        _read(spark, sf, "events").groupBy(F.expr("event_id div 5").alias("request_id"))
+        .agg(F.concat(F.lit("["), joined, F.lit("]")).alias("request"))
+    )
+    records = files.records_of_request(requests, "request", "request_id")
     return records.select(
-        "event_id", "pos",
+        "request_id", "pos",
         F.try_variant_get(F.try_parse_json("record"), F.lit("$.k"), "bigint").alias("k"),
     )
 
@@ -183,6 +188,21 @@ def pii_mask(spark, sf):
     return masking.mask(views.survey_raw(spark, sf)).select("response_id", "anonymized_text")
 
 
+def pii_blank(spark, sf):
+    """Two of three texts are missing or blank."""
+    text = F.when(F.col("pos") % 3 == 1, F.lit("  ")).when(F.col("pos") % 3 == 2, F.col("text"))
+    survey = views.survey_raw(spark, sf).withColumn("text", text)
+    return masking.mask(survey).select(
+        "response_id", "anonymized_text", F.col("pii_detected").alias("blank_detected")
+    )
+
+
+def pii_links(spark, sf):
+    """Addresses of pages hold nothing personal and stay."""
+    links = _read(spark, sf, "pages").select("page_id", F.col("url").alias("text"))
+    return masking.mask(links).select("page_id", F.col("anonymized_text").alias("masked_url"))
+
+
 def pii_types(spark, sf):
     masked = masking.masked_table(views.survey_raw(spark, sf), masking.EVERYTHING)
     return _flat(masked.select(
@@ -498,6 +518,18 @@ def cohort_stats(spark, sf):
     )
 
 
+def cohort_empty(spark, sf):
+    """A cohort without rows has no statistics, next to one with rows."""
+    rows = views.analyzed_rows(spark, sf)
+
+    def row(name, cohort):
+        return stats.cohort_stats(stats.cohort_counts(cohort)).select(
+            F.lit(name).alias("cohort"), "total", "avg_burnout_score"
+        )
+
+    return row("full", rows).unionByName(row("empty", rows.filter("pos < 0")))
+
+
 def top_themes(spark, sf):
     return stats.top_values(stats.frequencies(_counts(spark, sf)), "theme")
 
@@ -692,13 +724,13 @@ QUERIES = {
         src_rename, json_records, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses,
         validate_rows, validate_split, validate_errors, validate_errors_top50,
         validate_summary, validate_json,
-        pii_mask, pii_types, pii_cards, pii_iban,
+        pii_mask, pii_blank, pii_links, pii_types, pii_cards, pii_iban,
         label_chunks, label_hook, label_parse, label_chunk_fallback, label_align,
         sentiment_lexicon, theme_tags, emotion_tags, key_phrases, action_signal,
         detect_language, lead_sentence, sentiment_model,
         burnout_score, burnout_emotion, burnout_factors,
         merge_inner, merge_last_wins, merge_topics,
-        freq_tables, cohort_stats, top_themes, top_departments, kpi_tiles, value_counts,
+        freq_tables, cohort_stats, cohort_empty, top_themes, top_departments, kpi_tiles, value_counts,
         urgent_rows, business_counters, labelled_counter, latency_histogram,
         model_latency_histogram,
         vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_keywords, topic_keywords_rerank,

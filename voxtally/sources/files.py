@@ -32,10 +32,11 @@ def declared_fields(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A CSV with a header. Every column is text: ids keep their zeros, empty cells are null.
 
-    Without ``multi_line`` no cell may hold a line break, and large files can be split.
+    Large files are split; cells that hold line breaks need ``multi_line``, which reads each
+    file in one task.
     """
     header = spark.read.csv(
         path, header=True, multiLine=multi_line, escape='"', inferSchema=False
@@ -43,8 +44,8 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     return declared_fields(rename_columns(header))
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records of a JSON array, or one per line if ``lines`` (which can be split).
+def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Records one per line, or without ``lines`` those of a JSON array, in one task a file.
 
     Rows that cannot be read come back with all fields null, so they fail validation.
     """
