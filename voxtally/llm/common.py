@@ -24,11 +24,6 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array, none for an empty one."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -86,7 +86,9 @@ def trigrams(text: str) -> np.ndarray:
     codes = codes[np.append(True, ~(other[1:] & other[:-1]))] if len(codes) else codes
     if len(codes) < 3:
         return np.zeros(0, np.int64)
-    mixed = (codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA77)) ^ (codes[2:] * np.uint32(0xC2B2AE3D))
+    first, second, third = codes[:-2], codes[1:-1], codes[2:]
+    mixed = (first * np.uint32(0x9E3779B1)) ^ (second * np.uint32(0x85EBCA77))
+    mixed ^= third * np.uint32(0xC2B2AE3D)
     return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(BINS)).astype(np.int64)
 
 
@@ -130,9 +132,9 @@ def evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> DataFr
                 cells = trigrams(text)
                 n = len(cells)
                 weight = WORTH / (n + WORTH)
-                found = (np.bincount(cells, minlength=BINS) @ logs.T * weight) if n else np.zeros(len(languages))
+                found = np.bincount(cells, minlength=BINS) @ logs.T * weight
                 declared = declared if declared in known or not declared else "?"
-                rows.append((*address(url or ""), declared, (found - found.max(initial=0.0) if n else found).tolist()))
+                rows.append((*address(url or ""), declared, (found - found.max()).tolist()))
             host, domain, suffix, declared, text = zip(*rows) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [

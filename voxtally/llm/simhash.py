@@ -105,9 +105,9 @@ def _bucket_links(members: DataFrame, radius: int) -> DataFrame:
                 links.extend(_forest(np.unique(np.concatenate(held)), radius))
 
         def block() -> pa.RecordBatch:
-            a, b = [x for x, _ in links], [y for _, y in links]
+            ends = [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)]
             links.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("table", "key", "p", "q")])

@@ -192,13 +192,17 @@ def _features(rows: DataFrame, grammar: Grammar, columns: list[str]) -> DataFram
                 known.clear()
             marks = [grammar.marks(t.as_py() or "", known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array([m.tolist() for m in marks], pa.list_(pa.float64()))],
+                [
+                    *(batch.column(c) for c in columns),
+                    pa.array([m.tolist() for m in marks], pa.list_(pa.float64())),
+                ],
                 [*columns, "features"],
             )
 
     kinds = {"doc_id": "doc_id long", "label": "label int"}
     schema = ", ".join([*(kinds[c] for c in columns), "features array<double>"])
-    return rows.select("text", *[F.col(c).cast(kinds[c].split()[1]).alias(c) for c in columns]).mapInArrow(run, schema)
+    read = rows.select("text", *[F.col(c).cast(kinds[c].split()[1]).alias(c) for c in columns])
+    return read.mapInArrow(run, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -248,4 +252,5 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for i, (m, s, w) in enumerate(zip(grammar.mean, grammar.scale, grammar.arcs))
     ]
     total = sum(x[1:], x[0]) + grammar.bias
-    return found.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))).alias("score"), "features")
+    bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
+    return found.select("doc_id", (1 / (1 + F.exp(-bounded))).alias("score"), "features")
