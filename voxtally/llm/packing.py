@@ -31,8 +31,8 @@ from voxtally.sources.checkpoints import settle
 
 CAPACITY = 4096
 END = 1
-#: Words a worker remembers with their ids; then it starts afresh.
-REMEMBERED = 400_000
+#: Words, and parts of words, that a worker remembers with their ids; then it starts afresh.
+REMEMBERED = 500_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters whose normal form and lower case are sure to act on each alone.
@@ -63,8 +63,10 @@ class WordIds:
         words = text.split()  # ASCII white space
         ids = list(map(self.known.get, words))
         if None in ids:
-            if len(self.known) + len(self.parts) > REMEMBERED:
-                self.known, self.parts = {}, {}
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            if len(self.parts) > REMEMBERED:
+                self.parts = {}
             for i, known in enumerate(ids):
                 if known is None:
                     word = words[i]
@@ -72,13 +74,15 @@ class WordIds:
         return b"".join(ids)
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one part
+            return self._remembered(word.decode().lower())
         chars = word.decode("utf-8")
         if not _PLAIN.fullmatch(chars):
             return _packed(self.tokenizer.encode(chars, add_special_tokens=False).ids)
-        return b"".join([
-            self.parts.get(p) or self.parts.setdefault(p, self._part(p))
-            for p in _PIECE.findall(chars.lower())
-        ])
+        return b"".join([self._remembered(p) for p in _PIECE.findall(chars.lower())])
+
+    def _remembered(self, part: str) -> bytes:
+        return self.parts.get(part) or self.parts.setdefault(part, self._part(part))
 
     def _part(self, part: str) -> bytes:
         written = part if part.isascii() else "".join([_BYTES[b] for b in part.encode()])
