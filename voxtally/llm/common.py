@@ -24,6 +24,22 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (left_semi) or not (left_anti); null equals
+    null."""
+    name = spare(docs, "_id")
+    listed = ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(listed, docs["doc_id"].eqNullSafe(listed[name]), how)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -18,7 +18,7 @@ sides with skew splitting beyond it.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.llm.common import SPACE, lower_ascii
+from voxtally.llm.common import SPACE, by_id, lower_ascii
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -135,5 +135,4 @@ def contained(
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are."""
-    leaks = contained(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return by_id(docs, contained(docs, items), "left_anti")

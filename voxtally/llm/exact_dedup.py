@@ -9,8 +9,8 @@ digest never decides alone:
 3. globally: at most ``salts`` winners per text meet by (digest, text).
 
 Whatever share of the rows one text has, no task gets more of it than its own split or
-``salts`` rows. The winners, without texts, are then joined to all documents by digest; a
-digest under which step 3 found a single text is as good as the text itself. Should a digest
+``salts`` rows. The winners, without texts, are then joined to all documents by digest, the rows
+of a frequent digest being split; a digest under which step 3 found a single text is as good as the text itself. Should a digest
 ever have two, the join compares whole texts instead.
 """
 
@@ -18,7 +18,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxtally.llm.common import lower_ascii
+from voxtally.llm.common import lower_ascii, spare
+from voxtally.operators.joins import lookup_join
 from voxtally.sources.checkpoints import settle
 
 SALTS = 16
@@ -68,7 +69,7 @@ def exact_groups(
     if by_digest.filter("_texts > 1").take(1):
         joined = rows.join(winners(docs, salts, digest), ["_digest", "_content"])
     else:
-        joined = rows.drop("_content").join(by_digest.drop("_texts"), "_digest")
+        joined = lookup_join(rows.drop("_content"), by_digest.drop("_texts"), "_digest")
     return joined.select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -84,10 +85,11 @@ def without_copies(docs: DataFrame) -> DataFrame:
     def row(digest: Column) -> Column:
         return F.concat_ws(":", digest, F.col("doc_id").cast("string"))
 
-    staying = decided.select(row(F.col("text_sha256")).alias("_row")).distinct()
-    marked = docs.withColumn("_row", row(sha256(lower_ascii(F.col("text")))))
-    order = Window.partitionBy("_row").orderBy(*[c for c in docs.columns if c != "text"])
+    name, nth = spare(docs, "_row"), spare(docs, "_nth")
+    staying = decided.select(row(F.col("text_sha256")).alias(name)).distinct()
+    marked = docs.withColumn(name, row(sha256(lower_ascii(F.col("text")))))
+    order = Window.partitionBy(name).orderBy(*[c for c in docs.columns if c != "text"])
     return (
-        marked.join(staying, "_row", "left_semi")
-        .withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_row", "_nth")
+        marked.join(staying, name, "left_semi")
+        .withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(name, nth)
     )
