@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxtally.operators.joins import lookup_join
+
 LEDGER = "blob string, rule string, version int"
 FINDINGS = "blob string, rule string, version int, start int, end int"
 
@@ -126,7 +128,7 @@ def findings_by_path(
     )
     none = F.array().cast("array<struct<start:int,kind:int,rule:string,end:int>>")
     return (
-        _contents(versions, path).select("_path", "blob").join(per_blob, "blob", "left")
+        lookup_join(_contents(versions, path).select("_path", "blob"), per_blob, "blob", "left")
         .select(F.col("_path").alias(path), "blob", F.coalesce("findings", none).alias("findings"))
     )
 
