@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxtally.llm.common import by_id
 from voxtally.llm.components import components
 from voxtally.sources.checkpoints import settle
 
@@ -147,9 +148,10 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
         .filter("n > 1")
     )
     pairs = shared.filter("n = 2").filter(distance(F.col("a"), F.col("b")) <= radius).select("a", "b")
+    # The same join at every size: few buckets of a small input would be broadcast.
     large = shared.filter("n > 2").select(
         "table", "key", F.ceil(F.col("n") / block).cast("int").alias("_blocks")
-    )
+    ).hint("merge")
     own = F.pmod(F.xxhash64("fingerprint"), F.col("_blocks")).cast("int")
     members = (
         covered.join(large, ["table", "key"]).withColumn("_own", own)
@@ -196,5 +198,4 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     only where a component has no id at all, repeated ids together."""
     groups = near_groups(docs, words, radius)
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    staying = groups.filter(own).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return by_id(docs, groups.filter(own), "left_semi")
