@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from voxtally.llm import pii_crf, secret_scan
@@ -171,6 +172,17 @@ def test_repeats_of_a_match_take_its_label(spark, model):
     assert pii_crf.potentials(docs.limit(0)).shape == {}
 
 
+def test_potentials_count_every_document(spark):
+    """25,000 documents, a shape only in that whose id has the greatest hash and in one without id."""
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    last = ids.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    docs = ids.withColumn("text", F.when(F.col("doc_id") == last, "ring +49 (30) 555-1234 now").otherwise("+49 30 5551234"))
+    docs = docs.union(spark.createDataFrame([(None, "ring +49 (30) 555-1234 now")], "doc_id long, text string"))
+    shape = pii_crf.potentials(docs).shape
+    assert set(shape) == {"11 +", "11 ()+-"}
+    assert shape["11 ()+-"][3] == pytest.approx(np.log(2.2 / 3))
+
+
 def test_messages_are_exact_on_a_tree(model):
     """Without repeats the mentions are a chain, where belief propagation gives the marginals."""
     rng = np.random.default_rng(1)

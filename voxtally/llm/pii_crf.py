@@ -7,7 +7,8 @@ one, and so do distant mentions that repeat each other: the same last digits, th
 Such repeats form a chain per key, so a thing mentioned n times takes n - 1 links. Pattern matches
 are observed; loopy belief propagation carries their labels to the other mentions, and those
 that end as a kind are added to the matches. Potentials are logarithms of smoothed counts over
-at most ``sample`` documents, aggregated by Spark; the counts are as many as there are shapes.
+all documents, aggregated by Spark. The counts are as many as there are shapes: marks come from
+a few characters and digits are counted to 20, so their number has a bound whatever the input.
 """
 
 import re
@@ -21,8 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-#: Documents that potentials are estimated from: those with the least hash of their id.
-SAMPLE = 20_000
 ROUNDS = 12
 
 _LOCAL = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-".decode())
@@ -161,12 +160,15 @@ def _counted(text: str) -> Counter:
     return out
 
 
-def potentials(docs: DataFrame, sample: int = SAMPLE) -> Potentials:
-    """From the ``sample`` documents whose ids have the least hashes."""
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "text").join(
-        F.broadcast(ids.limit(sample).distinct()), "doc_id", "left_semi"  # ``sample`` ids at most
-    )
+def potentials(docs: DataFrame, sample: int | None = None) -> Potentials:
+    """From all documents, null ids and repeated rows too; with ``sample`` from that many, those
+    whose ids have the least hashes."""
+    chosen = docs.select("text")
+    if sample is not None:
+        ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = docs.select("doc_id", "text").join(
+            F.broadcast(ids.limit(sample).distinct()), "doc_id", "left_semi"  # ``sample`` ids at most
+        ).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
@@ -179,7 +181,7 @@ def potentials(docs: DataFrame, sample: int = SAMPLE) -> Potentials:
             "n": pa.array(list(total.values()), pa.int64()),
         })
 
-    counted = chosen.select("text").mapInArrow(run, "what string, label int, n long")
+    counted = chosen.mapInArrow(run, "what string, label int, n long")
     shape, chain, skip = {}, np.ones((OTHER + 1, OTHER + 1)), np.ones(2)
     for what, label, n in counted.groupBy("what", "label").agg(F.sum("n")).collect():
         kind, _, rest = what.partition(" ")
