@@ -157,6 +157,17 @@ def test_near_groups(spark):
     assert simhash.near_groups(table(spark, [])).collect() == []
 
 
+def test_near_copies_are_decided_row_by_row(spark):
+    """Components: one without any id, one with and without, one whose smallest id is repeated in
+    another."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(rng.choices("abcdefghij", k=400)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (4, b), (0, c), (1, c), (1, d)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, a), (4, b), (0, c), (1, d)], key=repr)
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     hub = [(1, i) for i in range(2, 60)] + [(7, 7), (None, 3), (2, 1)]

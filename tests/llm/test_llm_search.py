@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,6 +53,17 @@ def test_contained_against_brute_force(spark):
     assert "Python" not in plan_of(found) and "Arrow" not in plan_of(found)
 
 
+def test_an_item_takes_only_the_rows_that_hold_it(spark):
+    """Rows without id, and rows that share one, of which one holds an item."""
+    item, clean = "what is the capital of france", "no question at all is asked in here"
+    d = spark.createDataFrame(
+        [(i, t, "", "") for i in (None, 7) for t in (f"{item} indeed", clean, None)] + [(None, clean, "", "")], DOCS
+    )
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in without_items(d, b).collect())
+    assert left == Counter({(None, clean): 2, (None, None): 1, (7, clean): 1, (7, None): 1})
+
+
 # -- secrets ----------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

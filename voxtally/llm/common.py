@@ -32,12 +32,19 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (left_semi) or not (left_anti); null equals
-    null."""
-    name = spare(docs, "_id")
-    listed = ids.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed[name]), how)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit hash of a row's id and text. With ``doc_id`` it tells rows apart that share an id or
+    have none; what is decided of a row depends on these two, so equal rows share a decision."""
+    return F.xxhash64(doc_id, text)
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``row_key`` are in ``rows`` (doc_id, _row) (left_semi)
+    or not (left_anti); null equals null."""
+    id_, key = spare(docs, "_id"), spare(docs, "_row")
+    listed = rows.select(F.col("doc_id").alias(id_), F.col("_row").alias(key)).distinct()
+    same = docs["doc_id"].eqNullSafe(listed[id_])
+    return docs.join(listed, same & (row_key(docs["doc_id"], docs["text"]) == listed[key]), how)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

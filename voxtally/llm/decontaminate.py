@@ -18,7 +18,7 @@ sides with skew splitting beyond it.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.llm.common import SPACE, by_id, lower_ascii
+from voxtally.llm.common import SPACE, by_row, lower_ascii, row_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -89,20 +89,11 @@ def signatures(items: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     )
 
 
-def contained(
-    docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
-) -> DataFrame:
-    """Pairs (doc_id, item_id, matched, shingles, containment) with containment >= threshold.
-
-    ``docs`` is (doc_id, text), ``items`` (item_id, text); other columns are not read. Words are
-    split at ASCII white space after lower-casing A-Z; a text of fewer than ``words`` words is
-    a single shingle of all of them, and null or empty texts have none and match nothing.
-    Repeated rows of a pair give one row, that with the highest containment; null ids are ids
-    like others. Empty tables give an empty result.
-    """
+def _found(docs: DataFrame, items: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Different rows (doc_id, _row) with the items (item_id, _item, _n, _need, _matched) they hold."""
     signed = signatures(items, words, threshold)
     rows = docs.select("doc_id", "text").select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("_row"), F.col("text").alias("_text")
+        "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), F.col("text").alias("_text")
     )
     probes = signed.select(F.explode_outer("_probes").alias("_hash"), "_need").groupBy("_hash").agg(
         F.min("_need").alias("_need")
@@ -115,7 +106,7 @@ def contained(
     )
     hit = probed.select("_row").distinct()
     members = signed.select("_item", "item_id", "_n", "_need", F.explode_outer("_shingles").alias("_shingle"))
-    found = (
+    return (
         rows.join(hit, "_row", "left_semi")
         .withColumn("_words", _words(F.col("_text")))
         .select("doc_id", "_row", F.explode_outer(shingles(F.col("_words"), words)).alias("_shingle"))
@@ -124,6 +115,20 @@ def contained(
         .agg(F.count_distinct("_shingle").alias("_matched"))
         .filter("_matched >= _need")
     )
+
+
+def contained(
+    docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Pairs (doc_id, item_id, matched, shingles, containment) with containment >= threshold.
+
+    ``docs`` is (doc_id, text), ``items`` (item_id, text); other columns are not read. Words are
+    split at ASCII white space after lower-casing A-Z; a text of fewer than ``words`` words is
+    a single shingle of all of them, and null or empty texts have none and match nothing.
+    Repeated rows of a pair give one row, that with the highest containment; null ids are ids
+    like others. Empty tables give an empty result.
+    """
+    found = _found(docs, items, words, threshold)
     best = found.groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("_matched") / F.col("_n")).alias("c"), "_matched", "_n")).alias("_b")
     )
@@ -134,5 +139,6 @@ def contained(
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
-    return by_id(docs, contained(docs, items), "left_anti")
+    """The rows of ``docs`` that hold no item, all columns as they are. Each row is decided by its
+    own text, also among rows that share an id or have none."""
+    return by_row(docs, _found(docs, items, WORDS, THRESHOLD), "left_anti")

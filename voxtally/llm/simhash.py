@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.llm.common import by_id
+from voxtally.llm.common import by_row, row_key
 from voxtally.llm.components import components
 from voxtally.sources.checkpoints import settle
 
@@ -63,18 +63,21 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(set_bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint long) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = WORDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint long) of every row of ``docs``, and the long columns ``also``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text")
             prints = [fingerprint(t.as_py(), words) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fingerprint"]
+                [*map(batch.column, carried), pa.array(prints, pa.int64())], [*carried, "fingerprint"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long")
+    carried = ["doc_id", *also]
+    rows = docs.select(
+        F.col("doc_id").cast("long"), *also, F.col("text").cast("binary").alias("_text")
+    )
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*carried, "fingerprint"]))
 
 
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -170,6 +173,21 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _grouped(
+    docs: DataFrame, words: int, radius: int, block: int, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``fingerprints`` with component_id."""
+    prints = settle(fingerprints(docs, words, also))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_first"))
+    roots = components(links(prints, radius, block)).withColumnRenamed("node", "fingerprint")
+    rooted = nodes.join(roots, "fingerprint", "left").withColumn(
+        "root", F.coalesce("root", "fingerprint")
+    )
+    named = settle(rooted.groupBy("root").agg(F.min("_first").alias("component_id")))
+    ids = settle(rooted.select("fingerprint", "root").join(named, "root").drop("root"))
+    return prints.join(ids, "fingerprint")
+
+
 def near_groups(
     docs: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK
 ) -> DataFrame:
@@ -180,22 +198,15 @@ def near_groups(
     ids get a component but never name one (null where a component has no other). Repeated
     rows stay. Other columns are not read; an empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, words))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_first"))
-    roots = components(links(prints, radius, block)).withColumnRenamed("node", "fingerprint")
-    rooted = nodes.join(roots, "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
-    named = settle(rooted.groupBy("root").agg(F.min("_first").alias("component_id")))
-    ids = settle(rooted.select("fingerprint", "root").join(named, "root").drop("root"))
-    return prints.join(ids, "fingerprint").select(
+    return _grouped(docs, words, radius, block).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component. Rows without id stay
-    only where a component has no id at all, repeated ids together."""
-    groups = near_groups(docs, words, radius)
+    only where their component has no id at all, repeated ids of a component together."""
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), "text")
+    groups = _grouped(keyed, words, radius, BLOCK, ("_row",))
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return by_id(docs, groups.filter(own), "left_semi")
+    return by_row(docs, groups.filter(own), "left_semi")
