@@ -171,6 +171,24 @@ def test_every_passage_is_read():
     assert not np.allclose(quality.passages(clean + junk)[-1], quality.passages(clean)[0])
 
 
+def test_every_passage_is_learned_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "word " * 20_020), (2, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "learn", lambda bags, labels: (bags, labels))
+    bags, given = quality.fit(docs, labels, folds=1, held=1)
+    assert [len(b) for b in bags] == [157, 1] and given.tolist() == [0.0, 1.0]
+
+
+def test_batches_add_up_to_all_bags():
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(n, quality._FEATURES)).astype("<f2") for n in (1, 40, 3, 2, 9, 9)]
+    labels = np.array([1, 0, 1, 0, 0, 1], np.float32)
+    assert [bags[cut] for cut in quality._batches(bags, 10)] == [bags[:1], bags[1:2], bags[2:4], bags[4:5], bags[5:]]
+    whole, parts = (quality.learn(bags, labels, epochs=5, batch=n) for n in (1000, 10))
+    for name, layer in whole.layers.items():
+        assert np.allclose(layer, parts.layers[name], atol=1e-3), name
+
+
 def accuracy(spark, scores, label, folds, held):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
     rows = [r for r in quality.predictions(scores, folds, held).collect() if r.doc_id in labels]
