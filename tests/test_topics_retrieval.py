@@ -145,6 +145,19 @@ def test_odd_vectors_get_no_keys(spark):
     assert retrieval.bucket_keys(rows.limit(0), "id", 3, 2).collect() == []
 
 
+def test_odd_vectors_take_no_others_along(spark):
+    """A short and a long vector lead the only batch; each is found by a query of its size."""
+    good = [(i, [math.cos(i), math.sin(i), 1.0]) for i in range(20)]
+    odd = [(100, [1.0, 2.0]), (101, [1.0] * 5), (102, None), (103, []), (104, [1.0, None, 2.0])]
+    corpus = spark.createDataFrame(odd + good, "id int, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [2.0, 4.0]), (1, good[3][1])], "query_id int, vec array<double>")
+    assert {r["id"] for r in retrieval.bucket_keys(corpus, "id", 3, 2).collect()} == set(range(20))
+    found = {(r["query_id"], r["id"]) for r in retrieval.cosine_topk_lsh(corpus, queries, 1).collect()}
+    assert found == {(0, 100), (1, 3)}
+    odd_rows = {r["reason"]: r["n"] for r in retrieval.malformed(corpus, queries).collect()}
+    assert odd_rows == {"no vector": 2, "null entry": 1, "other size": 1}
+
+
 def test_default_k_and_single_query(spark):
     rows, corpus = unit_rows(spark, 50)
     for k in (None, 0):
