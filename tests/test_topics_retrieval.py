@@ -139,6 +139,18 @@ def test_lsh_finds_most_and_compares_little(spark):
     assert compared <= 0.1 * 1500 * 75
 
 
+@pytest.mark.parametrize("given", [{}, {"tables": 24, "bits": 4}])  # by default, as registered
+def test_lsh_finds_most_of_the_embeddings(spark, given):
+    """Rows whose id is divisible by 20, against all rows."""
+    corpus = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
+    )
+    queries = corpus.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]) for r in retrieval.cosine_topk(corpus, queries).collect()}
+    near = {(r["query_id"], r["id"]) for r in retrieval.cosine_topk_lsh(corpus, queries, **given).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) > 0
+
+
 def test_odd_vectors_get_no_keys(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [1.0]), (5, [1.0, None])], "id int, vec array<double>")
     assert {r["id"] for r in retrieval.bucket_keys(rows.coalesce(1), "id", 3, 2).collect()} == {1}
