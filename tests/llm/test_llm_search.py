@@ -195,6 +195,18 @@ def test_potentials_count_every_document(spark):
     assert shape["11 ()+-"][3] == pytest.approx(np.log(2.2 / 3))
 
 
+def test_a_mention_does_not_need_a_match_elsewhere(model):
+    """The shape decides, with or without an unrelated match far away."""
+    mention = "0305551234"
+    sure = np.array([-3.0, -3.0, -3.0, 0.0, -3.0])
+    given = pii_crf.Potentials({**model.shape, "10": sure}, model.unseen, 0 * model.chain, model.skip)
+    alone, beside = f"ring {mention} now", f"ring {mention} now, or ann@example.org"
+    for text in (alone, beside):
+        base, spans = pii_crf.all_spans(text, given)
+        assert [text[s:e] for s, k, e in spans if (s, k, e) not in base] == [mention]
+    assert pii_crf.all_spans("no digits here", given) == ([], [])
+
+
 def test_messages_are_exact_on_a_tree(model):
     """Without repeats the mentions are a chain, where belief propagation gives the marginals."""
     rng = np.random.default_rng(1)

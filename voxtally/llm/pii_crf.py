@@ -234,8 +234,6 @@ def infer(found: Mentions, model: Potentials, rounds: int = ROUNDS) -> np.ndarra
 def all_spans(text: str, model: Potentials) -> tuple[list, list]:
     """(pattern matches, matches and added spans), both (start, kind, end) in order."""
     base = base_spans(text)
-    if not base:  # labels spread from pattern matches only
-        return base, base
     found = mentions(text, base)
     if len(found.spans) == len(base):
         return base, base
