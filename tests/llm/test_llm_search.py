@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import plan_of
+from tests.conftest import SMALL, plan_of
 from voxtally.llm import pii_crf, secret_scan
 from voxtally.llm.decontaminate import contained, without_items
+from voxtally.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, _row string, item_id string"
 
@@ -121,6 +122,18 @@ def test_the_ledger_leaves_out_what_was_scanned(spark):
     assert [len(r.findings) for r in spans.orderBy("path").collect()] == [1, 1, 1]
 
 
+def test_the_query_scans_against_a_ledger(spark, monkeypatch):
+    given, scan = [], secret_scan.scan
+
+    def watched(versions, ledger=None, *args, **named):
+        given.append(ledger)
+        return scan(versions, ledger, *args, **named)
+
+    monkeypatch.setattr(secret_scan, "scan", watched)
+    QUERIES["op8_secrets"](spark, SMALL)
+    assert [c for c, _ in given[0].dtypes] == ["blob", "rule", "version"] and given[0].count() == 0
+
+
 def test_a_new_rule_version_scans_every_blob_once_more(spark):
     docs = versions(spark, ["token = abcdefgh", "x deadbeef"])
     _, ledger = secret_scan.scan(docs)
