@@ -17,7 +17,7 @@ NATIVE = ("op1_", "op6_", "op8_")
 
 def test_names():
     registered = __spark_entry__.queries()
-    assert {n.partition("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.partition("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(registered) and set(ORACLE) <= set(QUERIES)
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 

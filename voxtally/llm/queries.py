@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from voxtally.llm import pii_crf, quality, secret_scan, toxicity
+from voxtally.llm import byte_bpe, pii_crf, quality, secret_scan, toxicity
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
@@ -85,10 +85,21 @@ def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_language_model, op4_quality, op5_packing,
         op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash,
+        op13_byte_bpe,
     )
 }
