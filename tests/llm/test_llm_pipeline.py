@@ -25,7 +25,7 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     relation = connection.sql(ORACLE[name])

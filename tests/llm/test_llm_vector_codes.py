@@ -1,0 +1,94 @@
+"""Vector codes against a plain loop, and nearest entries against every entry."""
+
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from voxtally.llm.vector_codes import Tree, limit, vector_codes
+
+
+def slow_nearest(entries, rows):
+    out = []
+    for row in rows:
+        away = [sum((int(a) - int(b)) ** 2 for a, b in zip(row, e)) for e in entries]
+        out.append((away.index(min(away)), min(away)))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_tree_finds_the_nearest_and_the_lowest_of_equals(data):
+    width = data.draw(st.integers(1, 4))
+    size = data.draw(st.sampled_from([2, 30, 2**27]))
+    vector = st.lists(st.integers(-size, size), min_size=width, max_size=width)
+    entries = np.array(data.draw(st.lists(vector, min_size=1, max_size=40)), np.int64)
+    rows = np.array(data.draw(st.lists(vector, min_size=1, max_size=20)) + entries.tolist(), np.int64)
+    tree = Tree(entries, data.draw(st.integers(2, 5)), data.draw(st.integers(1, 4)))
+    assert list(zip(*map(np.ndarray.tolist, tree.nearest(rows)))) == slow_nearest(entries, rows)
+
+
+def test_whole_subtrees_are_left_out():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-100_000, 100_000, (16, 8))
+    entries = np.concatenate([centres + rng.integers(-500, 500, centres.shape) for _ in range(16)])
+    rows = entries[rng.integers(0, len(entries), 2000)] + rng.integers(-300, 300, (2000, 8))
+    tree = Tree(entries)
+    assert list(zip(*map(np.ndarray.tolist, tree.nearest(rows)))) == slow_nearest(entries, rows)
+    assert tree.compared < 0.35 * len(rows) * len(entries)
+
+
+def slow_codes(vectors, parts, entries, rounds, scale):
+    """(code, error) of each (id, vector), and the codebooks."""
+    whole = [[math.floor(scale * x) for x in v] for _, v in vectors]
+    step = len(whole[0]) // parts
+    cut = [[w[p * step : (p + 1) * step] for w in whole] for p in range(parts)]
+    order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0] is None, vectors[i][0] or 0, whole[i]))[:entries]
+    books = [[cut[p][i] for i in order] for p in range(parts)]
+    for _ in range(rounds):
+        for p in range(parts):
+            own = [e for e, _ in slow_nearest(books[p], cut[p])]
+            for e in range(len(order)):
+                rows = [r for r, o in zip(cut[p], own) if o == e]
+                if rows:
+                    books[p][e] = [sum(c) // len(rows) for c in zip(*rows)]
+    found = [slow_nearest(books[p], cut[p]) for p in range(parts)]
+    return [([f[i][0] for f in found], sum(f[i][1] for f in found)) for i in range(len(vectors))], books
+
+
+@pytest.mark.parametrize("entries", [3, 50])
+def test_codes_against_a_plain_loop(spark, entries):
+    rng = np.random.default_rng(7)
+    good = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 1, 6)]) for i in rng.integers(0, 15, 30)]
+    good += [(None, good[0][1]), (good[1][0], good[1][1]), (99, [-0.0001, 1e-30, -1e-30, 5.0, 5.0, 5.0])]
+    labels = [None if i % 5 == 0 else i % 3 for i in range(len(good))]
+    bad = [(-5, None), (-4, [1.0, None] * 3), (-3, [float("nan")] * 6), (-2, [1.0] * 5 + [-math.inf]),
+           (50, [1.0] * 4), (-6, [1.0] * 5), (-7, [])]
+    rows = [(i, v, "x", k) for (i, v), k in zip(good, labels)] + [(i, v, "y", 1) for i, v in bad]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, code string, label int").repartition(3)
+    expected, books = slow_codes(good, 3, entries, 4, 64)
+    codes, found = vector_codes(table, 3, entries, 4, 64)
+    assert [b.tolist() for b in found] == books
+    sums = {k: sum(e for (_, e), own in zip(expected, labels) if own == k) for k in labels}
+    key = lambda r: tuple((x is not None, x) if not isinstance(x, list) else x for x in r)
+    assert sorted(map(tuple, codes.collect()), key=key) == sorted(
+        ((i, k, code, error, sums[k]) for (i, _), k, (code, error) in zip(good, labels, expected)), key=key
+    )
+
+
+def test_no_vectors(spark):
+    table = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    codes, books = vector_codes(table)
+    assert codes.collect() == [] and books == []
+    nulls = spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")
+    assert vector_codes(nulls)[0].collect() == []
+
+
+def test_large_components_are_held(spark):
+    assert limit(64) == 2**27 and 64 * (2 * limit(64)) ** 2 < 2**63
+    table = spark.createDataFrame(
+        [(i, [3e38 * (-1) ** i] * 8, None) for i in range(20)], "vec_id long, embedding array<float>, label int"
+    )
+    rows = vector_codes(table, entries=1, rounds=0)[0].collect()
+    assert {r.error for r in rows} == {0, 8 * (2 * limit(8)) ** 2}

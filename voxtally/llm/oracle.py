@@ -51,6 +51,56 @@ def _secret_spans() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Codebooks round by round: a{r} has each part's nearest entry of b{r}, with its distance."""
+    bad = "x IS NULL OR NOT isfinite(x)"
+    steps = [
+        f"""k AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: {bad})) = 0
+        )""",
+        f"""p AS MATERIALIZED (
+            SELECT vec_id, part, v[len(v) // {parts} * part + 1:len(v) // {parts} * (part + 1)] AS v
+            FROM k, range({parts}) t(part)
+        )""",
+        f"""b0 AS MATERIALIZED (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v
+            FROM p QUALIFY e < {entries}
+        )""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, part, x // {entries} AS d, x % {entries} AS e FROM (
+                SELECT vec_id, part, min({entries} * list_sum(
+                    list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))
+                )::BIGINT + e) AS x
+                FROM p JOIN b{r} b USING (part) GROUP BY vec_id, part
+            )
+        )""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+                SELECT part, e, list(m ORDER BY i) AS v FROM (
+                    SELECT part, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (
+                        SELECT part, e, unnest(v) AS x, unnest(range(len(v))) AS i
+                        FROM p JOIN a{r} USING (vec_id, part)
+                    ) GROUP BY part, e, i
+                ) GROUP BY part, e
+            ),
+            b{r + 1} AS MATERIALIZED (
+                SELECT part, e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (part, e)
+            )""")
+    return f"""
+        WITH {", ".join(steps)},
+        c AS (
+            SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+            FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM k JOIN c USING (vec_id)
+    """
+
+
 ORACLE = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_lower('text')} AS t FROM documents)
@@ -85,4 +135,5 @@ ORACLE = {
                sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
         FROM d LEFT JOIN f USING (doc_id)
     """,
+    "op12_vector_codes": _codes(),
 }

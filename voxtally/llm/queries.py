@@ -11,6 +11,7 @@ from voxtally.llm.language_id import identify
 from voxtally.llm.lm import scored
 from voxtally.llm.packing import pack
 from voxtally.llm.simhash import near_groups
+from voxtally.llm.vector_codes import vector_codes
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -85,6 +86,16 @@ def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    entries = ",".join(str(x) for book in books for entry in book.tolist() for x in entry)
+    return codes.select(
+        "vec_id", digits.alias("code"), "error", "label_error",
+        F.sha2(F.lit(entries).cast("binary"), 256).alias("codebooks_sha256"),
+    )
+
+
 def op13_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -100,6 +111,6 @@ QUERIES = {
     for f in (
         op1_exact_dedup, op2_language_id, op3_language_model, op4_quality, op5_packing,
         op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash,
-        op13_byte_bpe,
+        op12_vector_codes, op13_byte_bpe,
     )
 }
