@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from voxtally.llm import byte_bpe, pii_crf, quality, secret_scan, toxicity
+from voxtally.llm.alignment import alignment
 from voxtally.llm.common import table
 from voxtally.llm.decontaminate import contained
 from voxtally.llm.exact_dedup import exact_groups
@@ -86,6 +87,12 @@ def op10_simhash(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned, _ = alignment(table(spark, sf_dir, "documents"), *paths)
+    return aligned
+
+
 def op12_vector_codes(spark, sf_dir):
     codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
     digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
@@ -111,6 +118,6 @@ QUERIES = {
     for f in (
         op1_exact_dedup, op2_language_id, op3_language_model, op4_quality, op5_packing,
         op6_decontamination, op7_toxicity, op8_secrets, op9_pii, op10_simhash,
-        op12_vector_codes, op13_byte_bpe,
+        op11_alignment, op12_vector_codes, op13_byte_bpe,
     )
 }
