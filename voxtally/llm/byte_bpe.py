@@ -22,9 +22,11 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 #: Pieces that a worker remembers with their ids, and the longest of them; then it starts afresh.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Characters scanned at a time (a longer text is scanned whole), and characters in a block.
-CHUNK, BLOCK = 1 << 20, 512
+CHUNK, BLOCK = 1 << 18, 256
+#: Rows decoded at a time.
+ROWS = 256
 
 # Symbols. White space is LAST_* before other characters and INNER before white space or the end;
 # an apostrophe is SHORT or LONG where letters of a contraction follow, and SIGN elsewhere.
@@ -143,6 +145,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: the neighbours of least rank are joined, the leftmost first, while any can be."""
     if piece in ranks:
         return [ranks[piece]]
+    bounds = _bounds(piece, ranks) if len(piece) <= LONGEST else _bounds_of_long(piece, ranks)
+    return [ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
+
+
+def _bounds(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Where the parts of a merged piece begin, and its end; each step looks at all neighbours."""
+    n, none, rank = len(piece), len(ranks) + (1 << 32), ranks.get
+    bounds = list(range(n + 1))
+    joined = [rank(piece[i : i + 2], none) for i in range(n - 1)]  # ranks of part and next part
+    while joined and (least := min(joined)) != none:
+        i = joined.index(least)
+        del bounds[i + 1], joined[i]
+        if i < len(joined):
+            joined[i] = rank(piece[bounds[i] : bounds[i + 2]], none)
+        if i:
+            joined[i - 1] = rank(piece[bounds[i - 1] : bounds[i + 1]], none)
+    return bounds
+
+
+def _bounds_of_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of neighbours, whose steps do not take longer in longer pieces."""
     n = len(piece)
     ends, before = [*range(1, n + 1), 0], list(range(-1, n + 1))  # an end of 0: no part starts here
 
@@ -162,7 +185,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             heapq.heappush(heap, p)
         for p in pair(before[start], stop) if start else []:
             heapq.heappush(heap, p)
-    return [ranks[piece[i : ends[i]]] for i in range(n) if ends[i]]
+    return [i for i in range(n) if ends[i]] + [n]
 
 
 class Vocabulary:
@@ -310,13 +333,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = kept_by_worker(("ranks", path), lambda: Vocabulary(path))
         for batch in batches:
-            ids, starts = batch.column("ids"), batch.column("starts")
-            texts = [
-                vocabulary.bytes.decode(
-                    *(np.asarray(column[i].values if column[i].is_valid else [], np.int64) for column in (ids, starts))
-                )
-                for i in range(len(batch))
-            ]
-            yield batch.append_column("decoded", pa.array(texts, pa.binary()))
+            for part in (batch.slice(i, ROWS) for i in range(0, len(batch), ROWS)):
+                texts = [
+                    vocabulary.bytes.decode(*(
+                        np.asarray(cell.values if cell.is_valid else [], np.int64) for cell in cells
+                    ))
+                    for cells in zip(part.column("ids"), part.column("starts"))
+                ]
+                yield part.append_column("decoded", pa.array(texts, pa.binary()))
 
     return encoded.mapInArrow(run, schema)
