@@ -162,7 +162,7 @@ def improved(rows: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
 
     got = rows.select("_v").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     sums = np.zeros(len(books) * cells, np.int64)
-    for r in got.toLocalIterator():  # at most a row for each component of the codebooks
+    for r in got.collect():  # at most a row for each component of the codebooks
         sums[r.cell] = r.n
     sums = sums.reshape(len(books), entries, width + 1)
     count = sums[:, :, -1:]
