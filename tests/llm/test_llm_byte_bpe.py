@@ -16,7 +16,7 @@ from voxtally.llm import byte_bpe
 from voxtally.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-VOCABULARY = byte_bpe.Vocabulary(PATH)
+VOCABULARY = byte_bpe.Vocabulary(byte_bpe.rank_file(PATH))
 LIBRARY = tiktoken.Encoding(
     "library", pat_str=public_tokenizers.PATTERN, mergeable_ranks=VOCABULARY.ranks, special_tokens={}
 )

@@ -13,19 +13,22 @@ each document gets its share.
 
 import hashlib
 import heapq
-import os
+import json
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
-from voxtally.llm.byte_bpe import chunks, kept_by_worker, utf8_texts, valid
+from voxtally.llm.byte_bpe import LONGEST, Vocabulary, chunks, kept_by_worker, utf8_texts, valid
 from voxtally.llm.packing import _BYTES
 from voxtally.sources.checkpoints import settle
 
@@ -33,24 +36,37 @@ from voxtally.sources.checkpoints import settle
 RADIXES, PARTITIONS, FAN = 8, 4, 16
 #: Links that a worker collects before it sorts them, records in a block, bytes encoded at a time.
 BUFFER, BLOCK, CHUNK = 1 << 19, 1 << 14, 1 << 18
+#: Words that a worker remembers for each vocabulary; then it starts afresh.
+REMEMBERED = 600_000
 
 BLOCKS = "radix int, unit int, part int, run int, block int, data binary"
 DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long"
 
 
 class Pair:
-    """The two vocabularies: A, byte-level, and B, of pieces with bytes for the rest."""
+    """The two vocabularies: A, byte-level, and B, of pieces with bytes for the rest.
+
+    Both are read word by word, each word remembered. A's rules join what its pattern keeps together
+    and rank a merge by the id that it makes. B's pieces have no space after another character, so no
+    rule of B joins across the start of a run of spaces.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         written = {c: b for b, c in _BYTES.items()}
-        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(written[c] for c in token) if set(token) <= written.keys() else token.encode()
+        made = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        tokens = [*written, *("".join(m) for m in made)]
+        ranks = {bytes(written[c] for c in t): model["vocab"][t] for t in tokens}
+        library = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a = Vocabulary(ranks, REMEMBERED, library._encode_single_piece)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max(self.a.ranks.values()) + 1)
+        for token, i in self.a.ranks.items():
+            self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.whole = any(b" " in t.lstrip(b" ") for t in self.bytes_b)  # then words say nothing
+        self.known_b: dict[bytes, bytes] = {}
         self.sizes_a, self.sizes_b = (
             np.fromiter(map(len, every), np.int64, len(every)) for every in (self.bytes_a, self.bytes_b)
         )
@@ -62,20 +78,36 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _encode_b(self, text: bytes) -> np.ndarray:
+        """Ids of a text that starts with the space that B adds itself; none if a word's tokens do not
+        have the word's bytes."""
+        words = [text] if self.whole else _WORDS.findall(text)
+        found = list(map(self.known_b.get, words))
+        if None in found:
+            if len(self.known_b) > REMEMBERED:
+                self.known_b = {}
+            new = [i for i, known in enumerate(found) if known is None]
+            coded = self.b.encode([words[i][1:].decode() for i in new], num_threads=1)
+            for i, ids in zip(new, coded):
+                same = b"".join(map(self.bytes_b.__getitem__, ids)) == words[i]
+                found[i] = array("I", ids).tobytes() if same else b""
+                if len(words[i]) <= LONGEST:
+                    self.known_b[words[i]] = found[i]
+        return np.frombuffer(b"".join(found), "<u4").astype(np.int64) if all(found) else _NONE
+
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids by A of space and text, and by B of the text, for each of ``texts``; none where the
         text is empty or the bytes of either side's tokens are not those of space and text."""
         wanted = [b" " + t for t in texts]
-        coded_a = self.a.encode_batch([w.decode() for w in wanted], add_special_tokens=False)
-        coded_b = self.b.encode([t.decode() for t in texts], num_threads=1)
-        for text, want, a, b in zip(texts, wanted, coded_a, coded_b):
-            a = a.ids
-            same = text and all(
-                b"".join(map(of.__getitem__, ids)) == want for of, ids in ((self.bytes_a, a), (self.bytes_b, b))
-            )
-            yield (np.array(a, np.int64), np.array(b, np.int64)) if same else (_NONE, _NONE)
+        ids, many = self.a.encode(wanted)
+        ids, ends = ids.astype(np.int64), np.cumsum(many).tolist()
+        for text, want, start, end in zip(texts, wanted, [0, *ends], ends, strict=False):
+            b = self._encode_b(want) if text else _NONE  # A's merges only part the bytes they are given
+            yield (ids[start:end] if len(b) else _NONE), b
 
 
+#: A run of spaces and the characters up to the next.
+_WORDS = re.compile(rb" +[^ ]*")
 _NONE = np.zeros(0, np.int64)
 
 

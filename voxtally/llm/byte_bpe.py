@@ -13,7 +13,8 @@ by rank otherwise. Token starts are kept as byte offsets, which is where decodin
 import base64
 import heapq
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -188,12 +189,22 @@ def _bounds_of_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [i for i in range(n) if ends[i]] + [n]
 
 
-class Vocabulary:
-    """Ranks of a file, the class of each character and the pieces met so far."""
+def rank_file(path: str) -> dict[bytes, int]:
+    """Tokens and their ids, which are their ranks too: a token in base 64 and its id on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+class Vocabulary:
+    """Ranks of tokens, the class of each character and the pieces met so far, at most ``remembered``.
+    ``merged`` gives the ids of a piece met for the first time, by ``merge`` if not given."""
+
+    def __init__(
+        self, ranks: dict[bytes, int], remembered: int = REMEMBERED,
+        merged: Callable[[bytes], list[int]] | None = None,
+    ):
+        self.ranks, self.remembered = ranks, remembered
+        self.merged = merged or (lambda piece: merge(piece, ranks))
         self.classes = character_classes()
         self.bytes = TokenBytes({i: t for t, i in self.ranks.items()})
         self.known: dict[bytes, bytes] = {}
@@ -218,18 +229,19 @@ class Vocabulary:
         data, starts, pieces = self.cuts(texts)
         bounds = [*starts.tolist(), len(data)]
         parts = [data[a:b] for a, b in zip(bounds, bounds[1:])]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known = {}
         found = list(map(self.known.get, parts))
-        for i, known in enumerate(found):
-            if known is None:
-                found[i] = self.known.get(parts[i]) or self._merged(parts[i])
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    found[i] = self.known.get(parts[i]) or self._new(parts[i])
         many = np.fromiter(map(len, found), np.int64, len(found)) // 4
         upto = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(pieces))]
         return np.frombuffer(b"".join(found), "<u4"), np.diff(upto)
 
-    def _merged(self, piece: bytes) -> bytes:
-        ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
+    def _new(self, piece: bytes) -> bytes:
+        ids = array("I", self.merged(piece)).tobytes()
         if len(piece) <= LONGEST:
             self.known[piece] = ids
         return ids
@@ -302,7 +314,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = kept_by_worker(("ranks", path), lambda: Vocabulary(path))
+        vocabulary = kept_by_worker(("ranks", path), lambda: Vocabulary(rank_file(path)))
         for batch in batches:
             texts = [valid(t.as_py()) for t in batch.column("_text")]
             for a, b in chunks(list(map(len, texts))):
@@ -331,7 +343,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = f"{encoded._jdf.schema().toDDL()}, decoded binary" if encoded.columns else "decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = kept_by_worker(("ranks", path), lambda: Vocabulary(path))
+        vocabulary = kept_by_worker(("ranks", path), lambda: Vocabulary(rank_file(path)))
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, len(batch), ROWS)):
                 texts = [
