@@ -37,7 +37,7 @@ RADIXES, PARTITIONS, FAN = 8, 4, 16
 #: Links that a worker collects before it sorts them, records in a block, bytes encoded at a time.
 BUFFER, BLOCK, CHUNK = 1 << 19, 1 << 14, 1 << 18
 #: Words that a worker remembers for each vocabulary; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 BLOCKS = "radix int, unit int, part int, run int, block int, data binary"
 DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long"
