@@ -1,6 +1,8 @@
 """Results that several later steps read, computed once."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -18,3 +20,12 @@ def settle(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the session's checkpoint folder, for a table that queries of this
+    session write and read. Nobody removes it; whoever owns the checkpoint folder does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from voxtally.operators.joins import lookup_join
 from voxtally.schemas import KB
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, None if there is nothing there; what can't be read is an error."""
     try:
         return spark.read.parquet(path)
@@ -35,7 +35,7 @@ def seeded(kb: DataFrame) -> DataFrame:
 
 def open_kb(spark: SparkSession, path: str) -> DataFrame:
     """The table at ``path``, written from the seed rows if missing or empty."""
-    table = _read(spark, path)
+    table = read_if_there(spark, path)
     if table is None or table.isEmpty():
         kb_seed(spark).write.mode("append").parquet(path)
         table = spark.read.parquet(path)
@@ -87,7 +87,7 @@ def with_vectors(
     ``encode`` takes ``(text_hash, text)`` and adds ``vec``, an array or a vector. The key is the
     text itself under the encoder's name, so other texts never get these vectors.
     """
-    cache = _read(spark, path)
+    cache = read_if_there(spark, path)
     if cache is None:
         cache = spark.createDataFrame([], "encoder string, text_hash string")
     encode(cache_misses(texts, cache, encoder, text)).select(
@@ -108,7 +108,7 @@ def save_topic_model(model: PipelineModel, topics: DataFrame, path: str) -> None
 
 
 def load_topic_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    topics = _read(spark, f"{path}/topics")
+    topics = read_if_there(spark, f"{path}/topics")
     if topics is None:
         raise RuntimeError("No fitted topic model found. Fit and save one first.")
     return PipelineModel.load(f"{path}/model"), topics
