@@ -14,7 +14,7 @@ from voxtally.streaming.analyze import analyze_stream, write_stream
 def test_csv_is_text_and_renamed(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('id,response,lang,extra\n007,"multi\nline, ""quoted""",en,1\n8,plain text,,2\n', "utf-8")
-    rows = files.read_csv(spark, str(path), multi_line=True).collect()
+    rows = files.read_csv(spark, str(path)).collect()
     assert rows[0].asDict() == {
         "response_id": "007", "text": 'multi\nline, "quoted"', "department": None, "language": "en",
         "employee_id": None, "survey_theme": None,
@@ -31,7 +31,7 @@ def test_json_array_and_lines(spark, tmp_path):
     records = [{"id": "a", "text": "first", "lang": "de", "x": [1]}, {"response_id": "b", "text": "second"}]
     (tmp_path / "a.json").write_text(json.dumps(records), "utf-8")
     (tmp_path / "b.json").write_text("\n".join(map(json.dumps, records)), "utf-8")
-    for name, lines in (("a.json", False), ("b.json", True)):
+    for name, lines in (("a.json", False), ("b.json", True), ("a.json", None), ("b.json", None)):
         df = files.read_json(spark, str(tmp_path / name), lines)
         assert df.columns == SURVEY_FIELDS
         assert [(r["response_id"], r["text"], r["language"]) for r in df.collect()] == [

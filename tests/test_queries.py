@@ -12,8 +12,12 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-WITHOUT_SQL = {"sentiment_model", "topic_fit", "analyze_topics"}
-PYTHON = {"label_hook", "label_chunks", "cosine_topk_lsh"}  # a model's hook, and matrix products
+WITHOUT_SQL = {"sentiment_model", "topic_fit", "analyze_topics", "cosine_topk_index"}
+#: A model's hook, matrix products, and files cut into records.
+PYTHON = {
+    "label_hook", "label_chunks", "cosine_topk", "cosine_topk_lsh", "cosine_topk_index", "text_topk",
+    "csv_upload", "json_upload",
+}
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +87,7 @@ def test_columns_are_pruned(spark):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    for name in ("cosine_topk", "topic_keywords", "key_phrases"):
+    for name in ("topic_keywords", "key_phrases"):
         assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SMALL))
     for name in ("preview", "top_themes", "validate_errors_top50"):
         assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, SMALL))

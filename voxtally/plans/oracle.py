@@ -471,6 +471,22 @@ def bucket_keys(source: str, id_: str, vector: str, tables: int, bits: int) -> s
   FROM {source}, range(1, {tables + 1}) x(t)"""
 
 
+UPLOADED = f"""SELECT 'd' || doc_id AS response_id, CASE WHEN doc_id % 3 = 0
+    THEN concat_ws(chr(10), text, 'second, "quoted" line', '') ELSE text END AS text,
+  {array(K.DEPARTMENTS)}[doc_id % 11 + 1] AS department, lang AS language FROM documents"""
+
+ASKED_VECTORS = """asked AS (
+  SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"""
+
+
+def nearest_of(pairs: str, k: int = 3) -> str:
+    return f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
+  id, score FROM (
+    SELECT query_id, vec_id AS id,
+      round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 4) AS score
+    FROM {pairs}) QUALIFY rank <= {k}"""
+
+
 def nested(table: dict, row: str, column: str) -> str:
     return "[" + ", ".join(array(table[lang]) for lang in K.LANGUAGES) + f"][{row} + 1][{column} + 1]"
 
@@ -603,6 +619,8 @@ SELECT count(*) FILTER (msg IS NULL AND pos % 7 <> 3) AS total_processed,
     "json_records": """SELECT event_id // 5 AS request_id,
   CAST(row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) - 1 AS INT) AS pos,
   CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+    "csv_upload": UPLOADED,
+    "json_upload": UPLOADED,
     "fill_ids": """SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 1 THEN 'd' || doc_id
   ELSE 'resp_' || printf('%05d', doc_id) || '_' || substr(sha256(text), 1, 6) END AS response_id
 FROM documents""",
@@ -850,22 +868,14 @@ SELECT vec_id, topic_id, coalesce(c, 0e0) AS topic_confidence FROM folded LEFT J
   SELECT vec_id, round(least(1e0, p), 4) AS c FROM p WHERE own = topic_id) USING (vec_id)""",
     "topic_predict": f"""WITH {CENTROIDS}
 SELECT vec_id, arg_max(topic_id, (cos, -topic_id)) AS topic_id FROM near GROUP BY vec_id""",
-    "cosine_topk": f"""WITH {CENTROIDS}, s AS (
-  SELECT topic_id AS query_id, vec_id AS id, round(cos, 4) AS score FROM near)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
-  id, score FROM s QUALIFY rank <= 3""",
-    "cosine_topk_lsh": f"""WITH {CENTROIDS},
-a AS ({bucket_keys('folded', 'vec_id', 'embedding', 24, 4)}),
-b AS ({bucket_keys('centre', 'topic_id', 'centroid', 24, 4)}),
-pair AS (SELECT DISTINCT vec_id, topic_id FROM a JOIN b USING (t, key)),
-s AS (SELECT topic_id AS query_id, vec_id AS id, round(cos, 4) AS score FROM near JOIN pair USING (vec_id, topic_id))
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
-  id, score FROM s QUALIFY rank <= 3""",
-    "text_topk": f"""WITH {topic_terms('documents', 'lang')},
-corpus AS (SELECT doc_id AS id, text FROM documents),
-asked AS (
-  SELECT lang AS query_id, string_agg(term, ' ' ORDER BY rank) AS query FROM ranked
-  WHERE rank <= 5 GROUP BY lang),
+    "cosine_topk": f"""WITH {ASKED_VECTORS} {nearest_of('asked, embeddings')}""",
+    "cosine_topk_lsh": f"""WITH {ASKED_VECTORS},
+a AS ({bucket_keys('embeddings', 'vec_id', 'embedding', 24, 4)}),
+b AS ({bucket_keys('asked', 'query_id', 'q', 24, 4)}),
+pair AS (SELECT DISTINCT vec_id, query_id FROM a JOIN b USING (t, key))
+{nearest_of('pair JOIN asked USING (query_id) JOIN embeddings USING (vec_id)')}""",
+    "text_topk": f"""WITH corpus AS (SELECT doc_id AS id, text FROM documents),
+asked AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 20 = 0),
 {text_topk([])}
 SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM results""",
     "report_queries": f"{REPORT_QUERIES} SELECT query_id, query FROM asked",

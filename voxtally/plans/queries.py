@@ -15,13 +15,14 @@ from voxtally.functions import pii
 from voxtally.functions import vectors as V
 from voxtally.functions import lexical as L
 from voxtally.operators import (
-    burnout, labelling, masking, merge, report, retrieval, stats, synth, topics, validate,
+    burnout, labelling, masking, merge, report, retrieval, stats, synth, text_index, topics, validate,
+    vector_index,
 )
 from voxtally.plans import analysis, views
 from voxtally.plans.views import PROSE
 from voxtally.schemas import ANALYZED_FIELDS
 from voxtally.sources import files, tables
-from voxtally.sources.checkpoints import settle
+from voxtally.sources.checkpoints import settle, shared_folder
 
 SEP = "|"
 
@@ -70,6 +71,36 @@ def json_records(spark, sf):
     )
 
 
+def csv_upload(spark, sf):
+    """Documents written as CSV files, line breaks, commas and quotes in cells and all, and read again."""
+    path = shared_folder(spark, "upload")
+    uploaded = _uploaded(spark, sf)
+    files.write_csv(uploaded, path)
+    return files.read_csv(spark, path).select("response_id", "text", "department", "language")
+
+
+def json_upload(spark, sf):
+    """Documents written as printed JSON arrays, one a file, and read again with positions."""
+    path = shared_folder(spark, "upload")
+    record = F.to_json(F.struct(F.col("id"), F.col("response"), F.col("department"), F.col("lang")), {"pretty": "true"})
+    share = _uploaded(spark, sf).withColumn("_file", F.floor(F.col("n") / 500))
+    arrays = share.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("n", record.alias("record")))).alias("_r"))
+    text = F.concat(F.lit("[\n"), F.array_join("_r.record", ",\n"), F.lit("\n]"))
+    arrays.select(text.alias("value")).write.text(path)
+    return files.read_json(spark, path).select("response_id", "text", "department", "language")
+
+
+def _uploaded(spark, sf):
+    """Records under the short column names; every third text has more than one line."""
+    raw = views.survey_raw(spark, sf)
+    lines = F.concat_ws("\n", "text", F.lit('second, "quoted" line'), F.lit(""))
+    return raw.select(
+        F.col("response_id").alias("id"),
+        F.when(F.col("pos") % 3 == 0, lines).otherwise(F.col("text")).alias("response"),
+        "department", F.col("language").alias("lang"), F.col("pos").alias("n"),
+    )
+
+
 def fill_ids(spark, sf):
     given = F.when(F.col("pos") % 3 == 0, F.lit("")).when(F.col("pos") % 3 == 1, F.col("response_id"))
     return files.fill_ids(
@@ -658,12 +689,10 @@ def topic_predict(spark, sf):
 # -- retrieval and report -------------------------------------------------------------
 
 def _vector_search(spark, sf):
-    corpus = views.embeddings(spark, sf).select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
-    )
-    queries = topics.centroids(_folded(spark, sf)).select(
-        F.col("topic_id").alias("query_id"), F.col("centroid").alias("vec")
-    )
+    """All vectors, and as queries those whose number 20 divides."""
+    vectors = views.embeddings(spark, sf)
+    corpus = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     return corpus, queries
 
 
@@ -676,18 +705,22 @@ def cosine_topk_lsh(spark, sf):
     return retrieval.cosine_topk_lsh(*_vector_search(spark, sf), tables=24, bits=4)
 
 
+def cosine_topk_index(spark, sf):
+    """About the nearest, from a fifth of the rows, by an index fitted to them."""
+    corpus, queries = _vector_search(spark, sf)
+    path = shared_folder(spark, "vector-index")
+    vector_index.write_index(corpus, path)
+    return vector_index.search(spark, path, queries, K.RETRIEVE_K)
+
+
 def text_topk(spark, sf):
-    """The documents nearest to each language's topic label."""
+    """The documents nearest to each document whose number 20 divides, by a stored index."""
     docs = views.documents(spark, sf)
-    named = topics.labels(topics.keywords(docs, "lang"), "lang")
-    return retrieval.text_topk(
-        docs.select(F.col("doc_id").alias("id"), "text"),
-        named.select(
-            F.col("lang").alias("query_id"),
-            F.array_join("topic_keywords", " ").alias("query"),
-        ),
-        lexicon=replace(PROSE, function_words={}),
-    )
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    every = replace(PROSE, function_words={})
+    path = shared_folder(spark, "text-index")
+    text_index.write_index(docs.select(F.col("doc_id").alias("id"), "text"), path, every)
+    return text_index.search(spark, path, asked, K.RETRIEVE_K, every)
 
 
 def report_queries(spark, sf):
@@ -721,7 +754,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         analyze, analyze_lexicon, analyze_repeated, analyze_topics, analyze_summary,
-        src_rename, json_records, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses,
+        src_rename, json_records, csv_upload, json_upload, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses,
         validate_rows, validate_split, validate_errors, validate_errors_top50,
         validate_summary, validate_json,
         pii_mask, pii_blank, pii_links, pii_types, pii_cards, pii_iban,
@@ -735,7 +768,7 @@ QUERIES = {
         model_latency_histogram,
         vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_keywords, topic_keywords_rerank,
         topic_labels, topic_confidence, topic_predict,
-        cosine_topk, cosine_topk_lsh, text_topk,
+        cosine_topk, cosine_topk_lsh, cosine_topk_index, text_topk,
         report_queries, report_context, report_findings, report_actions, report_json,
         synth_survey,
     )

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from voxtally import constants as K
 from voxtally.schemas import SURVEY, SURVEY_FIELDS
+from voxtally.sources import split_records
 
 # Other column names the upload accepts.
 RENAMES = {"id": "response_id", "response": "text", "lang": "language"}
@@ -32,25 +33,42 @@ def declared_fields(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
     """A CSV with a header. Every column is text: ids keep their zeros, empty cells are null.
 
-    Large files are split; cells that hold line breaks need ``multi_line``, which reads each
-    file in one task.
+    Files are read in splits, and cells may hold line breaks. The first record of each file is its
+    header; the first file's counts. ``positions`` adds ``pos``: 0, 1, 2, ... in file order.
     """
-    header = spark.read.csv(
-        path, header=True, multiLine=multi_line, escape='"', inferSchema=False
-    )
-    return declared_fields(rename_columns(header))
-
-
-def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Records one per line, or without ``lines`` those of a JSON array, in one task a file.
+    names = spark.read.csv(path, header=True, multiLine=True, escape='"').columns  # reads its first record
+    found = split_records.records(spark, path, split_records.CsvLines)
+    found = found.filter("NOT (start = 0 AND nth = 0)")
+    if positions:
+        found = split_records.numbered(found)
+    options = {"escape": '"', "maxCharsPerColumn": "-1"}
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = found.withColumn("_r", F.from_csv("record", ddl, options))
+    return declared_fields(rename_columns(rows.select(*(["pos"] if positions else []), "_r.*")))
+
+
+def read_json(
+    spark: SparkSession, path: str, lines: bool | None = None, positions: bool = False
+) -> DataFrame:
+    """Records one per line, or those of JSON arrays however they are printed; unless ``lines`` says
+    which, the first character of the files does. Both are read in splits.
 
     Rows that cannot be read come back with all fields null, so they fail validation.
     """
+    if lines is None:
+        first = spark.read.text(path, lineSep="}").filter(F.trim("value") != "").limit(1).collect()
+        lines = not (first and first[0][0].lstrip().startswith("["))
     schema = T.StructType(SURVEY.fields + [T.StructField(n, T.StringType()) for n in RENAMES])
-    df = spark.read.schema(schema).json(path, multiLine=not lines, mode="PERMISSIVE")
+    if lines:
+        df = spark.read.schema(schema).json(path, mode="PERMISSIVE")
+        df = dense_positions(df) if positions else df
+    else:
+        found = split_records.records(spark, path, split_records.JsonChunks)
+        found = split_records.numbered(found) if positions else found
+        df = found.withColumn("_r", F.from_json("record", schema)).select(*(["pos"] if positions else []), "_r.*")
     return declared_fields(rename_columns(df))
 
 
@@ -110,7 +128,10 @@ def write_csv(df: DataFrame, path: str) -> None:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name)
         for f in df.schema
     ]
-    df.select(*flat).write.csv(path, header=True, escape='"', encoding="UTF-8")
+    df.select(*flat).write.csv(
+        path, header=True, escape='"', encoding="UTF-8",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,  # else cells are trimmed
+    )
 
 
 def write_json(df: DataFrame, path: str) -> None:
