@@ -30,8 +30,8 @@ WORTH = 60.0
 #: Pages that a level of the address hierarchy borrows from the one above.
 BORROWED = 4.0
 
-_TAG = re.compile(r"<!--|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
-_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})(?![a-zA-Z])")
+_TAG = re.compile(r"<!--|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9]*+)([^<>]*+)>")
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?+\s*+([a-zA-Z]{2,3})(?![a-zA-Z])")
 _ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _RAW = ("script", "style", "noscript", "template", "textarea")
 _AROUND = ("nav", "header", "footer", "aside", "form", "select", "button")
