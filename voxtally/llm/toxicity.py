@@ -54,7 +54,7 @@ FEATURES = tuple(f"{w} {x}" for x in ("insult", "threat") for w in WAYS) + (
     "strongest", "clauses", "density", "length",
 )
 
-_CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)|\n")
+_CLAUSE = re.compile(r"(?<![.!?;:\n])[.!?;:\n]++(?=\s|$)|\n")
 _TOKEN = re.compile(rf"[{QUOTES}]|[^\W_]+(?:['’][^\W_]+)*")
 
 
