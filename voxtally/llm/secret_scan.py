@@ -20,7 +20,8 @@ FINDINGS = "blob string, rule string, version int, start int, end int"
 @dataclass(frozen=True)
 class Rule:
     """Matches of ``pattern``, leftmost and apart, whose ``group`` has at least ``least``
-    characters. ``marker`` is a text without which there is no match."""
+    characters. ``marker`` is a text without which there is no match. With ``inner`` the span is
+    that of the group, which ends the match."""
 
     name: str
     pattern: str
@@ -28,6 +29,7 @@ class Rule:
     least: int = 0
     version: int = 1
     marker: str | None = None
+    inner: bool = False
 
 
 #: The kinds asked for, in their order; shorter runs are no match in any way, so the length of
@@ -43,7 +45,12 @@ BASE = (
 )
 RULES = BASE + (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", marker="PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", marker="eyJ"),
+    # The first eyJ of a run decides for all, as they share the run's end: one attempt for each run.
+    Rule(
+        "jwt",
+        r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
+        group=1, marker="eyJ", inner=True,
+    ),
 )
 
 
@@ -62,13 +69,17 @@ def _matches(text: Column, rule: Rule) -> Column:
     """[(rule, nth, gap, length, ok)] of the matches: the characters before each since the one
     before, its own, and whether it is long enough."""
     pattern = F.lit(rule.pattern)
+
+    def lead(x: Column) -> Column:
+        return F.length(x["w"]) - F.length(x["v"]) if rule.inner else F.lit(0)
+
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     listed = F.transform(
         F.arrays_zip(whole.alias("w"), value.alias("v"), F.split(text, rule.pattern, -1).alias("g")),
         lambda x, i: F.struct(
             F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), i.alias("nth"),
-            F.length(x["g"]).alias("gap"), F.length(x["w"]).alias("length"),
+            (F.length(x["g"]) + lead(x)).alias("gap"), (F.length(x["w"]) - lead(x)).alias("length"),
             (F.length(x["v"]) >= rule.least).alias("ok"),
         ),
     )
