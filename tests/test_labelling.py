@@ -14,6 +14,12 @@ from voxtally.lexicon import DEFAULT
 from voxtally.operators import labelling
 from voxtally.schemas import LABEL_FIELDS, LABELS
 
+
+def stub_answer(label):
+    """A labeller that gives every text the same label."""
+    return lambda asked: json.dumps([{"id": a["id"], **label} for a in asked])
+
+
 TEXTS = [
     (0, "a", "I love working here, great team culture! My colleagues are helpful."),
     (1, "b", "The workload is unsustainable and unbearable. I am exhausted and stressed, I want to quit."),
@@ -152,11 +158,11 @@ def test_hook_chunks_and_contract(spark):
     rows = spark.range(23, numPartitions=1).select(
         F.concat(F.lit("r"), "id").alias("response_id"), F.lit("some text").alias("anonymized_text")
     )
-    asked = labelling.ask_model(rows, labelling.stub_answer({"sentiment": "positive"})).collect()
+    asked = labelling.ask_model(rows, stub_answer({"sentiment": "positive"})).orderBy("chunk").collect()
     assert sorted(len(r["ids"]) for r in asked) == [3, 10, 10]
     assert [a["id"] for a in json.loads(asked[0]["raw"])] == list(range(10))
     read_back = labelling.read_answers(labelling.ask_model(
-        rows, labelling.stub_answer({"sentiment": "positive"})
+        rows, stub_answer({"sentiment": "positive"})
     ))
     assert read_back.count() == 23
     assert set(read_back.columns) == set(LABELS.fieldNames())
@@ -187,3 +193,88 @@ def test_classifier_learns(spark):
     df = spark.createDataFrame(rows, "id int, text string, y int")
     out = labelling.classify(labelling.fit_classifier(df, "text", "y", features=64), df)
     assert all(r["predicted"] == r["y"] and 0.5 <= r["confidence"] <= 1 for r in out.collect())
+
+
+def asked_rows(spark, n, partitions):
+    rows = [(i * 7 % n, f"r{i}", f"text {i % 5}" if i % 9 else None) for i in range(n)]
+    return spark.createDataFrame(rows, "pos long, response_id string, anonymized_text string").repartition(partitions)
+
+
+def test_chunks_do_not_depend_on_partitions(spark):
+    found = [
+        sorted((r["chunk"], r["ids"], r["texts"], r["key"]) for r in labelling.chunks_of(asked_rows(spark, 43, n), size=6).collect())
+        for n in (1, 3, 8)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert [len(ids) for _, ids, _, _ in found[0]] == [6] * 7 + [1]
+    rows = sorted(asked_rows(spark, 43, 1).collect())
+    assert [i for _, ids, _, _ in found[0] for i in ids] == [r["response_id"] for r in rows]
+    tied = spark.createDataFrame([(0, f"r{i % 3}", "t") for i in range(9)], "pos long, response_id string, anonymized_text string")
+    assert sorted(len(r["ids"]) for r in labelling.chunks_of(tied, size=4).collect()) == [1, 4, 4]
+
+
+def logged(path):
+    """A labeller that notes what it is asked, and fails where the file ``broken`` names an id."""
+    def label(asked):
+        with open(f"{path}/calls", "a") as f:
+            f.write(asked[0]["response_id"] + "\n")
+        with open(f"{path}/broken") as f:
+            if asked[0]["response_id"] in f.read().split():
+                raise TimeoutError
+        return json.dumps([{"id": a["id"], "summary_en": a["response_id"]} for a in asked])
+
+    return label
+
+
+def test_ledger_asks_each_chunk_once(spark, tmp_path):
+    path, ledger = str(tmp_path), str(tmp_path / "ledger")
+    options = {"chunk": 5, "attempts": 2, "wait_seconds": 0, "ledger": ledger}
+    (tmp_path / "broken").write_text("")
+    rows = asked_rows(spark, 40, 3)
+    broken = labelling.chunks_of(rows, size=5).filter("chunk = 2").first()["ids"][0]
+    (tmp_path / "broken").write_text(broken)
+    first = {r["chunk"]: r["raw"] for r in labelling.ask_model(rows, logged(path), **options).collect()}
+    assert first[2] is None and sum(x is not None for x in first.values()) == 7
+    calls = Counter((tmp_path / "calls").read_text().split())
+    assert calls[broken] == 2 and len(calls) == 8 and sum(calls.values()) == 9
+    (tmp_path / "broken").write_text("")
+    more = asked_rows(spark, 40, 8).unionByName(
+        spark.createDataFrame([(40, "new", "late")], "pos long, response_id string, anonymized_text string")
+    )
+    second = {r["chunk"]: r["raw"] for r in labelling.ask_model(more, logged(path), **options).collect()}
+    assert {c: r for c, r in second.items() if c not in (2, 8)} == {c: r for c, r in first.items() if c != 2}
+    assert second[2] is not None and json.loads(second[8])[0]["summary_en"] == "new"
+    again = Counter((tmp_path / "calls").read_text().split()) - calls
+    assert again == {broken: 1, "new": 1}
+
+
+def test_answers_of_ended_tasks_outlive_a_failed_job(spark, tmp_path):
+    """A job that dies keeps what its ended tasks were told; the rerun asks for the rest."""
+    ledger = str(tmp_path / "ledger")
+
+    def dies(asked):
+        if asked[0]["response_id"] == "r0":
+            import os
+            import time
+            time.sleep(6)  # other tasks end meanwhile
+            os._exit(1)
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(asked[0]["response_id"] + "\n")
+        return "[{}]"
+
+    def works(asked):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(asked[0]["response_id"] + "\n")
+        return "[{}]"
+
+    rows = spark.createDataFrame(
+        [(i, f"r{i}", "t") for i in range(12)], "pos long, response_id string, anonymized_text string"
+    )
+    options = {"chunk": 1, "ledger": ledger, "task_chunks": 1}
+    with pytest.raises(Exception):
+        labelling.ask_model(rows, dies, **options).collect()
+    told = (tmp_path / "calls").read_text().split()
+    assert labelling.ask_model(rows, works, **options).filter("raw IS NULL").count() == 0
+    calls = Counter((tmp_path / "calls").read_text().split())
+    assert set(calls) == {f"r{i}" for i in range(12)} and len(told) >= 3
+    assert sum(calls.values()) <= 12 + 4  # at most those of the tasks that were under way

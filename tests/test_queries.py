@@ -15,7 +15,7 @@ TABLES = (
 WITHOUT_SQL = {"sentiment_model", "topic_fit", "analyze_topics", "cosine_topk_index"}
 #: A model's hook, matrix products, and files cut into records.
 PYTHON = {
-    "label_hook", "label_chunks", "cosine_topk", "cosine_topk_lsh", "cosine_topk_index", "text_topk",
+    "label_hook", "label_chunks", "label_ledger", "cosine_topk", "cosine_topk_lsh", "cosine_topk_index", "text_topk",
     "csv_upload", "json_upload",
 }
 

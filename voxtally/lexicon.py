@@ -54,63 +54,63 @@ NEGATIVE_HAN = ["压力", "加班", "不满", "糟糕", "疲惫"]
 THEME_TERMS = {
     "workload_balance": _words(
         "workload overtime hours deadline deadlines balance weekend arbeitslast überstunden "
-        "balance charge heures carga horas काम"
+        "balance charge heures carga horas काम 加班 工作量"
     ),
     "management_leadership": _words(
         "manager management leader leadership boss feedback führung chef vorgesetzter "
-        "direction responsable jefe liderazgo प्रबंधक"
+        "direction responsable jefe liderazgo प्रबंधक 经理 领导 管理"
     ),
     "recognition_rewards": _words(
         "recognition reward rewards bonus salary pay praise anerkennung gehalt "
-        "reconnaissance salaire reconocimiento salario वेतन"
+        "reconnaissance salaire reconocimiento salario वेतन 奖励 薪资"
     ),
     "career_growth": _words(
         "career growth promotion development training karriere entwicklung beförderung "
-        "carrière promotion formation carrera desarrollo promoción विकास"
+        "carrière promotion formation carrera desarrollo promoción विकास 晋升 培训 职业"
     ),
     "team_collaboration": _words(
         "team teams colleagues collaboration teamwork teamarbeit kollegen équipe "
-        "collègues collaboration equipo compañeros टीम"
+        "collègues collaboration equipo compañeros टीम 团队 同事"
     ),
     "company_strategy": _words(
         "strategy vision goals roadmap company strategie ziele stratégie objectifs "
-        "estrategia objetivos रणनीति"
+        "estrategia objetivos रणनीति 战略 目标"
     ),
     "tools_resources": _words(
         "tools equipment software laptop resources office werkzeuge ausstattung outils "
-        "matériel bureau herramientas recursos oficina उपकरण"
+        "matériel bureau herramientas recursos oficina उपकरण 工具 设备"
     ),
     "inclusion_belonging": _words(
         "inclusion diversity belonging inclusive equality bias vielfalt zugehörigkeit "
-        "diversité inclusion diversidad inclusión समावेश"
+        "diversité inclusion diversidad inclusión समावेश 包容 平等"
     ),
     "wellbeing_safety": _words(
         "wellbeing health stress safety burnout mental gesundheit sicherheit santé "
-        "sécurité salud seguridad bienestar स्वास्थ्य"
+        "sécurité salud seguridad bienestar स्वास्थ्य 健康 安全"
     ),
     "communication": _words(
         "communication information transparency meeting meetings kommunikation "
-        "transparenz information réunion transparence comunicación transparencia संचार"
+        "transparenz information réunion transparence comunicación transparencia संचार 沟通 会议"
     ),
 }
 
 EMOTION_TERMS = {
-    "exhausted": _words("exhausted exhausting erschöpft épuisé agotado"),
+    "exhausted": _words("exhausted exhausting erschöpft épuisé agotado 疲惫"),
     "overwhelmed": _words("overwhelmed overwhelming überlastet überfordert débordé abrumado"),
-    "frustrated": _words("frustrated frustrating frustriert frustré frustrado"),
+    "frustrated": _words("frustrated frustrating frustriert frustré frustrado 沮丧"),
     "burned out": _words("burnout ausgebrannt"),
-    "stressed": _words("stressed stressful gestresst stressé estresado तनाव"),
+    "stressed": _words("stressed stressful gestresst stressé estresado तनाव 压力"),
     "undervalued": _words("undervalued unappreciated"),
     "ignored": _words("ignored unheard ignoriert ignoré ignorado"),
     "hopeless": _words("hopeless hoffnungslos"),
     "anxious": _words("anxious worried besorgt inquiet ansioso"),
     "disengaged": _words("disengaged bored gelangweilt"),
-    "supported": _words("supported supportive unterstützt soutenu apoyado"),
+    "supported": _words("supported supportive unterstützt soutenu apoyado 支持"),
     "motivated": _words("motivated motivating motiviert motivé motivado"),
     "appreciated": _words("appreciated wertgeschätzt apprécié"),
     "engaged": _words("engaged engagiert engagé"),
     "hopeful": _words("hopeful optimistic hoffnungsvoll"),
-    "satisfied": _words("satisfied zufrieden satisfait contento संतुष्ट"),
+    "satisfied": _words("satisfied zufrieden satisfait contento संतुष्ट 满意"),
     "valued": _words("valued valorado valorisé"),
     "energized": _words("energized energised"),
     "happy": _words("happy glücklich heureux feliz खुश"),

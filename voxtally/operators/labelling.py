@@ -1,6 +1,5 @@
 """Labels for survey texts: from the lexicon, from an external model, or learned."""
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,12 @@ from voxtally.functions.labeljson import chunk_labels
 from voxtally.functions.text import tokens
 from voxtally.lexicon import DEFAULT, Lexicon
 from voxtally.operators.joins import lookup_join
+from voxtally.sources.checkpoints import settle
+from voxtally.sources.files import dense_positions
+from voxtally.sources.tables import read_if_there
+
+#: Chunks that a task asks for where answers are kept: what a lost executor loses.
+TASK_CHUNKS = 4
 
 
 # -- lexicon ----------------------------------------------------------------
@@ -86,28 +91,38 @@ def lexicon_labels(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT
     )
 
 
-def phrases(df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
+def phrases(
+    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, cut: bool = False
+) -> DataFrame:
     """``(id, term)`` for every content word of four letters or more and every pair of
-    neighbouring ones, as often as they occur."""
-    words = df.select(id_, tokens(F.col(text)).alias("_t")).select(
+    neighbouring ones, as often as they occur. With ``cut``, of the column ``tokens`` (see
+    ``cutting.with_cut_tokens``), where Han words of two characters count too."""
+    def content(name: str):
+        long = L.is_content(name, lexicon, 4)
+        return long | (F.col(name).rlike(r"^\p{IsHan}{2,}$") & L.is_content(name, lexicon, 2)) if cut else long
+
+    terms = F.col("tokens") if cut else tokens(F.col(text))
+    words = df.select(id_, terms.alias("_t")).select(
         id_, F.inline(F.arrays_zip(
             F.col("_t").alias("word"), F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))).alias("next")
         ))
-    ).filter(L.is_content("word", lexicon, 4))
-    pair = F.when(L.is_content("next", lexicon, 4), F.concat_ws(" ", "word", "next"))
+    ).filter(content("word"))
+    pair = F.when(content("next"), F.concat_ws(" ", "word", "next"))
     return words.select(id_, F.explode(F.array("word", pair)).alias("term")).filter(
         F.col("term").isNotNull()
     )
 
 
 def key_phrases(
-    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4
+    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4,
+    cut: bool = False,
 ) -> DataFrame:
-    """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``."""
+    """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``. ``cut`` as in
+    ``phrases``."""
     # Shuffling the texts by id is cheaper than their phrases, and spares shuffling those
     # to be counted per text.
-    texts = df.select(id_, text).repartition(id_)
-    per_text = phrases(texts, id_, text, lexicon).groupBy(id_, "term").agg(
+    texts = df.select(id_, "tokens" if cut else text).repartition(id_)
+    per_text = phrases(texts, id_, text, lexicon, cut).groupBy(id_, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -125,27 +140,31 @@ def key_phrases(
 
 # -- external model -----------------------------------------------------------
 
-def ask_model(
-    df: DataFrame,
-    fn: Callable[[list[dict]], str],
-    text: str = "anonymized_text",
-    chunk: int = K.LABEL_CHUNK,
-    attempts: int = K.LABEL_ATTEMPTS,
-    wait_seconds: float = K.LABEL_WAIT_SECONDS,
+def chunks_of(
+    df: DataFrame, text: str = "anonymized_text", size: int = K.LABEL_CHUNK, order: str | None = None
 ) -> DataFrame:
-    """Calls ``fn`` once per chunk of rows: ``(ids, raw)``, raw null if every attempt failed.
+    """``(chunk, ids, texts, key)``: rows in order, ``size`` to a chunk. ``order`` is a column (if not
+    given, ``pos`` where there is one, otherwise the id); ties go by id and text. Which rows share a
+    chunk depends on the rows alone, not on how they are dealt out. ``key`` is a hash of ids and texts."""
+    order = order or ("pos" if "pos" in df.columns else "response_id")
+    rows = df.select(F.col(order).alias("_o"), "response_id", F.col(text).alias("_text"))
+    by = ("_o", "response_id", "_text")
+    # Settled, as positions are those of the partitions' order.
+    placed = dense_positions(settle(rows.repartitionByRange(*by).sortWithinPartitions(*by)), "_place")
+    listed = placed.groupBy((F.col("_place") / size).cast("long").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("_place", "response_id", "_text"))).alias("_rows")
+    )
+    ids, texts = F.col("_rows.response_id"), F.col("_rows._text")
+    return listed.select(
+        "chunk", ids.alias("ids"), texts.alias("texts"),
+        F.sha2(F.to_json(F.struct(ids.alias("i"), texts.alias("t")), {"ignoreNullFields": "false"}), 256).alias("key"),
+    )
 
-    ``fn`` takes ``[{"id", "text", "response_id"}, ...]``, ids counting from 0 within the
-    chunk, and returns the answer as JSON text. Chunks are cut within a partition, in its
-    row order, so which rows share a chunk depends on the partitioning; Spark may run a
-    task twice, so ``fn`` must not mind being asked again.
-    """
 
-    def answer(rows):
-        asked = [
-            {"id": i, "text": t, "response_id": r}
-            for i, (r, t) in enumerate(zip(rows["response_id"], rows[text]))
-        ]
+def _answered(chunks: DataFrame, fn, attempts: int, wait_seconds: float) -> DataFrame:
+    """``(chunk, ids, key, raw)``, raw null where every attempt failed."""
+    def answer(ids, texts):
+        asked = [{"id": i, "text": t, "response_id": r} for i, (r, t) in enumerate(zip(ids, texts))]
         for attempt in range(attempts):
             try:
                 return fn(asked)
@@ -155,24 +174,50 @@ def ask_model(
         return None
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            full = len(rest) // chunk * chunk
-            if full:
-                yield answered(rest.iloc[:full])
-                rest = rest.iloc[full:]
-        if rest is not None and len(rest):
-            yield answered(rest)
-
-    def answered(rows):
-        chunks = [rows.iloc[i:i + chunk] for i in range(0, len(rows), chunk)]
-        return pd.DataFrame({
-            "ids": [list(c["response_id"]) for c in chunks],
-            "raw": [answer(c) for c in chunks],
-        })
+            raw = [answer(i, t) for i, t in zip(batch["ids"], batch["texts"])]
+            yield batch[["chunk", "ids", "key"]].assign(raw=raw)
 
-    return df.select("response_id", text).mapInPandas(ask, "ids array<string>, raw string")
+    return chunks.mapInPandas(ask, "chunk long, ids array<string>, key string, raw string")
+
+
+def ask_model(
+    df: DataFrame,
+    fn: Callable[[list[dict]], str],
+    text: str = "anonymized_text",
+    chunk: int = K.LABEL_CHUNK,
+    attempts: int = K.LABEL_ATTEMPTS,
+    wait_seconds: float = K.LABEL_WAIT_SECONDS,
+    order: str | None = None,
+    ledger: str | None = None,
+    task_chunks: int = TASK_CHUNKS,
+) -> DataFrame:
+    """Calls ``fn`` once per chunk of rows (``chunks_of``): ``(chunk, ids, raw)``, raw null if every
+    attempt failed.
+
+    ``fn`` takes ``[{"id", "text", "response_id"}, ...]``, ids counting from 0 within the chunk, and
+    returns the answer as JSON text. With ``ledger``, a shared folder of one model, answers are kept
+    there by their chunk's content, and chunks that it holds are not asked again: neither by a rerun,
+    nor after a failure, as a task's answers are in the folder as soon as the task ends. A task asks
+    about ``task_chunks`` chunks. Failed attempts are not kept. Without a ledger Spark may run a task
+    twice, so ``fn`` must not mind being asked again.
+    """
+    chunks = chunks_of(df, text, chunk, order)
+    if ledger is None:
+        return _answered(chunks, fn, attempts, wait_seconds).select("chunk", "ids", "raw")
+    spark, chunks = df.sparkSession, settle(chunks)
+    kept = "key string, raw string"
+    known = spark.read.schema(kept).parquet(ledger) if read_if_there(spark, ledger) is not None else None
+    todo = chunks if known is None else chunks.join(known.select("key"), "key", "left_anti")
+    first = todo.dropDuplicates(["key"]).select("chunk", "ids", "texts", "key")
+    tasks = max(1, -(-first.count() // task_chunks))
+    asked = _answered(first.repartition(tasks, "key"), fn, attempts, wait_seconds)
+    asked.filter("raw IS NOT NULL").select("key", "raw").write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"  # a task's file counts when the task ends
+    ).parquet(ledger)
+    # A key is there twice if a task was interrupted while its file was put in place.
+    answers = spark.read.schema(kept).parquet(ledger).groupBy("key").agg(F.min("raw").alias("raw"))
+    return chunks.join(answers, "key", "left").select("chunk", "ids", "raw")
 
 
 def read_answers(chunks: DataFrame) -> DataFrame:
@@ -180,11 +225,6 @@ def read_answers(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.inline(chunk_labels(F.col("ids"), F.col("raw"))))
 
 
-def stub_answer(label: dict) -> Callable[[list[dict]], str]:
-    """A labeller that gives every text the same label; for tests and dry runs."""
-    return lambda asked: json.dumps([{"id": a["id"], **label} for a in asked])
-
-
 # -- learned ------------------------------------------------------------------
 
 def fit_classifier(

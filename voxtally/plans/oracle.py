@@ -471,6 +471,29 @@ def bucket_keys(source: str, id_: str, vector: str, tables: int, bits: int) -> s
   FROM {source}, range(1, {tables + 1}) x(t)"""
 
 
+RUN_WORDS = f"""WITH run AS (
+  SELECT t AS run, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS t FROM documents) GROUP BY t),
+place AS (
+  SELECT substr(run, i, k) AS gram, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS before,
+    substr(run, i + k, 1) AS after, n
+  FROM (SELECT run, n, k, unnest(range(1, length(run) - k + 2)) AS i FROM run, range(1, 5) sizes(k))),
+counts AS (SELECT gram, sum(n)::DOUBLE AS n FROM place GROUP BY gram),
+free AS (
+  SELECT gram FROM (SELECT gram, before, sum(n)::DOUBLE AS n FROM place GROUP BY ALL) GROUP BY gram
+  HAVING round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) >= 0.6
+  INTERSECT
+  SELECT gram FROM (SELECT gram, after, sum(n)::DOUBLE AS n FROM place GROUP BY ALL) GROUP BY gram
+  HAVING round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) >= 0.6),
+parted AS (
+  SELECT gram, n, substr(gram, 1, j) AS a, substr(gram, j + 1) AS b
+  FROM (SELECT gram, n, unnest(range(1, length(gram))) AS j
+        FROM counts JOIN free USING (gram) WHERE length(gram) > 1 AND n >= 3)),
+kept AS (
+  SELECT p.gram, any_value(p.n) AS n FROM parted p JOIN counts a ON a.gram = p.a JOIN counts b ON b.gram = p.b
+  GROUP BY p.gram HAVING round(min(ln(p.n * (SELECT sum(n) FROM counts WHERE length(gram) = 1) / (a.n * b.n))), 6) >= 1.5
+  UNION ALL SELECT gram, n FROM counts WHERE length(gram) = 1)
+SELECT gram AS word, n::BIGINT AS n, round(ln(n / (SELECT sum(n) FROM kept)), 6) AS weight FROM kept"""
+
 UPLOADED = f"""SELECT 'd' || doc_id AS response_id, CASE WHEN doc_id % 3 = 0
     THEN concat_ws(chr(10), text, 'second, "quoted" line', '') ELSE text END AS text,
   {array(K.DEPARTMENTS)}[doc_id % 11 + 1] AS department, lang AS language FROM documents"""
@@ -619,6 +642,7 @@ SELECT count(*) FILTER (msg IS NULL AND pos % 7 <> 3) AS total_processed,
     "json_records": """SELECT event_id // 5 AS request_id,
   CAST(row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) - 1 AS INT) AS pos,
   CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+    "run_words": RUN_WORDS,
     "csv_upload": UPLOADED,
     "json_upload": UPLOADED,
     "fill_ids": """SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 1 THEN 'd' || doc_id
@@ -699,6 +723,9 @@ SELECT response_id, array_to_string(l, {SEP}) AS cards, masked FROM out""",
 SELECT response_id, array_to_string(l, {SEP}) AS ibans, masked FROM out""",
     "label_chunks": """SELECT 'd' || doc_id AS response_id, doc_id // 10 AS chunk,
   doc_id % 10 AS id_in_chunk FROM documents""",
+    "label_ledger": """SELECT doc_id // 10 AS chunk, count(*)::INT AS records,
+  md5('[' || string_agg(printf('{"id": %d, "response_id": "d%d"}', doc_id % 10, doc_id), ', ' ORDER BY doc_id) || ']') AS answer
+FROM documents GROUP BY doc_id // 10""",
     "label_hook": f"""SELECT 'd' || doc_id AS response_id,
   {array(K.SENTIMENTS)}[length(text) % 5 + 1] AS sentiment,
   (length(text) % 101) / 100e0 AS sentiment_confidence, 'communication' AS primary_theme,

@@ -14,8 +14,9 @@ from voxtally import constants as K
 from voxtally.functions import pii
 from voxtally.functions import vectors as V
 from voxtally.functions import lexical as L
+from voxtally.functions.text import TOKEN
 from voxtally.operators import (
-    burnout, labelling, masking, merge, report, retrieval, stats, synth, text_index, topics, validate,
+    burnout, cutting, labelling, masking, merge, report, retrieval, stats, synth, text_index, topics, validate,
     vector_index,
 )
 from voxtally.plans import analysis, views
@@ -276,16 +277,21 @@ def _echo():
 
 
 def label_chunks(spark, sf):
-    """What a model is given: ten records at a time, numbered from 0. Records lie so that the
-    chunks are known."""
-    survey = views.survey_raw(spark, sf).withColumn("_chunk", F.expr(f"pos div {K.LABEL_CHUNK}"))
-    together = survey.repartition("_chunk").sortWithinPartitions("_chunk", "pos")
-    given = labelling.ask_model(together, _echo(), "text")
+    """What a model is given: ten records at a time, numbered from 0, in the order of positions."""
+    scattered = views.survey_raw(spark, sf).repartition(7, F.hash("text"))
+    given = labelling.ask_model(scattered, _echo(), "text")
     asked = F.from_json("raw", "array<struct<id:long,response_id:string>>")
-    first = F.substring(F.get("ids", F.lit(0)), 2, 20).cast("long")
-    return given.select(
-        (first / K.LABEL_CHUNK).cast("long").alias("chunk"), F.inline_outer(asked)
-    ).select("response_id", "chunk", F.col("id").alias("id_in_chunk"))
+    return given.select("chunk", F.inline_outer(asked)).select("response_id", "chunk", F.col("id").alias("id_in_chunk"))
+
+
+def label_ledger(spark, sf):
+    """Answers kept in a ledger: half the records are asked first, then all; how often a model was
+    asked for each chunk."""
+    survey, path = views.survey_raw(spark, sf), shared_folder(spark, "ledger")
+    half = F.expr(f"pos div {K.LABEL_CHUNK} % 2 = 0")
+    labelling.ask_model(survey.filter(half), _echo(), "text", ledger=path)
+    answers = labelling.ask_model(survey, _echo(), "text", ledger=path)
+    return answers.select("chunk", F.size("ids").alias("records"), F.md5("raw").alias("answer"))
 
 
 def _length_labeller():
@@ -399,6 +405,12 @@ def key_phrases(spark, sf):
     return labelling.key_phrases(views.documents(spark, sf), "doc_id", "text", PROSE)
 
 
+def run_words(spark, sf):
+    """Words learned from runs without spaces; here the runs are the words of the documents, and
+    what is learned are the parts that they are made of."""
+    return cutting.learn_words(cutting.runs(views.documents(spark, sf), pattern=TOKEN))
+
+
 def action_signal(spark, sf):
     rows = views.labelled(spark, sf)
     return rows.select("response_id", L.action_signal(
@@ -758,8 +770,8 @@ QUERIES = {
         validate_rows, validate_split, validate_errors, validate_errors_top50,
         validate_summary, validate_json,
         pii_mask, pii_blank, pii_links, pii_types, pii_cards, pii_iban,
-        label_chunks, label_hook, label_parse, label_chunk_fallback, label_align,
-        sentiment_lexicon, theme_tags, emotion_tags, key_phrases, action_signal,
+        label_chunks, label_ledger, label_hook, label_parse, label_chunk_fallback, label_align,
+        sentiment_lexicon, theme_tags, emotion_tags, key_phrases, run_words, action_signal,
         detect_language, lead_sentence, sentiment_model,
         burnout_score, burnout_emotion, burnout_factors,
         merge_inner, merge_last_wins, merge_topics,
