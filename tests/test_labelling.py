@@ -278,3 +278,20 @@ def test_answers_of_ended_tasks_outlive_a_failed_job(spark, tmp_path):
     calls = Counter((tmp_path / "calls").read_text().split())
     assert set(calls) == {f"r{i}" for i in range(12)} and len(told) >= 3
     assert sum(calls.values()) <= 12 + 4  # at most those of the tasks that were under way
+
+
+def test_cross_fitting_predicts_unseen_rows(spark):
+    rows = [(i if i else None, ("good fine great" if i % 2 else "bad poor awful") + f" w{i}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, y int").repartition(3)
+    out = labelling.cross_fit(df, "id", "text", "y", features=256).collect()
+    assert len(out) == 60 and {r["fold"] for r in out} == {0, 1, 2}
+    assert all(r["predicted"] == r["y"] for r in out)
+    for b in {min(int(r["confidence"] * 10), 9) for r in out}:
+        own = [r for r in out if min(int(r["confidence"] * 10), 9) == b]
+        assert all(r["calibrated"] == pytest.approx((len(own) + 1) / (len(own) + 2)) for r in own)
+    noise = spark.createDataFrame([(i, f"a{i * 7 % 5}", i * i % 3 % 2) for i in range(90)], "id int, text string, y int")
+    told = labelling.cross_fit(noise, "id", "text", "y", features=64)
+    share = told.filter("predicted = y").count() / 90
+    assert abs(told.agg(F.avg("calibrated")).first()[0] - share) < 0.1
+    one = labelling.cross_fit(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, text string, y int"), "id", "text", "y")
+    assert {r["predicted"] for r in one.collect()} == {1}

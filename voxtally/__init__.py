@@ -1 +1,8 @@
-"""Survey-text analytics on Spark: DataFrames in, DataFrames out."""
+"""Survey text analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers whole; they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

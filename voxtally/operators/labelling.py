@@ -249,3 +249,36 @@ def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
         })
         .drop("_words", "_tf", "_tfidf", "rawPrediction", "probability", "prediction")
     )
+
+
+def fold_of(id_: str, folds: int):
+    """A fold from the first 32 bits of the id's MD5 hash."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, F.lit(folds)).cast("int")
+
+
+def cross_fit(
+    labelled: DataFrame, id_: str, text: str, target: str, folds: int = 3, bins: int = 10, **options
+) -> DataFrame:
+    """Adds ``fold``, ``predicted``, ``confidence`` and ``calibrated`` to labelled rows, each predicted by a
+    model that did not see its fold. ``calibrated`` is the smoothed share of right predictions among
+    all rows whose confidence lies in the same of ``bins`` bins. A fold whose other rows have fewer
+    than two classes gets their class."""
+    rows = labelled.withColumn("fold", fold_of(id_, folds))
+    parts = []
+    for fold in range(folds):
+        others = rows.filter(F.col("fold") != fold)
+        classes = [r[0] for r in others.select(target).distinct().limit(2).collect()]
+        own = rows.filter(F.col("fold") == fold)
+        if len(classes) < 2:
+            only = F.lit(classes[0] if classes else None).cast("int")
+            parts.append(own.withColumns({"predicted": only, "confidence": F.lit(1.0)}))
+        else:
+            parts.append(classify(fit_classifier(others, text, target, **options), own))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = settle(every.withColumn("_bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))))
+    right = F.count_if(F.col("predicted") == F.col(target))
+    shares = every.groupBy("_bin").agg(((right + 1) / (F.count(F.lit(1)) + 2)).alias("calibrated"))
+    return every.join(F.broadcast(shares), "_bin").drop("_bin")  # a row for each bin

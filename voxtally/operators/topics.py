@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from voxtally import constants as K
 from voxtally.functions import vectors as V
 from voxtally.functions.text import TOKEN, bind, tokens
+from voxtally.operators import vector_index
+from voxtally.sources.checkpoints import settle
 
 
 # -- vectors and clusters -------------------------------------------------------
@@ -49,6 +51,40 @@ def fit_clusters(
         features.unpersist()
 
 
+def density(
+    vectors: DataFrame, path: str, k: int = 5, compared: int = 300
+) -> DataFrame:
+    """``(id, density)`` of ``vectors`` (id, vec): the mean cosine to the ``k`` nearest other rows, found
+    in a vector index written to ``path``, a new shared folder. A row compares itself with the rows of
+    the lists nearest to it, as many as hold about ``compared`` rows, so work grows with the rows as
+    long as the index has lists for them."""
+    vector_index.write_index(vectors, path)
+    asked = vectors.select(F.col("id").alias("query_id"), "vec")
+    share = min(1.0, compared / max(1, vectors.count()))
+    near = vector_index.search(vectors.sparkSession, path, asked, k + 1, share)
+    order = Window.partitionBy("query_id").orderBy("rank")
+    others = near.filter(F.col("query_id") != F.col("id")).withColumn("_nth", F.row_number().over(order))
+    return settle(others.filter(F.col("_nth") <= k).groupBy(F.col("query_id").alias("id")).agg(
+        F.round(F.avg("score"), 6).alias("density")
+    ))
+
+
+def sparse_rows(found: DataFrame, width: float = 3.0) -> DataFrame:
+    """Adds ``sparse`` to ``density``'s rows: whether a row lies farther from its neighbours than the
+    median by more than ``width`` times the median distance from it (at least 0.001)."""
+    middle = found.agg(F.round(F.percentile("density", 0.5), 6).alias("m")).scalar()
+    from_it = found.select(F.round(F.abs(F.col("density") - middle), 6).alias("d"))
+    spread = F.greatest(from_it.agg(F.percentile("d", 0.5).alias("s")).scalar(), F.lit(0.001))
+    return found.withColumn("sparse", F.round(middle - F.col("density"), 6) > F.round(width * spread, 6))
+
+
+def fold_sparse(topics: DataFrame, sparse: DataFrame, id_: str = "id") -> DataFrame:
+    """``topics`` (``id_``, topic_id, ...) with topic -1 for the rows that are ``sparse``."""
+    marks = sparse.select(F.col("id").alias(id_), "sparse")
+    topic = F.when(F.coalesce("sparse", F.lit(False)), -1).otherwise(F.col("topic_id"))
+    return topics.join(marks, id_, "left").withColumn("topic_id", topic).drop("sparse")
+
+
 def fold_small(
     assigned: DataFrame,
     cluster: str = "cluster",

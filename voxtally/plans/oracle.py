@@ -643,6 +643,23 @@ SELECT count(*) FILTER (msg IS NULL AND pos % 7 <> 3) AS total_processed,
   CAST(row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) - 1 AS INT) AS pos,
   CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
     "run_words": RUN_WORDS,
+    "sentiment_model": f"""SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS INT) AS fold,
+  count(*) AS rows, count(*) FILTER (list_contains({tokens('text')}, 'the')) AS ones,
+  true AS most_right, true AS sure FROM documents GROUP BY fold""",
+    "embed_cache_reads": """SELECT d.doc_id, length(text)::DOUBLE AS length,
+  CASE WHEN text IN (SELECT text FROM documents SEMI JOIN labels USING (doc_id)) THEN 1e0 ELSE 2e0 END AS run
+FROM documents d""",
+    "topic_sparse": """WITH p AS (
+  SELECT doc_id AS id, doc_id % 7 AS topic, CASE WHEN doc_id % 97 = 0 THEN 4.5e0 + doc_id / 97e0 * 0.13e0 % 1.5e0
+    ELSE doc_id % 7 * 0.6e0 + doc_id * 7919 % 10007 / 10007e0 * 0.05e0 END AS a FROM documents),
+near AS (
+  SELECT x.id, round(cos(x.a - y.a), 4) AS s FROM p x JOIN p y ON x.id <> y.id
+  QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY s DESC, y.id) <= 5),
+found AS (SELECT id, round(avg(s), 6) AS density FROM near GROUP BY id),
+middle AS (SELECT round(quantile_cont(density, 0.5), 6) AS m FROM found),
+spread AS (SELECT greatest(quantile_cont(round(abs(density - m), 6), 0.5), 0.001) AS s FROM found, middle)
+SELECT id, CASE WHEN round(m - density, 6) > round(3 * s, 6) THEN -1 ELSE topic END::INT AS topic_id,
+  round(density, 4) AS density FROM found JOIN p USING (id), middle, spread""",
     "csv_upload": UPLOADED,
     "json_upload": UPLOADED,
     "fill_ids": """SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 1 THEN 'd' || doc_id

@@ -14,7 +14,7 @@ from voxtally import constants as K
 from voxtally.functions import pii
 from voxtally.functions import vectors as V
 from voxtally.functions import lexical as L
-from voxtally.functions.text import TOKEN
+from voxtally.functions.text import TOKEN, tokens
 from voxtally.operators import (
     burnout, cutting, labelling, masking, merge, report, retrieval, stats, synth, text_index, topics, validate,
     vector_index,
@@ -151,6 +151,21 @@ def kb_append(spark, sf):
     return present.unionByName(tables.new_documents(present, offered))
 
 
+def embed_cache_reads(spark, sf):
+    """Vectors from a cache: labelled documents are encoded first, then all; a vector tells by which
+    of the two runs it was made."""
+    docs, path = views.documents(spark, sf).select("doc_id", "text"), shared_folder(spark, "vectors")
+
+    def encode(run):
+        return lambda misses: misses.withColumn("vec", F.array(F.length("text"), F.lit(run)).cast("array<double>"))
+
+    first = docs.join(_has_label(spark, sf), "doc_id", "left_semi")
+    tables.with_vectors(spark, first, path, "length", encode(1))
+    tables.compact_cache(spark, path)
+    found = tables.with_vectors(spark, docs, path, "length", encode(2))
+    return found.select("doc_id", F.get("vec", F.lit(0)).alias("length"), F.get("vec", F.lit(1)).alias("run"))
+
+
 def embed_cache_misses(spark, sf):
     docs = views.documents(spark, sf)
     cache = docs.join(_has_label(spark, sf), "doc_id", "left_semi").select(
@@ -436,10 +451,16 @@ def lead_sentence(spark, sf):
 
 
 def sentiment_model(spark, sf):
+    """Predictions of models that did not see a row's fold. The target, whether a text has the commonest
+    English word, follows from the text."""
     docs = views.documents(spark, sf).select("doc_id", "text")
-    known = docs.join(_read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    model = labelling.fit_classifier(known, "text", "quality")
-    return labelling.classify(model, docs).select("doc_id", "predicted", "confidence")
+    target = F.array_contains(tokens(F.col("text")), "the").cast("int")
+    found = labelling.cross_fit(docs.withColumn("target", target), "doc_id", "text", "target", max_iter=10)
+    right = F.count_if(F.col("predicted") == F.col("target")) / F.count(F.lit(1))
+    return found.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("target").alias("ones"),
+        (right >= 0.95).alias("most_right"), (F.avg("calibrated") >= 0.9).alias("sure"),
+    )
 
 
 # -- scores and merging -----------------------------------------------------------
@@ -668,6 +689,22 @@ def topic_outliers(spark, sf):
     )
 
 
+def topic_sparse(spark, sf):
+    """Rows far from their neighbours: documents as points on a circle, in seven dense arcs, but for every
+    97th, which lie by themselves."""
+    at = F.when(F.col("doc_id") % 97 == 0, 4.5 + F.col("doc_id") / 97 * 0.13 % 1.5).otherwise(
+        F.col("doc_id") % 7 * 0.6 + F.col("doc_id") * 7919 % 10007 / 10007 * 0.05
+    )
+    points = views.documents(spark, sf).select(
+        F.col("doc_id").alias("id"), F.array(F.cos(at), F.sin(at)).alias("vec"), (F.col("doc_id") % 7).alias("topic_id")
+    )
+    found = topics.density(points.select("id", "vec"), shared_folder(spark, "density"))
+    sparse = topics.sparse_rows(found)
+    return topics.fold_sparse(points.select("id", "topic_id"), sparse).join(found, "id").select(
+        "id", F.col("topic_id").cast("int").alias("topic_id"), F.round("density", 4).alias("density")
+    )
+
+
 def topic_keywords(spark, sf):
     return topics.keywords(views.documents(spark, sf), "source")
 
@@ -766,7 +803,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         analyze, analyze_lexicon, analyze_repeated, analyze_topics, analyze_summary,
-        src_rename, json_records, csv_upload, json_upload, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses,
+        src_rename, json_records, csv_upload, json_upload, fill_ids, preview, kb_seeded, kb_append, embed_cache_misses, embed_cache_reads,
         validate_rows, validate_split, validate_errors, validate_errors_top50,
         validate_summary, validate_json,
         pii_mask, pii_blank, pii_links, pii_types, pii_cards, pii_iban,
@@ -778,7 +815,7 @@ QUERIES = {
         freq_tables, cohort_stats, cohort_empty, top_themes, top_departments, kpi_tiles, value_counts,
         urgent_rows, business_counters, labelled_counter, latency_histogram,
         model_latency_histogram,
-        vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_keywords, topic_keywords_rerank,
+        vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_sparse, topic_keywords, topic_keywords_rerank,
         topic_labels, topic_confidence, topic_predict,
         cosine_topk, cosine_topk_lsh, cosine_topk_index, text_topk,
         report_queries, report_context, report_findings, report_actions, report_json,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxtally import constants as K
 from voxtally.operators.joins import lookup_join
 from voxtally.schemas import KB
+from voxtally.sources.checkpoints import settle
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
@@ -58,6 +59,10 @@ def append_documents(spark: SparkSession, path: str, documents: DataFrame) -> No
 
 # -- vector cache ---------------------------------------------------------------
 
+#: Hexadecimal digits of a text's hash that name its folder in the cache: 256 folders.
+PREFIX = 2
+
+
 def text_key(text: str = "text"):
     return F.sha2(F.col(text), 256)
 
@@ -74,6 +79,31 @@ def cache_misses(texts: DataFrame, cache: DataFrame, encoder: str, text: str = "
     )
 
 
+def cached(spark: SparkSession, path: str, encoder: str, keys: DataFrame) -> DataFrame | None:
+    """The rows of the cache at ``path`` in the folders of ``keys`` (text_hash), None without a cache.
+
+    The cache has a folder for each encoder and each ``PREFIX`` of hashes; of the batch only the
+    prefixes that occur, at most 256, come to the driver, and the scan leaves other folders out.
+    """
+    cache = read_if_there(spark, path)
+    if cache is None:
+        return None
+    prefix = F.substring("text_hash", 1, PREFIX)
+    wanted = [r[0] for r in keys.select(prefix.alias("p")).distinct().collect()]
+    # Names of folders are read as text or as numbers, as they look.
+    return cache.filter((F.col("encoder").cast("string") == encoder) & F.col("prefix").cast("string").isin(
+        [f"h{w}" for w in wanted if w is not None]
+    ))
+
+
+def _append(vectors: DataFrame, path: str, mode: str = "append") -> None:
+    folder = F.concat(F.lit("h"), F.substring("text_hash", 1, PREFIX)).alias("prefix")
+    rows = vectors.select("text_hash", "vec", "encoder", folder)
+    rows.hint("rebalance", "encoder", "prefix").write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("encoder", "prefix").parquet(path)
+
+
 def with_vectors(
     spark: SparkSession,
     texts: DataFrame,
@@ -85,21 +115,30 @@ def with_vectors(
     """Adds ``vec``; texts not in the cache at ``path`` are encoded and appended first.
 
     ``encode`` takes ``(text_hash, text)`` and adds ``vec``, an array or a vector. The key is the
-    text itself under the encoder's name, so other texts never get these vectors.
+    text itself under the encoder's name, so other texts never get these vectors. Only the folders
+    of the batch's hashes are read. Null texts have no vector and drop out.
     """
-    cache = read_if_there(spark, path)
-    if cache is None:
-        cache = spark.createDataFrame([], "encoder string, text_hash string")
-    encode(cache_misses(texts, cache, encoder, text)).select(
-        F.lit(encoder).alias("encoder"), "text_hash", "vec"
-    ).write.mode("append").parquet(path)
-    vectors = spark.read.parquet(path).filter(F.col("encoder") == encoder).select(
-        "text_hash", "vec"
-    )
     keyed = texts.withColumn("text_hash", text_key(text))
+    keys = settle(keyed.filter(F.col("text_hash").isNotNull()).select("text_hash").distinct())
+    known = cached(spark, path, encoder, keys)
+    if known is None:
+        known = spark.createDataFrame([], "encoder string, text_hash string")
+    misses = cache_misses(texts.filter(F.col(text).isNotNull()), known, encoder, text)
+    _append(encode(misses).select(F.lit(encoder).alias("encoder"), "text_hash", "vec"), path)
+    # Two runs at a time may both have encoded a text.
+    vectors = cached(spark, path, encoder, keys).select("text_hash", "vec").dropDuplicates(["text_hash"])
     return lookup_join(keyed, vectors, "text_hash").drop("text_hash")
 
 
+def compact_cache(spark: SparkSession, path: str) -> None:
+    """Rewrites each folder of the cache at ``path`` in few files with each text once. Nothing else
+    may write to it meanwhile; what a failure loses is encoded anew when it is wanted."""
+    cache = read_if_there(spark, path)
+    if cache is not None:
+        rows = settle(cache.withColumn("encoder", F.col("encoder").cast("string")).dropDuplicates(["encoder", "text_hash"]))
+        _append(rows, path, "overwrite")
+
+
 # -- topic models ---------------------------------------------------------------
 
 def save_topic_model(model: PipelineModel, topics: DataFrame, path: str) -> None:
