@@ -76,7 +76,7 @@ def test_words_against_plain_counts(spark):
 
 
 def test_chinese_answers_get_words_themes_and_phrases(spark):
-    answers = synth.dataset(spark, 300).filter("language = 'zh'").select("response_id", "text")
+    answers = synth.dataset(spark, 1500).filter("language = 'zh'").select("response_id", "text")
     own = survey(spark, [(0, "x", "我对工作量不满，team 团队很好。"), (1, "y", "no Han here")]).select("response_id", "text")
     df = answers.unionByName(own)
     words = cutting.learn_words(cutting.runs(df))

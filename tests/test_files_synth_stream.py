@@ -8,6 +8,7 @@ from voxtally import constants as K
 from voxtally.operators import synth, validate
 from voxtally.schemas import ANALYZED_FIELDS, SURVEY_FIELDS
 from voxtally.sources import checkpoints, files, tables
+from voxtally.streaming import counters
 from voxtally.streaming.analyze import analyze_stream, write_stream
 
 
@@ -183,3 +184,52 @@ def test_raw_json_lines_are_checked(spark, tmp_path):
     assert validate.summary(checked).first()["valid_count"] == 1
     assert validate.valid(checked).first()["text"] == "long enough"
     assert validate.error_lines(checked).count() == 3
+
+
+def test_a_million_answers_do_not_repeat(spark):
+    """With the arithmetic of a period of 1,000,003, later answers were those of earlier ones."""
+    answers = synth.synthesize(spark.range(170_000))
+    assert answers.count() == 1_020_000
+    assert answers.select("text").distinct().count() >= 100_000
+    late = synth.synthesize(spark.range(1_000_003, 1_000_013)).select("text", "language", "department")
+    early = synth.synthesize(spark.range(0, 10)).select("text", "language", "department")
+    assert late.exceptAll(early).count() > 40
+
+
+def test_counters_over_batches(spark, tmp_path):
+    path = str(tmp_path / "counters")
+    rows = spark.createDataFrame(
+        [("high", "urgent_action", "negative", "tools", "a", 0.2), ("low", "monitor", "neutral", "tools", "a", float("nan")),
+         ("critical", "monitor", "neutral", "tools", "b", 7.0)],
+        "burnout_risk_level string, action_signal string, sentiment string, primary_theme string, operation string, seconds double",
+    )
+    counts = counters.counts_of(rows, [0.5, 5.0])
+    assert counters.totals(spark, path).collect() == []
+    for batch in (0, 1, 1, 0):  # repeated batches change nothing
+        counters.add_batch(counts, batch, path)
+    counters.add_batch(counters.counts_of(rows.limit(0), [0.5, 5.0]), 2, path)
+    counters.add_batch(counts, 0, path, "other")
+    got = {(r["counter"], r["labels"], r["le"]): (r["n"], r["total"] and float(r["total"])) for r in counters.totals(spark, path).collect()}
+    assert got == {
+        ("surveys_analyzed", "", None): (9, None), ("burnout_high_risk", "", None): (6, None),
+        ("urgent_actions", "", None): (3, None), ("responses", "negative/tools", None): (3, None),
+        ("responses", "neutral/tools", None): (6, None),
+        ("seconds", "a", "0.5"): (3, None), ("seconds", "a", "5.0"): (3, None), ("seconds", "a", "+Inf"): (3, 0.6),
+        ("seconds", "b", "0.5"): (0, None), ("seconds", "b", "5.0"): (0, None), ("seconds", "b", "+Inf"): (3, 21.0),
+    }
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    source, path, mark = (str(tmp_path / n) for n in ("in", "counters", "mark"))
+    rows = survey(spark, [(i, f"r{i}", "The workload is unbearable") for i in range(5)])
+    rows.write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        counters.count_stream(analyze_stream(stream), path, mark).awaitTermination(120)
+        return {r["counter"]: r["n"] for r in counters.totals(spark, path).collect() if not r["labels"]}
+
+    assert run()["surveys_analyzed"] == 5
+    assert run()["surveys_analyzed"] == 5
+    survey(spark, [(9, "r9", "Great tools and good software")]).write.mode("append").parquet(source)
+    assert run()["surveys_analyzed"] == 6

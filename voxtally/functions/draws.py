@@ -10,6 +10,13 @@ def draw(id_: str, k: int, p: int, m: int) -> Column:
     return F.expr(f"cast(((({id_} + 1) * {p}L) % 1000003 + {k}) % {m} as int)")
 
 
+def hashed(id_: str, node: str, m: int) -> Column:
+    """A value from 0 to m-1 from the first 60 bits of the MD5 hash of a column of ids and the name of
+    what is drawn: no two draws go together, and none repeats after any number of ids."""
+    bits = f"conv(substring(md5(concat(cast({id_} as string), '/{node}')), 1, 15), 16, 10)"
+    return F.expr(f"cast(cast({bits} as bigint) % {m} as int)")
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The value at an index, null past the end."""
     return F.get(strings(values), index)

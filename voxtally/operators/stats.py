@@ -135,12 +135,15 @@ def urgent_rows(analyzed: DataFrame) -> DataFrame:
     )
 
 
-def _run_counters() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("surveys_analyzed"),
-        F.count_if(F.col("burnout_risk_level").isin("high", "critical")).alias("burnout_high_risk"),
-        F.count_if(F.col("action_signal") == "urgent_action").alias("urgent_actions"),
-        F.count_if(F.col("pii_detected")).alias("pii_detected"),
+def run_counters(columns: list[str]) -> list[Column]:
+    """The counters that rows with ``columns`` have; the number of rows always."""
+    of = {
+        "burnout_high_risk": ("burnout_risk_level", lambda c: c.isin("high", "critical")),
+        "urgent_actions": ("action_signal", lambda c: c == "urgent_action"),
+        "pii_detected": ("pii_detected", lambda c: c),
+    }
+    return [F.count(F.lit(1)).alias("surveys_analyzed")] + [
+        F.count_if(holds(F.col(column))).alias(name) for name, (column, holds) in of.items() if column in columns
     ]
 
 
@@ -148,12 +151,12 @@ def business_counters(analyzed: DataFrame, reports: DataFrame) -> DataFrame:
     """Counters of one run over rows that also carry ``pii_detected``, and how many reports
     there are."""
     written = reports.agg(F.count(F.lit(1)).alias("insights_generated"))
-    return analyzed.agg(*_run_counters()).withColumn("insights_generated", written.scalar())
+    return analyzed.agg(*run_counters(analyzed.columns)).withColumn("insights_generated", written.scalar())
 
 
 def observe_counters(analyzed: DataFrame, observation: Observation) -> DataFrame:
     """The rows as they are; the counters come with whatever is done with them next."""
-    return analyzed.observe(observation, *_run_counters())
+    return analyzed.observe(observation, *run_counters(analyzed.columns))
 
 
 def labelled_counter(log: DataFrame, labels: list[str]) -> DataFrame:
@@ -162,8 +165,8 @@ def labelled_counter(log: DataFrame, labels: list[str]) -> DataFrame:
 
 def histogram(log: DataFrame, value: str, bounds: list[float], labels: list[str]) -> DataFrame:
     """Cumulative buckets per label set: ``le``, ``bucket_count``, and the count and sum
-    of all observations. One pass with one counter per bound."""
-    v = F.col(value)
+    of all observations, which null and NaN are not. One pass with one counter per bound."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     counters = [F.count_if(v <= b).alias(f"_b{i}") for i, b in enumerate(bounds)]
     wide = log.groupBy(*labels).agg(
         *counters,

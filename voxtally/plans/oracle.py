@@ -514,21 +514,41 @@ def nested(table: dict, row: str, column: str) -> str:
     return "[" + ", ".join(array(table[lang]) for lang in K.LANGUAGES) + f"][{row} + 1][{column} + 1]"
 
 
+def hashed(id_: str, node: str, m: int) -> str:
+    return f"CAST(('0x' || substr(md5({id_} || '/{node}'), 1, 15))::BIGINT % {m} AS INT)"
+
+
+def chosen(drawn: str, weights: list[int]) -> str:
+    upto = [sum(weights[: i + 1]) for i in range(len(weights))]
+    return f"CASE {' '.join(f'WHEN {drawn} < {u} THEN {i}' for i, u in enumerate(upto))} END"
+
+
+def reason(nth: int) -> str:
+    since = chosen(hashed("counter", f"reason{nth}.since", sum(synth.SINCE_WEIGHTS)), synth.SINCE_WEIGHTS)
+    own = nested(synth.REASONS, "li", hashed("counter", f"reason{nth}", 8))
+    who = nested(synth.WHO, "li", hashed("counter", f"reason{nth}.who", 4))
+    filled = f"replace(replace({own}, '<since>', {nested(synth.SINCE, 'li', f'({since})')}), '<who>', {who})"
+    many = chosen(hashed("counter", "answer", sum(synth.REASON_WEIGHTS)), synth.REASON_WEIGHTS)
+    return f"CASE WHEN {many} >= {nth} THEN gap || {filled} ELSE '' END"
+
+
 SYNTH = f"""WITH r AS (
   SELECT doc_id AS row, li, (doc_id // 5) * 6 + li AS g,
     li * (SELECT count(*) FROM documents) + doc_id AS counter
   FROM documents, range(6) x(li)),
 s AS (
-  SELECT *, {array(K.LANGUAGES)}[li + 1] AS language, {draw('g', 1, 62711, 10)} AS theme_no,
-    {weighted(K.SENTIMENT_PERCENT, draw('g', 2, 7919, 100))} AS declared_sentiment,
-    {array(K.DEPARTMENTS)}[{draw('g', 3, 53813, 10)} + 1] AS department,
-    {array(K.EXPERIENCE_LEVELS)}[{draw('counter', 4, 45911, 5)} + 1] AS experience FROM r)
+  SELECT *, {array(K.LANGUAGES)}[li + 1] AS language, {hashed('g', 'theme', 10)} AS theme_no,
+    {weighted(K.SENTIMENT_PERCENT, hashed('g', 'sentiment', 100))} AS declared_sentiment,
+    {array(K.DEPARTMENTS)}[{hashed('g', 'department', len(K.DEPARTMENTS))} + 1] AS department,
+    {array(K.EXPERIENCE_LEVELS)}[{hashed('counter', 'experience', len(K.EXPERIENCE_LEVELS))} + 1] AS experience FROM r),
+t AS (
+  SELECT *, replace({nested(synth.OPENINGS, 'li', f"(list_position({array(K.SENTIMENTS)}, declared_sentiment) - 1)")},
+    '%s', {nested(synth.SUBJECTS, 'li', 'theme_no')}) AS opening,
+    {nested(synth.CLOSINGS, 'li', '(row % 5)')} AS closing, CASE WHEN language = 'zh' THEN '' ELSE ' ' END AS gap FROM s)
 SELECT language || '_' || printf('%05d', counter) AS response_id,
-  replace({nested(synth.OPENINGS, 'li', f"(list_position({array(K.SENTIMENTS)}, declared_sentiment) - 1)")},
-    '%s', {nested(synth.SUBJECTS, 'li', 'theme_no')}) || ' '
-    || {nested(synth.CLOSINGS, 'li', '(row % 5)')} AS text,
+  opening || {reason(1)} || {reason(2)} || gap || closing AS text,
   language, declared_sentiment, {array(K.THEMES)}[theme_no + 1] AS survey_theme, department, experience
-FROM s"""
+FROM t"""
 
 # -- checks on runs of digits ---------------------------------------------------------------
 
@@ -840,6 +860,11 @@ SELECT count(*) AS surveys_analyzed,
   count(*) FILTER (action_signal = 'urgent_action') AS urgent_actions,
   count(*) FILTER ({masked('text')} <> text) AS pii_detected,
   (SELECT count(*) FROM (SELECT max(pos) FROM scored HAVING count(*) > 0)) AS insights_generated FROM scored""",
+    "stream_counters": f"""{ANALYZED}
+SELECT 'surveys_analyzed' AS counter, '' AS labels, count(*) AS n FROM scored
+UNION ALL SELECT 'burnout_high_risk', '', count(*) FILTER (risk_level IN ('high', 'critical')) FROM scored
+UNION ALL SELECT 'urgent_actions', '', count(*) FILTER (action_signal = 'urgent_action') FROM scored
+UNION ALL SELECT 'responses', sentiment || '/' || primary_theme, count(*) FROM scored GROUP BY ALL""",
     "labelled_counter": """SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS status,
   count(*) AS n FROM events GROUP BY ALL""",
     "latency_histogram": histogram(K.REQUEST_BUCKETS, "event_type"),

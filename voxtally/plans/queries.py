@@ -23,6 +23,7 @@ from voxtally.plans import analysis, views
 from voxtally.plans.views import PROSE
 from voxtally.schemas import ANALYZED_FIELDS
 from voxtally.sources import files, tables
+from voxtally.streaming import counters
 from voxtally.sources.checkpoints import settle, shared_folder
 
 SEP = "|"
@@ -626,6 +627,23 @@ def business_counters(spark, sf):
     )
 
 
+def stream_counters(spark, sf):
+    """Counters over the batches of a stream of analysed records, each of which is sent twice."""
+    source, mark, path = (shared_folder(spark, n) for n in ("records", "mark", "counters"))
+    analyzed = views.analyzed_rows(spark, sf)
+    analyzed.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(analyzed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def twice(batch, number):
+        for _ in range(2):
+            counters.add_batch(counters.counts_of(batch), number, path)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", mark).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return counters.totals(spark, path).select("counter", "labels", "n")
+
+
 def labelled_counter(spark, sf):
     log = _read(spark, sf, "events").select(
         "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("status")
@@ -813,7 +831,7 @@ QUERIES = {
         burnout_score, burnout_emotion, burnout_factors,
         merge_inner, merge_last_wins, merge_topics,
         freq_tables, cohort_stats, cohort_empty, top_themes, top_departments, kpi_tiles, value_counts,
-        urgent_rows, business_counters, labelled_counter, latency_histogram,
+        urgent_rows, business_counters, stream_counters, labelled_counter, latency_histogram,
         model_latency_histogram,
         vectors_unit_norm, topic_fit, topic_reuse, topic_outliers, topic_sparse, topic_keywords, topic_keywords_rerank,
         topic_labels, topic_confidence, topic_predict,
