@@ -12,7 +12,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-WITHOUT_SQL = {"topic_fit", "analyze_topics", "cosine_topk_index"}
+WITHOUT_SQL = {"analyze_topics", "cosine_topk_index"}
 #: A model's hook, matrix products, and files cut into records.
 PYTHON = {
     "label_hook", "label_chunks", "label_ledger", "cosine_topk", "cosine_topk_lsh", "cosine_topk_index", "text_topk",

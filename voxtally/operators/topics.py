@@ -92,8 +92,8 @@ def fold_small(
     n_topics: int = K.N_TOPICS,
 ) -> DataFrame:
     """Adds ``topic_id``: clusters of at least ``min_size`` rows numbered from 0 by size,
-    at most ``n_topics`` of them; all other rows are -1."""
-    sizes = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    at most ``n_topics`` of them; all other rows, those without a cluster too, are -1."""
+    sizes = assigned.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.filter(F.col("n") >= min_size).orderBy(F.desc("n"), cluster).limit(n_topics)
     numbered = largest.agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col(cluster))))
@@ -152,12 +152,13 @@ def keywords_by_similarity(
 ) -> DataFrame:
     """Keywords re-ranked by likeness to their topic: ``(topic, rank, term, similarity)``.
 
-    A term's vector is the mean vector of the texts it occurs in, a topic's that of its
-    own texts. Only the ``candidates`` best terms of each topic are considered; with topics
+    A term's vector is the mean vector of the texts it occurs in, a topic's that of its own texts;
+    texts without a vector count for the terms only, and terms without one are not ranked. The
+    ``candidates`` best terms of each topic are ranked anew, which is what re-ranking means; with topics
     from ``fold_small`` the broadcast list has at most (n_topics + 1) × candidates rows.
     """
-    listed = keywords(docs, topic, text, candidates).select(topic, "term")
-    words = docs.select(
+    listed = settle(keywords(docs, topic, text, candidates).select(topic, "term"))
+    words = docs.filter(F.col(vector).isNotNull()).select(
         V.doubles(F.col(vector)).alias("v"),
         F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"),
     ).join(F.broadcast(listed.select("term").distinct()), "term")
@@ -206,7 +207,7 @@ def describe(assigned: DataFrame, labels: DataFrame) -> DataFrame:
 def centroids(df: DataFrame, topic: str = "topic_id", vector: str = "embedding") -> DataFrame:
     """Mean vector of each topic, outliers left out."""
     return (
-        df.filter(F.col(topic) != K.NO_TOPIC)
+        df.filter((F.col(topic) != K.NO_TOPIC) & F.col(vector).isNotNull())
         .groupBy(topic)
         .agg(Summarizer.mean(array_to_vector(V.doubles(F.col(vector)))).alias("m"))
         .select(topic, vector_to_array("m").alias("centroid"))

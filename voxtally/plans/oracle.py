@@ -457,6 +457,39 @@ near AS (
     list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS cos
   FROM folded f, centre c)"""
 
+def made_topics(fitted: str, asked: str) -> str:
+    """Topics of the documents that are ``asked`` by the classes of those that are ``fitted``."""
+    return f"""WITH docs AS (
+  SELECT doc_id, text, {fitted} AS fitted,
+    CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 10 < 3 THEN 1 WHEN doc_id % 10 < 6 THEN 2 ELSE 3 END AS cls
+  FROM documents),
+raw AS (
+  SELECT doc_id, cls, fitted, list_transform(range(4), lambda i:
+    CASE WHEN cls = i THEN 10e0 ELSE 0e0 END + ((doc_id * 7 + i * 3) % 11) / 10e0) AS v FROM docs),
+unit AS (
+  SELECT doc_id, cls, fitted, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw),
+sizes AS (
+  SELECT cls, row_number() OVER (ORDER BY count(*) DESC) - 1 AS topic_id FROM docs WHERE fitted
+  GROUP BY cls HAVING count(*) >= {K.MIN_TOPIC_SIZE}),
+centre AS (
+  SELECT topic_id, list(m ORDER BY i) AS c FROM (
+    SELECT topic_id, i, avg(x) AS m FROM (
+      SELECT topic_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM unit JOIN sizes USING (cls) WHERE fitted)
+    GROUP BY ALL) GROUP BY topic_id),
+fitted_docs AS (
+  SELECT coalesce(topic_id, -1) AS cls, text FROM docs LEFT JOIN sizes USING (cls) WHERE fitted),
+{topic_terms('fitted_docs', 'cls')},
+named AS (
+  SELECT cls AS topic_id, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS topic_label,
+    string_agg(term, '|' ORDER BY rank) AS topic_keywords FROM ranked WHERE rank <= 5 GROUP BY cls),
+near AS (
+  SELECT doc_id, topic_id, list_cosine_similarity(v, c) AS cos FROM unit, centre WHERE {asked}),
+share AS (SELECT doc_id, topic_id, cos, exp(cos) / sum(exp(cos)) OVER (PARTITION BY doc_id) AS p FROM near)
+SELECT doc_id, CAST(topic_id AS INT) AS topic_id, topic_label, topic_keywords,
+  round(least(1e0, p), 4) AS topic_confidence FROM share JOIN named USING (topic_id)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, topic_id) = 1"""
+
+
 # -- synthetic ---------------------------------------------------------------------------
 
 
@@ -876,10 +909,10 @@ UNION ALL SELECT 'responses', sentiment || '/' || primary_theme, count(*) FROM s
     "topic_keywords": f"""WITH {topic_terms('documents', 'source')}
 SELECT source, CAST(rank AS INT) AS rank, term, score FROM ranked WHERE rank <= 5""",
     "topic_keywords_rerank": f"""WITH joined AS (
-  SELECT doc_id, text, embedding, label FROM documents JOIN embeddings ON vec_id = doc_id),
+  SELECT doc_id, text, embedding, label FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 kept AS (
   SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INT) AS topic_id
-  FROM (SELECT label, count(*) AS n FROM joined GROUP BY label) WHERE n >= {K.MIN_TOPIC_SIZE}
+  FROM (SELECT label, count(*) AS n FROM joined WHERE label IS NOT NULL GROUP BY label) WHERE n >= {K.MIN_TOPIC_SIZE}
   QUALIFY topic_id < {K.N_TOPICS}),
 docs AS (
   SELECT doc_id, text, embedding, coalesce(topic_id, -1) AS topic_id FROM joined LEFT JOIN kept USING (label)),
@@ -899,35 +932,8 @@ sim AS (
   FROM candidate JOIN tv USING (term) JOIN cv USING (topic_id, i) GROUP BY ALL)
 SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY similarity DESC, term) AS INT)
   AS rank, term, similarity FROM sim QUALIFY rank <= 5""",
-    "topic_reuse": f"""WITH docs AS (
-  SELECT doc_id, text, (doc_id // 10) % 2 = 0 AS fitted,
-    CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 10 < 3 THEN 1 WHEN doc_id % 10 < 6 THEN 2 ELSE 3 END AS cls
-  FROM documents),
-raw AS (
-  SELECT doc_id, cls, fitted, list_transform(range(4), lambda i:
-    CASE WHEN cls = i THEN 10e0 ELSE 0e0 END + ((doc_id * 7 + i * 3) % 11) / 10e0) AS v FROM docs),
-unit AS (
-  SELECT doc_id, cls, fitted, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw),
-sizes AS (
-  SELECT cls, row_number() OVER (ORDER BY count(*) DESC) - 1 AS topic_id FROM docs WHERE fitted
-  GROUP BY cls HAVING count(*) >= {K.MIN_TOPIC_SIZE}),
-centre AS (
-  SELECT topic_id, list(m ORDER BY i) AS c FROM (
-    SELECT topic_id, i, avg(x) AS m FROM (
-      SELECT topic_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM unit JOIN sizes USING (cls) WHERE fitted)
-    GROUP BY ALL) GROUP BY topic_id),
-fitted_docs AS (
-  SELECT coalesce(topic_id, -1) AS cls, text FROM docs LEFT JOIN sizes USING (cls) WHERE fitted),
-{topic_terms('fitted_docs', 'cls')},
-named AS (
-  SELECT cls AS topic_id, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS topic_label,
-    string_agg(term, '|' ORDER BY rank) AS topic_keywords FROM ranked WHERE rank <= 5 GROUP BY cls),
-near AS (
-  SELECT doc_id, topic_id, list_cosine_similarity(v, c) AS cos FROM unit, centre WHERE NOT fitted),
-share AS (SELECT doc_id, topic_id, cos, exp(cos) / sum(exp(cos)) OVER (PARTITION BY doc_id) AS p FROM near)
-SELECT doc_id, CAST(topic_id AS INT) AS topic_id, topic_label, topic_keywords,
-  round(least(1e0, p), 4) AS topic_confidence FROM share JOIN named USING (topic_id)
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, topic_id) = 1""",
+    "topic_fit": made_topics("true", "true"),
+    "topic_reuse": made_topics("(doc_id // 10) % 2 = 0", "NOT fitted"),
     "topic_labels": f"""WITH {topic_terms('documents', 'source')}
 SELECT source, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS topic_label,
   string_agg(term, '|' ORDER BY rank) AS topic_keywords FROM ranked WHERE rank <= 5 GROUP BY source""",

@@ -1,7 +1,6 @@
 """One query per operator: ``(spark, folder) -> DataFrame``. Lists are joined to text."""
 
 import json
-import uuid
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
@@ -671,30 +670,35 @@ def vectors_unit_norm(spark, sf):
     )
 
 
-def topic_fit(spark, sf):
-    docs = views.prose_topics(spark, sf)
-    vectors = topics.as_features(docs.select("doc_id", "embedding"))
-    return _flat(topics.assign(docs.select("doc_id", "text"), vectors, "doc_id"))
-
-
-def topic_reuse(spark, sf):
-    """Topics fitted on every other ten documents, stored, loaded, and given to the rest. The
-    vectors are made so that four classes of known size lie apart."""
+def _made_vectors(spark, sf, fitted):
+    """All documents with vectors made so that four classes of known size lie apart."""
     tens = F.col("doc_id") % 10
     docs = views.documents(spark, sf).select(
-        "doc_id", "text", F.expr("(doc_id div 10) % 2 = 0").alias("fitted"),
+        "doc_id", "text", fitted.alias("fitted"),
         F.when(tens == 0, 0).when(tens < 3, 1).when(tens < 6, 2).otherwise(3).alias("cls"),
     )
     raw = F.array(*[
         F.when(F.col("cls") == i, 10.0).otherwise(0.0) + (F.col("doc_id") * 7 + i * 3) % 11 / 10.0
         for i in range(4)
     ])
-    vectors = docs.select("doc_id", "fitted", array_to_vector(raw).alias("raw"))
+    return docs, docs.select("doc_id", "fitted", array_to_vector(raw).alias("raw"))
+
+
+def topic_fit(spark, sf):
+    """Topics of all documents, fitted on all of them."""
+    docs, vectors = _made_vectors(spark, sf, F.lit(True))
+    units = Normalizer(inputCol="raw", outputCol="features").transform(vectors).select("doc_id", "features")
+    found = topics.fit(docs.select("doc_id", "text"), units, "doc_id", n_topics=4)
+    return _flat(topics.members_described(*found, "doc_id"))
+
+
+def topic_reuse(spark, sf):
+    """Topics fitted on every other ten documents, stored, loaded, and given to the rest."""
+    docs, vectors = _made_vectors(spark, sf, F.expr("(doc_id div 10) % 2 = 0"))
     encoder = PipelineModel([Normalizer(inputCol="raw", outputCol="features")])
     known = encoder.transform(vectors.filter("fitted")).select("doc_id", "features")
     _, found = topics.fit(docs.filter("fitted").select("doc_id", "text"), known, "doc_id", n_topics=4)
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{folder}/topics-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "topics")
     tables.save_topic_model(encoder, found, path)
     loaded, found = tables.load_topic_model(spark, path)
     rest = loaded.transform(vectors.filter("not fitted")).select("doc_id", "features")
@@ -728,7 +732,7 @@ def topic_keywords(spark, sf):
 
 
 def topic_keywords_rerank(spark, sf):
-    return topics.keywords_by_similarity(topics.fold_small(views.prose_topics(spark, sf), "label"))
+    return topics.keywords_by_similarity(settle(topics.fold_small(views.prose_topics(spark, sf), "label")))
 
 
 def topic_labels(spark, sf):

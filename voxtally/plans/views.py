@@ -115,6 +115,6 @@ def analyzed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prose_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the vector and class of the same number."""
+    """Documents with the vector and class of the same number, null where there is none."""
     vectors = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return documents(spark, sf).select("doc_id", "text").join(vectors, "doc_id")
+    return documents(spark, sf).select("doc_id", "text").join(vectors, "doc_id", "left")
