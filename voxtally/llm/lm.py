@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from voxtally.llm.common import fold
 
 ORDER = 2
+#: Most bytes of text in a block, about.
+BLOCK_BYTES = 10 << 20
 ADDED = 0.1
 #: Pseudo-counts that a context gives to its shorter one.
 MASS = 16.0
@@ -169,11 +171,15 @@ def scored(
     and from those with a null id; the others are held out. Null and empty texts are the end
     token alone. Repeated rows count each. Without any row to learn from every token has the
     base probability of an unknown one. Other columns are not read; an empty table gives an
-    empty result. There are as many buckets as the session has shuffle partitions, and twice
-    as many blocks unless given: a worker holds one block's tokens at a time.
+    empty result. A worker holds one block's tokens at a time, or the keys that all blocks have in
+    one bucket. There are so many blocks that none has more than about ``BLOCK_BYTES`` of text, and
+    half as many buckets; at least as many buckets as the session has shuffle partitions.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or 2 * buckets
+    if blocks is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
+        blocks = max(2 * buckets, -(-size // BLOCK_BYTES))
+        buckets = max(buckets, blocks // 2)
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"),
         (F.coalesce(fold(F.col("doc_id"), folds), F.lit(-1)) != 0).alias("_learn"),
