@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxtally.sources.checkpoints import settle
 
 BINS = 1 << 14
+#: Most languages: with ``BINS`` numbers of eight bytes each they take 64 MB.
+LANGUAGES = 512
 #: Trigrams that a text is worth at most, however long.
 WORTH = 60.0
 #: Pages that a level of the address hierarchy borrows from the one above.
@@ -94,7 +96,8 @@ def trigrams(text: str) -> np.ndarray:
 
 def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages of ``docs`` (text, lang) in order, and the logarithm of the share of each cell.
-    There are as many numbers as languages times ``BINS``, whatever the input."""
+    There are as many numbers as languages times ``BINS``, whatever the input; more than
+    ``LANGUAGES`` different values are an error, as they would not fit a driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -109,6 +112,9 @@ def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     labelled = docs.select("text", "lang").filter("text is not null and lang is not null")
+    found = labelled.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if found > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different values of lang; is it a column of languages?")
     rows = (
         labelled.mapInArrow(run, "lang string, cell long, n long")
         .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
