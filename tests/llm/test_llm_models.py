@@ -167,10 +167,33 @@ def test_gradients():
 def test_every_passage_is_read():
     clean, junk = b"the cat sat on a mat " * 30, b"!!! ### $$$ " * 60
     assert len(quality.passages(clean + junk)) == 3 and len(quality.passages(b"")) == 1
-    assert len(quality.passages(b"w " * 12_800, most=24)) == 24
+    assert len(quality.passages(b"w " * 12_800)) == 100
     assert not np.allclose(quality.passages(clean + junk)[-1], quality.passages(clean)[0])
 
 
+def test_scores_against_a_plain_loop_over_passages():
+    rng = np.random.default_rng(8)
+    bags = [rng.normal(size=(n, quality._FEATURES)).astype("<f2") for n in (1, 5, 12, 2)]
+    model = quality.learn(bags, np.array([0, 1, 1, 0], np.float32), epochs=3)
+    p = {name: np.asarray(layer, float) for name, layer in model.layers.items()}
+    expected = []
+    for bag in bags:
+        codes, energies = [], []
+        for row in bag.astype(float):
+            x = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+            code = [math.tanh(sum(a * b for a, b in zip(x, column)) + bias) for column, bias in zip(p["A"].T, p["a"])]
+            hidden = [
+                math.tanh(sum(c * v for c, v in zip(code, vs))) / (1 + math.exp(-sum(c * u for c, u in zip(code, us))))
+                for vs, us in zip(p["V"].T, p["U"].T)
+            ]
+            codes.append(code)
+            energies.append(math.exp(sum(h * w for h, w in zip(hidden, p["w"]))))
+        mixed = [sum(e * c[i] for e, c in zip(energies, codes)) / sum(energies) for i in range(len(codes[0]))]
+        expected.append(1 / (1 + math.exp(-sum(m * c for m, c in zip(mixed, p["c"])) - p["b"].item())))
+    rows, starts = np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])])
+    assert np.allclose(model.forward(rows, starts)[0], expected, atol=2e-3)
+
+
 def test_every_passage_is_learned_from(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "word " * 20_020), (2, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
@@ -302,6 +325,63 @@ def test_evidence_is_fused(spark, labelled):
     assert all(0.4 < r.confidence <= 1 for r in found.values())
 
 
+def test_posterior_against_plain_loops(spark, labelled):
+    """Every evidence and prior page by page, each without the page itself."""
+    english, german = "the garden and the house", "die katze und der hund"
+    rows = [(i, f"http://{'ab'[i % 2]}.one.de/{i}", f"<html lang=de><p>{german}") for i in range(7)]
+    rows += [(20 + i, f"http://c.two.org/{i}", f"<html lang={'en' if i % 3 else 'de'}><p>{english}") for i in range(6)]
+    rows += [(40, "http://d.one.de/", "<p>xyz"), (41, None, None), (42, "http://10.0.0.1/", "<html lang=qq><p>die the"), (43, "nothing", "<p>der garden")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names, logs = language_id.likelihoods(labelled)
+    size = len(names)
+
+    def softmax(x):
+        raised = [math.exp(v - max(x)) for v in x]
+        return [r / sum(raised) for r in raised]
+
+    read = []
+    for page, url, html in rows:
+        declared, text = language_id.visible_text(html or "")
+        cells = language_id.trigrams(text)
+        weight = language_id.WORTH / (len(cells) + language_id.WORTH)
+        found = [sum(logs[k][c] for c in cells) * weight for k in range(size)]
+        declared = declared if declared in names or not declared else "?"
+        read.append((page, language_id.address(url or ""), declared, found, softmax(found)))
+
+    def total(keep):
+        return [sum(r[4][k] for r in read if keep(r)) for k in range(size)]
+
+    def smoothed(counts, above):
+        return [(c + language_id.BORROWED * a) / (sum(counts) + language_id.BORROWED) for c, a in zip(counts, above)]
+
+    every = [t + 0.5 for t in total(lambda r: True)]
+    overall = [t / sum(every) for t in every]
+    suffixes = len({r[1][2] for r in read})
+    expected = {}
+    for page, (host, domain, suffix), declared, found, soft in read:
+        place = total(lambda r: r[1] == (host, domain, suffix))
+        around = [max(d - h, 0) for d, h in zip(total(lambda r: r[1][1] == domain), place)]
+        prior = smoothed([max(h - s, 0) for h, s in zip(place, soft)], smoothed(around, overall))
+        said, own = total(lambda r: r[2] == declared), total(lambda r: r[1][2] == suffix)
+        logs_ = [
+            f + (math.log((said[k] + 0.5) / (every[k] + 0.5 * (size + 1))) if declared else 0)
+            + (math.log((max(own[k] - soft[k], 0) + 0.5) / (every[k] + 0.5 * suffixes)) if suffix else 0)
+            + math.log(prior[k])
+            for k, f in enumerate(found)
+        ]
+        expected[page] = softmax(logs_)
+    for r in language_id.identify(pages, labelled).collect():
+        assert r.confidence == pytest.approx(max(expected[r.page_id]), abs=1e-9)
+        assert r.lang == names[expected[r.page_id].index(max(expected[r.page_id]))]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    docs = spark.createDataFrame([("text", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.likelihoods(docs)
+
+
 def test_languages_of_nothing(spark, labelled):
     pages = spark.createDataFrame([(1, "http://a.de", "<p>x")], "page_id long, url string, html string")
     nobody = language_id.identify(pages, labelled.limit(0)).collect()

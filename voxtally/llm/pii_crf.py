@@ -160,16 +160,8 @@ def _counted(text: str) -> Counter:
     return out
 
 
-def potentials(docs: DataFrame, sample: int | None = None) -> Potentials:
-    """From all documents, null ids and repeated rows too; with ``sample`` from that many, those
-    whose ids have the least hashes."""
-    chosen = docs.select("text")
-    if sample is not None:
-        ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = docs.select("doc_id", "text").join(
-            F.broadcast(ids.limit(sample).distinct()), "doc_id", "left_semi"  # ``sample`` ids at most
-        ).select("text")
-
+def potentials(docs: DataFrame) -> Potentials:
+    """From all documents, null ids and repeated rows too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
         for batch in batches:
@@ -181,7 +173,7 @@ def potentials(docs: DataFrame, sample: int | None = None) -> Potentials:
             "n": pa.array(list(total.values()), pa.int64()),
         })
 
-    counted = chosen.mapInArrow(run, "what string, label int, n long")
+    counted = docs.select("text").mapInArrow(run, "what string, label int, n long")
     shape, chain, skip = {}, np.ones((OTHER + 1, OTHER + 1)), np.ones(2)
     for what, label, n in counted.groupBy("what", "label").agg(F.sum("n")).collect():
         kind, _, rest = what.partition(" ")

@@ -50,13 +50,10 @@ def _statistics(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def passages(text: bytes | None, words: int = WORDS, most: int | None = None) -> np.ndarray:
-    """A row of statistics for each run of ``words`` words, one for no words at all. Of more
-    than ``most`` only that many are taken, evenly spread."""
+def passages(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """A row of statistics for each run of ``words`` words, one for no words at all."""
     tokens = (text or b"").split()
     starts = range(0, max(1, len(tokens)), words)
-    if most is not None and len(starts) > most:
-        starts = [starts[i * len(starts) // most] for i in range(most)]
     return np.stack([_statistics(tokens[s : s + words]) for s in starts])
 
 
