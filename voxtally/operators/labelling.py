@@ -228,14 +228,15 @@ def read_answers(chunks: DataFrame) -> DataFrame:
 # -- learned ------------------------------------------------------------------
 
 def fit_classifier(
-    labelled: DataFrame, text: str, target: str, features: int = 1 << 14, max_iter: int = 20
+    labelled: DataFrame, text: str, target: str, features: int = 1 << 14, max_iter: int = 20,
+    reg: float = 0.1,
 ) -> PipelineModel:
     """TF-IDF and logistic regression on a numeric target column."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{M}]+", gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_tfidf"),
-        LogisticRegression(featuresCol="_tfidf", labelCol=target, maxIter=max_iter, regParam=0.1),
+        LogisticRegression(featuresCol="_tfidf", labelCol=target, maxIter=max_iter, regParam=reg),
     ]).fit(labelled)
 
 

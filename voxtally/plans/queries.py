@@ -13,7 +13,7 @@ from voxtally import constants as K
 from voxtally.functions import pii
 from voxtally.functions import vectors as V
 from voxtally.functions import lexical as L
-from voxtally.functions.text import TOKEN, tokens
+from voxtally.functions.text import TOKEN
 from voxtally.operators import (
     burnout, cutting, labelling, masking, merge, report, retrieval, stats, synth, text_index, topics, validate,
     vector_index,
@@ -160,9 +160,9 @@ def embed_cache_reads(spark, sf):
         return lambda misses: misses.withColumn("vec", F.array(F.length("text"), F.lit(run)).cast("array<double>"))
 
     first = docs.join(_has_label(spark, sf), "doc_id", "left_semi")
-    tables.with_vectors(spark, first, path, "length", encode(1))
-    tables.compact_cache(spark, path)
-    found = tables.with_vectors(spark, docs, path, "length", encode(2))
+    tables.with_vectors(spark, first, path, "length", encode(1), digits=1)
+    tables.compact_cache(spark, path, digits=1)
+    found = tables.with_vectors(spark, docs, path, "length", encode(2), digits=1)
     return found.select("doc_id", F.get("vec", F.lit(0)).alias("length"), F.get("vec", F.lit(1)).alias("run"))
 
 
@@ -451,15 +451,14 @@ def lead_sentence(spark, sf):
 
 
 def sentiment_model(spark, sf):
-    """Predictions of models that did not see a row's fold. The target, whether a text has the commonest
-    English word, follows from the text."""
-    docs = views.documents(spark, sf).select("doc_id", "text")
-    target = F.array_contains(tokens(F.col("text")), "the").cast("int")
-    found = labelling.cross_fit(docs.withColumn("target", target), "doc_id", "text", "target", max_iter=10)
+    """Predictions of models that did not see a row's fold. The target, whether a text is English,
+    follows from the text."""
+    docs = views.documents(spark, sf).select("doc_id", "text", (F.col("lang") == "en").cast("int").alias("target"))
+    found = labelling.cross_fit(docs, "doc_id", "text", "target", max_iter=10)
     right = F.count_if(F.col("predicted") == F.col("target")) / F.count(F.lit(1))
     return found.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("target").alias("ones"),
-        (right >= 0.95).alias("most_right"), (F.avg("calibrated") >= 0.9).alias("sure"),
+        (right >= 0.85).alias("most_right"), (F.avg("calibrated") >= 0.8).alias("sure"),
     )
 
 

@@ -79,16 +79,19 @@ def cache_misses(texts: DataFrame, cache: DataFrame, encoder: str, text: str = "
     )
 
 
-def cached(spark: SparkSession, path: str, encoder: str, keys: DataFrame) -> DataFrame | None:
+def cached(
+    spark: SparkSession, path: str, encoder: str, keys: DataFrame, digits: int = PREFIX
+) -> DataFrame | None:
     """The rows of the cache at ``path`` in the folders of ``keys`` (text_hash), None without a cache.
 
-    The cache has a folder for each encoder and each ``PREFIX`` of hashes; of the batch only the
-    prefixes that occur, at most 256, come to the driver, and the scan leaves other folders out.
+    The cache has a folder for each encoder and the first ``digits`` of hashes, the same number
+    whenever it is used; of the batch only those that occur, at most 256 for two digits, come to the
+    driver, and the scan leaves other folders out.
     """
     cache = read_if_there(spark, path)
     if cache is None:
         return None
-    prefix = F.substring("text_hash", 1, PREFIX)
+    prefix = F.substring("text_hash", 1, digits)
     wanted = [r[0] for r in keys.select(prefix.alias("p")).distinct().collect()]
     # Names of folders are read as text or as numbers, as they look.
     return cache.filter((F.col("encoder").cast("string") == encoder) & F.col("prefix").cast("string").isin(
@@ -96,8 +99,8 @@ def cached(spark: SparkSession, path: str, encoder: str, keys: DataFrame) -> Dat
     ))
 
 
-def _append(vectors: DataFrame, path: str, mode: str = "append") -> None:
-    folder = F.concat(F.lit("h"), F.substring("text_hash", 1, PREFIX)).alias("prefix")
+def _append(vectors: DataFrame, path: str, digits: int, mode: str = "append") -> None:
+    folder = F.concat(F.lit("h"), F.substring("text_hash", 1, digits)).alias("prefix")
     rows = vectors.select("text_hash", "vec", "encoder", folder)
     rows.hint("rebalance", "encoder", "prefix").write.mode(mode).option(
         "partitionOverwriteMode", "dynamic"
@@ -111,6 +114,7 @@ def with_vectors(
     encoder: str,
     encode: Callable[[DataFrame], DataFrame],
     text: str = "text",
+    digits: int = PREFIX,
 ) -> DataFrame:
     """Adds ``vec``; texts not in the cache at ``path`` are encoded and appended first.
 
@@ -120,23 +124,23 @@ def with_vectors(
     """
     keyed = texts.withColumn("text_hash", text_key(text))
     keys = settle(keyed.filter(F.col("text_hash").isNotNull()).select("text_hash").distinct())
-    known = cached(spark, path, encoder, keys)
+    known = cached(spark, path, encoder, keys, digits)
     if known is None:
         known = spark.createDataFrame([], "encoder string, text_hash string")
     misses = cache_misses(texts.filter(F.col(text).isNotNull()), known, encoder, text)
-    _append(encode(misses).select(F.lit(encoder).alias("encoder"), "text_hash", "vec"), path)
+    _append(encode(misses).select(F.lit(encoder).alias("encoder"), "text_hash", "vec"), path, digits)
     # Two runs at a time may both have encoded a text.
-    vectors = cached(spark, path, encoder, keys).select("text_hash", "vec").dropDuplicates(["text_hash"])
+    vectors = cached(spark, path, encoder, keys, digits).select("text_hash", "vec").dropDuplicates(["text_hash"])
     return lookup_join(keyed, vectors, "text_hash").drop("text_hash")
 
 
-def compact_cache(spark: SparkSession, path: str) -> None:
+def compact_cache(spark: SparkSession, path: str, digits: int = PREFIX) -> None:
     """Rewrites each folder of the cache at ``path`` in few files with each text once. Nothing else
     may write to it meanwhile; what a failure loses is encoded anew when it is wanted."""
     cache = read_if_there(spark, path)
     if cache is not None:
         rows = settle(cache.withColumn("encoder", F.col("encoder").cast("string")).dropDuplicates(["encoder", "text_hash"]))
-        _append(rows, path, "overwrite")
+        _append(rows, path, digits, "overwrite")
 
 
 # -- topic models ---------------------------------------------------------------
