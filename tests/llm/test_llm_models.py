@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from tests.conftest import SMALL
 from voxtally.llm import language_id, lm, quality, toxicity
@@ -282,6 +283,44 @@ def test_toxicity_of_odd_input(spark):
     assert toxicity.scored(docs.limit(0), toxicity.fit(docs, labels.limit(0))).collect() == []
 
 
+def slow_features(text, grammar):
+    """The features of a text, each match decided by looking over the whole clause again."""
+    out, size, matched = [0.0] * 12, 0, 0
+    for tokens in toxicity.clauses(text):
+        size += len(tokens)
+        best = 0.0
+        for i, token in enumerate(tokens):
+            weight = max([w for b, w in grammar.insults.items() if (token + toxicity.END).startswith(b)], default=0.0)
+            weight = max(weight, 0.0)
+            if weight == 0 and token not in toxicity.THREATS:
+                continue
+            before = tokens[:i]
+            quoted = sum(t in toxicity.QUOTES for t in before) % 2 == 1
+            if quoted or any(t in toxicity.REPORTS and t not in toxicity.NEGATIONS for t in before):
+                way = 3
+            elif any(t in toxicity.NEGATIONS for t in before[-toxicity.REACH:]):
+                way = 2
+            else:
+                way = 1 if any(t in toxicity.TARGETS for t in tokens) else 0
+            out[way + (0 if weight > 0 else 4)] += weight or 1.0
+            best = max(best, weight)
+        out[8] = max(out[8], best)
+        matched += best > 0
+    out[9], out[10], out[11] = matched, sum(out[:4]) / max(1, size) ** 0.5, size
+    return [math.log1p(x) if n != 8 else x for n, x in enumerate(out)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    "idiot idiots idiotic you not never said wrote kill burn people \" « . ! ; house the dich nicht töten zorn zornig".split()
+), max_size=30))
+def test_matches_against_a_reader_of_whole_clauses(tokens):
+    insults = {"idio": 2.0, "idiots" + toxicity.END: 3.5, "zorn": 1.7}
+    grammar = toxicity.Grammar(insults, np.zeros(12), np.zeros(12), np.ones(12), 0.0)
+    text = " ".join(tokens)
+    assert grammar.marks(text, {}) == pytest.approx(slow_features(text, grammar))
+
+
 # -- languages --------------------------------------------------------------------
 
 def test_visible_text_and_addresses():
