@@ -619,7 +619,7 @@ def urgent_rows(spark, sf):
 def business_counters(spark, sf):
     masked = masking.mask(validate.valid(_checked(spark, sf)))
     scored = burnout.score(views.with_drawn_labels(masked))
-    reports = report.report(_settled_counts(spark, sf), tables.kb_seed(spark))
+    reports = stats.totals(_settled_counts(spark, sf)).filter("total > 0")  # a cohort of any size has one
     return stats.business_counters(
         scored.withColumnRenamed("risk_level", "burnout_risk_level"), reports
     )
