@@ -97,6 +97,12 @@ def test_one_text(text):
     assert [(x >> 32, x & 0xFFFFFFFF) for x in aligned.pairs().tolist()] == links
 
 
+@pytest.mark.parametrize("text", ["a ", " ", "  ", "a  ", "a\n ", " a", "a  b ", "中 ", "\n", "a\t \t", "x\x00 "])
+def test_spaces_at_the_ends(text):
+    (ids,) = PAIR.encode([text.encode()])
+    assert [x.tolist() for x in ids] == list(slow(text)[:2]) and len(ids[0])
+
+
 def test_blocks_come_back():
     columns = [np.array([5, 1 << 40, 7]), np.array([1, 2], "<i4"), np.zeros(0, "<i4")]
     assert [c.tolist() for c in al._unpacked(al._packed(*columns))] == [c.tolist() for c in columns]

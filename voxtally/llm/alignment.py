@@ -89,6 +89,8 @@ class Pair:
             new = [i for i, known in enumerate(found) if known is None]
             coded = self.b.encode([words[i][1:].decode() for i in new], num_threads=1)
             for i, ids in zip(new, coded):
+                if words[i] == b" ":  # at the end of a text; B adds no space to nothing
+                    ids = [self.b.piece_to_id("▁")]
                 same = b"".join(map(self.bytes_b.__getitem__, ids)) == words[i]
                 found[i] = array("I", ids).tobytes() if same else b""
                 if len(words[i]) <= LONGEST:
