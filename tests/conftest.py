@@ -15,6 +15,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
