@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from tests.conftest import plan_of
@@ -132,3 +133,13 @@ def test_whole_records_are_not_shuffled(spark, tmp_path, small_splits):
     assert "Union" in plan
     first = plan.split("Union")[1].split("\n")[1:6]
     assert not any("Exchange" in line for line in first)
+
+
+def test_a_worker_takes_a_batch_in_parts():
+    """However large a batch is, a limited part of it becomes Python's strings at a time."""
+    texts = ["x" * 5000] * 2000 + ["y"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["value"])
+    parts = list(split_records._parts(iter([batch, batch.slice(0, 0), batch.slice(10, 3)])))
+    assert [v for p in parts for v in p.column("value").to_pylist()] == texts + texts[10:13]
+    assert max(map(len, parts)) <= split_records.LINES
+    assert max(sum(map(len, p.column("value").to_pylist())) for p in parts) <= 4 * split_records.PART_BYTES
