@@ -295,3 +295,12 @@ def test_cross_fitting_predicts_unseen_rows(spark):
     assert abs(told.agg(F.avg("calibrated")).first()[0] - share) < 0.1
     one = labelling.cross_fit(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, text string, y int"), "id", "text", "y")
     assert {r["predicted"] for r in one.collect()} == {1}
+
+
+def test_a_batch_of_chunks_is_asked_a_few_at_a_time(spark):
+    """Batches arrive as Arrow's and are not turned into one table of Python's strings."""
+    rows = asked_rows(spark, 701, 2)
+    given = labelling.ask_model(rows, lambda asked: str(len(asked)), chunk=3)
+    assert "MapInArrow" in plan_of(given) and "MapInPandas" not in plan_of(given)
+    found = sorted((r["chunk"], len(r["ids"]), r["raw"]) for r in given.collect())
+    assert found == [(c, 3, "3") for c in range(233)] + [(233, 2, "2")]

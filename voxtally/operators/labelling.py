@@ -3,7 +3,7 @@
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -23,6 +23,8 @@ from voxtally.sources.tables import read_if_there
 
 #: Chunks that a task asks for where answers are kept: what a lost executor loses.
 TASK_CHUNKS = 4
+#: Chunks whose texts a worker has as Python's strings at a time.
+ASKED = 8
 
 
 # -- lexicon ----------------------------------------------------------------
@@ -173,12 +175,16 @@ def _answered(chunks: DataFrame, fn, attempts: int, wait_seconds: float) -> Data
                     time.sleep(wait_seconds)
         return None
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    several = ASKED  # the function travels whole
+
+    # A batch may hold thousands of chunks: only a few are Python's strings at a time.
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [answer(i, t) for i, t in zip(batch["ids"], batch["texts"])]
-            yield batch[["chunk", "ids", "key"]].assign(raw=raw)
+            for part in (batch.slice(i, several) for i in range(0, len(batch), several)):
+                raw = [answer(i, t) for i, t in zip(part.column("ids").to_pylist(), part.column("texts").to_pylist())]
+                yield part.select(["chunk", "ids", "key"]).append_column("raw", pa.array(raw, pa.string()))
 
-    return chunks.mapInPandas(ask, "chunk long, ids array<string>, key string, raw string")
+    return chunks.mapInArrow(ask, "chunk long, ids array<string>, key string, raw string")
 
 
 def ask_model(
