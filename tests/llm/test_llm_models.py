@@ -435,3 +435,16 @@ def test_languages_of_pages(spark):
     plain = pages.selectExpr("page_id", "cast(null as string) url", "regexp_replace(html, '<html[^>]*>', '<html>') html")
     rows = language_id.identify(plain, docs).collect()  # by text alone
     assert sum(r.lang == declared[r.page_id] for r in rows) >= 0.98 * len(rows)
+
+
+def test_a_block_orders_no_single_words(monkeypatch):
+    """Words are numbered as they are read: what is put in order are longer n-grams and different keys."""
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(lm.np, "unique", lambda x, **k: sizes.append(len(x)) or unique(x, **k))
+    text = b"one two three two one " * 200
+    block = lm.Block([_Scalar(text), _Scalar(None), _Scalar(b"One x")], 2)
+    tokens = 1000 + 1 + 1 + 3
+    assert len(block.at) == 2 * tokens + 1 and sum(sizes) <= tokens + 2 * len(block.keys)
+    read = lm.Reader()
+    words = np.concatenate([read(t) for t in (text, None, b"One x")])
+    assert block.keys[block.at[:tokens]].tolist() == lm._mix(np.zeros(1, np.uint64), words).tolist()

@@ -31,6 +31,8 @@ from voxtally.llm.common import fold
 ORDER = 2
 #: Most bytes of text in a block, about.
 BLOCK_BYTES = 10 << 20
+#: Words that a worker remembers while it counts.
+WORDS = 1 << 20
 ADDED = 0.1
 #: Pseudo-counts that a context gives to its shorter one.
 MASS = 16.0
@@ -45,22 +47,32 @@ def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Words numbered as they come; the end token is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Reader:
-    """Turns texts into word hashes, remembering those of words seen before."""
+    """Turns texts into word hashes, or into numbers of words by which ``hashes`` has these."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers({_END: 0})
         self.end, self.start = xxhash.xxh64_intdigest(_END), xxhash.xxh64_intdigest(_START)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
+        numbers = self.numbers(text)
+        return self.hashes()[numbers]
+
+    def numbers(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()
-        hashes = list(map(self.known.get, words))
-        if None in hashes:
-            for i, h in enumerate(hashes):
-                if h is None:
-                    hashes[i] = self.known[words[i]] = xxhash.xxh64_intdigest(words[i])
-        hashes.append(self.end)
-        return np.array(hashes, np.uint64)
+        words.append(_END)
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.known), np.uint64, len(self.known))
 
 
 class Block:
@@ -68,17 +80,20 @@ class Block:
 
     def __init__(self, texts, order: int):
         read = Reader()
-        parts = [read(t.as_py()) for t in texts]
+        parts = [read.numbers(t.as_py()) for t in texts]
+        table = read.hashes()
         read.known.clear()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        numbers = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        words = table[numbers]
         del parts
         self.starts = np.cumsum(sizes) - sizes
         self.sizes, self.order = sizes, order
         place = (np.arange(len(words)) - np.repeat(self.starts, sizes)).astype(np.int32)
         zero = np.zeros(1, np.uint64)
         self.start_key = _mix(zero, np.array([read.start], np.uint64))
-        grams = [_mix(np.zeros(1, np.uint64), words)]
+        single = _mix(zero, table if len(numbers) else table[:0])
+        grams = [single[numbers]]
         self.has = [np.ones(len(words), bool)]
         for n in range(2, order + 1):
             before = np.concatenate((zero, grams[-1][:-1]))
@@ -86,10 +101,17 @@ class Block:
                 before[place == 0] = self.start_key[0]
             grams.append(_mix(before, words))
             self.has.append(place >= n - 2)
-        keys = np.concatenate([*(g[h] for g, h in zip(grams, self.has)), self.start_key])
+        # Single words are different already; only longer n-grams are put in order, each length by itself.
+        different, places = [single], [numbers]
+        for n in range(1, order):
+            keys, at = np.unique(grams[n][self.has[n]], return_inverse=True)
+            different.append(keys)
+            places.append(at.astype(np.int32))  # a block has fewer keys than that by far
         del grams, words, place
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.at = at.astype(np.int32)  # a block has fewer keys than that by far
+        self.keys, at = np.unique(np.concatenate([*different, self.start_key]), return_inverse=True)
+        at = at.astype(np.int32)
+        ends = np.cumsum([0, *map(len, different)])
+        self.at = np.concatenate([*(at[e : e + len(d)][p] for e, d, p in zip(ends, different, places)), at[-1:]])
 
     def trained(self, learn: np.ndarray) -> np.ndarray:
         """How often each key occurs in the documents to learn from."""
@@ -148,8 +170,11 @@ def token_totals(rows: DataFrame) -> tuple[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader()
         for batch in batches:
-            parts = [read(t.as_py()) for t in batch.column("_text")]
-            words, counts = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+            parts = [read.numbers(t.as_py()) for t in batch.column("_text")]
+            counts = np.bincount(np.concatenate(parts or [np.zeros(0, np.int32)]), minlength=len(read.known))
+            words, counts = read.hashes()[counts > 0], counts[counts > 0]
+            if len(read.known) > WORDS:
+                read = Reader()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"]
             )
