@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -110,6 +111,31 @@ def test_key_phrases_against_brute_force(spark):
     assert got == want
 
 
+def test_key_phrases_stay_in_their_block(spark):
+    """No phrase is shuffled with its text's id: only texts, and a block's different phrases there and
+    back. Neither blocks nor several rows of one id change the result."""
+    plan = plan_of(labelling.key_phrases(spark.createDataFrame([(1, "some words")], "id int, text string"), "id"))
+    dealt = re.findall(r"Exchange (?:hash|range)partitioning\(([^)]*)", plan)
+    assert len(dealt) == 1 and dealt[0].startswith("term#") and "_hash" not in dealt[0]
+    draw = random.Random(7)
+    words = ["shared", "common"] * 6 + [f"{a}{b}word" for a in "abcdef" for b in "ghij"]
+    texts = [(i if i % 9 else None, " ".join(draw.choices(words, k=i % 13))) for i in range(120)]
+    texts += [(7, "shared dgword, chword dgword"), (500, None), (501, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    counted = {}
+    for i, text in texts:
+        found = re.findall("[a-z]+", text or "")
+        counted.setdefault(i, Counter()).update(found + [f"{a} {b}" for a, b in zip(found, found[1:])])
+    df_ = Counter(p for c in counted.values() for p in c)
+    want = {}
+    for i, c in counted.items():
+        best = sorted(c, key=lambda p: (-round(c[p] * math.log(len(texts) / df_[p]), 6), p))[:4]
+        want |= {(i, r): p for r, p in enumerate(best, 1)}
+    for block in (60, 700, 10**6):
+        found = labelling.key_phrases(df, "id", block=block)
+        assert {(r["id"], r["rank"]): r["phrase"] for r in found.collect()} == want
+
+
 # -- answers of an external model ---------------------------------------------------
 
 FALLBACK = {

@@ -25,6 +25,8 @@ from voxtally.sources.tables import read_if_there
 TASK_CHUNKS = 4
 #: Chunks whose texts a worker has as Python's strings at a time.
 ASKED = 8
+#: Characters of the texts whose phrases a task holds.
+PHRASE_BLOCK = 16_000_000
 
 
 # -- lexicon ----------------------------------------------------------------
@@ -94,9 +96,10 @@ def lexicon_labels(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT
 
 
 def phrases(
-    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, cut: bool = False
+    df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, cut: bool = False,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id, term)`` for every content word of four letters or more and every pair of
+    """``(id, *also, term)`` for every content word of four letters or more and every pair of
     neighbouring ones, as often as they occur. With ``cut``, of the column ``tokens`` (see
     ``cutting.with_cut_tokens``), where Han words of two characters count too."""
     def content(name: str):
@@ -104,35 +107,46 @@ def phrases(
         return long | (F.col(name).rlike(r"^\p{IsHan}{2,}$") & L.is_content(name, lexicon, 2)) if cut else long
 
     terms = F.col("tokens") if cut else tokens(F.col(text))
-    words = df.select(id_, terms.alias("_t")).select(
-        id_, F.inline(F.arrays_zip(
+    words = df.select(id_, *also, terms.alias("_t")).select(
+        id_, *also, F.inline(F.arrays_zip(
             F.col("_t").alias("word"), F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))).alias("next")
         ))
     ).filter(content("word"))
     pair = F.when(content("next"), F.concat_ws(" ", "word", "next"))
-    return words.select(id_, F.explode(F.array("word", pair)).alias("term")).filter(
+    return words.select(id_, *also, F.explode(F.array("word", pair)).alias("term")).filter(
         F.col("term").isNotNull()
     )
 
 
 def key_phrases(
     df: DataFrame, id_: str, text: str = "text", lexicon: Lexicon = DEFAULT, n: int = 4,
-    cut: bool = False,
+    cut: bool = False, block: int = PHRASE_BLOCK,
 ) -> DataFrame:
     """The n phrases of each text with the best tf·ln(N/df): ``(id, phrase, rank)``. ``cut`` as in
-    ``phrases``."""
-    # Shuffling the texts by id is cheaper than their phrases, and spares shuffling those
-    # to be counted per text.
-    texts = df.select(id_, "tokens" if cut else text).repartition(id_)
-    per_text = phrases(texts, id_, text, lexicon, cut).groupBy(id_, "term").agg(
+    ``phrases``.
+
+    Texts are dealt once, by id, to blocks of about ``block`` characters, and their phrases stay
+    there. A block asks for the frequencies of its different phrases only, and those found in one
+    text alone are not sent back. A phrase has a row per block at most, however many texts hold it.
+    """
+    size = F.length(F.array_join("tokens", " ") if cut else F.col(text))
+    total, characters = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    blocks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(characters or 0) // block))
+    texts = df.select(
+        id_, "tokens" if cut else text, F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("_block")
+    ).repartitionById(blocks, "_block")
+    per_text = phrases(texts, id_, text, lexicon, cut, ("_block",)).groupBy("_block", id_, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    frequency = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = df.agg(F.count(F.lit(1)))
-    scored = lookup_join(per_text, frequency, "term").withColumn(
-        "score", F.round(F.col("tf") * F.log(total.scalar() / F.col("df")), 6)
+    asked = per_text.groupBy("_block", "term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = asked.select("_block", "term", F.sum("n").over(Window.partitionBy("term")).alias("df")).filter(
+        "df > 1"
+    ).repartitionById(blocks, "_block")
+    # A block's frequencies fit a hash table, which spares putting all its phrases in order.
+    scored = per_text.join(frequency.hint("shuffle_hash"), ["term", "_block"], "left").withColumn(
+        "score", F.round(F.col("tf") * F.log(F.lit(total) / F.coalesce("df", F.lit(1))), 6)
     )
-    best = Window.partitionBy(id_).orderBy(F.desc("score"), "term")
+    best = Window.partitionBy(id_, "_block").orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= n)
