@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import plan_of, survey
-from voxtally.operators import topics, validate
+from voxtally.operators import labelling, topics, validate
 from voxtally.plans import analysis
 from voxtally.schemas import ANALYZED_FIELDS
 from voxtally.sources import tables
@@ -64,6 +65,35 @@ def test_topics_only_with_ten_records(spark):
         assert set(r["topic_keywords"]) == words
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_a_topic_run_masks_and_labels_every_record_once(spark, unique):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    once = F.udf(read, "string").asNondeterministic()
+
+    def label(rows):
+        return labelling.lexicon_labels(rows.withColumn("anonymized_text", once("anonymized_text")), "anonymized_text")
+
+    many = survey(spark, [
+        (i, f"r{i}", "salary bonus pay" if i % 2 else "laptop software tools") for i in range(40)
+    ])
+    got = analysis.analyze(many, label, run_topics=True, unique_ids=unique).collect()
+    assert len(got) == 40 and len({(r["pos"] % 2, r["topic_id"]) for r in got if r["topic_id"] >= 0}) == 2
+    assert seen.value == 40
+
+
+def test_answers_are_dealt_to_as_many_tasks_for_each_core(spark, monkeypatch):
+    rows = survey(spark, [(i, f"r{i}", "x" * 100) for i in range(10)])
+    cores = spark.sparkContext.defaultParallelism
+    assert analysis._tasks(rows) == analysis._tasks(rows.limit(0)) == cores
+    monkeypatch.setattr(analysis, "TOPIC_TASK", 60)
+    assert analysis._tasks(rows) == cores * -(-1000 // (cores * 60))
+
+
 def test_report_on_a_cohort(spark, sample):
     row = analysis.report_on(analysis.analyze(sample), tables.kb_seed(spark)).first()
     assert row["total_responses"] == 3 and len(row["key_findings"]) == 5

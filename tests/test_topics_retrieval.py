@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
@@ -95,6 +96,16 @@ def test_encoder_and_stored_model(spark, tmp_path):
     assert [r["features"] for r in topics.encode(model, texts).collect()] == before
 
 
+def test_encoder_and_vectors_of_one_reading(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "pay bonus pay" if i % 2 else f"team spirit {'abc'[i % 3]}") for i in range(9)], "id int, text string")
+    encoder, vectors = topics.fit_encode(texts, "id")
+    want = {r["id"]: r["features"] for r in topics.encode(topics.fit_encoder(texts), texts).collect()}
+    assert {r["id"]: r["features"] for r in vectors.collect()} == want
+    encoder.save(str(tmp_path / "encoder"))
+    stored = topics.encode(PipelineModel.load(str(tmp_path / "encoder")), texts)
+    assert {r["id"]: r["features"] for r in stored.collect()} == want
+
+
 def test_enough_rows(spark):
     assert topics.enough_rows(spark.range(10)) and not topics.enough_rows(spark.range(9))
 

@@ -17,15 +17,37 @@ from voxtally.sources.checkpoints import settle
 
 # -- vectors and clusters -------------------------------------------------------
 
-def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 18) -> PipelineModel:
-    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out, which stays sparse:
-    it has as many numbers as the text has different words."""
-    return Pipeline(stages=[
+def _encoder_stages(text: str, features: int) -> tuple[list, list]:
+    """What counts a text's words, and what weighs the counts."""
+    return [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+    ], [
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
-    ]).fit(texts)
+    ]
+
+
+def fit_encoder(texts: DataFrame, text: str = "text", features: int = 1 << 18) -> PipelineModel:
+    """Hashed TF-IDF scaled to length 1: text in, ``features`` vector out, which stays sparse:
+    it has as many numbers as the text has different words."""
+    count, weigh = _encoder_stages(text, features)
+    return Pipeline(stages=count + weigh).fit(texts)
+
+
+def fit_encode(
+    texts: DataFrame, id_: str, text: str = "text", features: int = 1 << 18
+) -> tuple[PipelineModel, DataFrame]:
+    """``fit_encoder`` and the settled ``(id, features)`` of the texts it was fitted on, whose words
+    are read once for both."""
+    count, weigh = _encoder_stages(text, features)
+    counted = PipelineModel(stages=count).transform(texts).select(id_, "_tf").persist()
+    try:
+        weights = Pipeline(stages=weigh).fit(counted)
+        vectors = settle(weights.transform(counted).select(id_, "features"))
+    finally:
+        counted.unpersist()
+    return PipelineModel(stages=count + weights.stages), vectors
 
 
 def encode(encoder: PipelineModel, texts: DataFrame) -> DataFrame:
@@ -114,9 +136,9 @@ def term_scores(docs: DataFrame, topic: str = "topic_id", text: str = "text") ->
     words overall. ``(topic, term, tf, score)``.
 
     The tokens are combined before the first shuffle; afterwards a term's rows number
-    no more than the topics.
+    no more than the topics. They are settled, so that the mean does not count all words again.
     """
-    counted = (
+    counted = settle(
         docs.select(topic, F.explode(tokens(F.col(text))).alias("term"))
         .filter(F.length("term") >= 2)
         .groupBy(topic, "term")
@@ -307,9 +329,10 @@ def fit(
         Summarizer.mean(F.col("features")).alias("centroid")
     )
     named = labels(keywords(members.select(id_, "topic_id").join(texts, id_)))
-    return members, named.join(centres, "topic_id", "left").select(
+    # A row per topic, which several later steps read.
+    return members, settle(named.join(centres, "topic_id", "left").select(
         "topic_id", "centroid", "topic_label", "topic_keywords"
-    )
+    ))
 
 
 def _described(near: DataFrame, topics: DataFrame, id_: str) -> DataFrame:

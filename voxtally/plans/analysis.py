@@ -12,6 +12,9 @@ from voxtally.sources.checkpoints import settle
 
 Labeller = Callable[[DataFrame], DataFrame]
 
+#: Characters of the answers that a task of the topic run reads.
+TOPIC_TASK = 100_000_000
+
 
 def lexicon_labeller(rows: DataFrame) -> DataFrame:
     return labelling.lexicon_labels(rows, "anonymized_text")
@@ -64,8 +67,17 @@ def analyze(
         )
     assigned = None
     if run_topics and topics.enough_rows(valid.select("pos")):
-        # Written once: the topic run reads the masked texts several times.
-        texts = settle(rows.groupBy("response_id").agg(F.min("anonymized_text").alias("text")))
+        # Written once: the topic run reads the masked texts several times, and the result once more.
+        rows = rows.select(
+            "pos", "response_id", "department", "anonymized_text", *LABEL_FIELDS,
+            "risk_score", "risk_level", "risk_factors",
+        )
+        if unique_ids:
+            rows = settle(rows.repartition(_tasks(survey), "response_id"))
+            texts = rows.select("response_id", F.col("anonymized_text").alias("text"))
+        else:
+            rows = settle(rows)
+            texts = settle(rows.groupBy("response_id").agg(F.min("anonymized_text").alias("text")))
         try:
             assigned = text_topics(texts)
         except topics.NoTopics as problem:
@@ -73,6 +85,13 @@ def analyze(
     return merge.result(merge.with_topics(rows, assigned))
 
 
+def _tasks(survey: DataFrame) -> int:
+    """Tasks of the topic run, whose every round waits for the last one: as many for each core."""
+    cores = survey.sparkSession.sparkContext.defaultParallelism
+    characters = survey.agg(F.sum(F.length("text"))).first()[0] or 0
+    return cores * max(1, -(-characters // (cores * TOPIC_TASK)))
+
+
 def processed(checked: DataFrame, analyzed: DataFrame) -> DataFrame:
     """``total_processed`` analysed records and the ``validation_errors`` of all records, in one
     row."""
@@ -91,8 +110,11 @@ def text_topics(
     The vectors are written once: clustering reads them again in every round, and must not
     go back to the texts for that, nor start over when an executor is lost.
     """
-    encoder = topics.fit_encoder(texts)
-    vectors = settle(_vectors(encoder, texts, id_, cache))
+    if cache is None:
+        encoder, vectors = topics.fit_encode(texts, id_)
+    else:
+        encoder = topics.fit_encoder(texts)
+        vectors = settle(_vectors(encoder, texts, id_, cache))
     members, found = topics.fit(texts, vectors, id_)
     if path:
         tables.save_topic_model(encoder, found, path)
