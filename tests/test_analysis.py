@@ -141,3 +141,16 @@ def test_gate(spark):
     with pytest.raises(validate.NoValidRecords):
         analysis.analyze(survey(spark, [(0, "a", "")]), gate=True)
     assert analysis.analyze(survey(spark, [(0, "a", "")])).count() == 0
+
+
+def test_an_answer_without_a_word_is_in_no_topic(spark):
+    """Its vector has no length, hence no cosine."""
+    many = survey(spark, [
+        (i, f"r{i}", "salary bonus pay" if i % 2 else "laptop software tools") for i in range(40)
+    ] + [(40, "digits", "12345 67890 2024")])
+    got = rows(analysis.analyze(many, run_topics=True, unique_ids=True))
+    assert got[40]["topic_id"] == -1 and len(got) == 41
+    assert {got[0]["topic_id"], got[1]["topic_id"]} == {0, 1}
+    none = survey(spark, [(i, f"r{i}", f"12345 {10000 + i}") for i in range(12)])
+    with pytest.warns(UserWarning, match="no vector has a length"):
+        assert {r["topic_id"] for r in analysis.analyze(none, run_topics=True).collect()} == {-1}

@@ -62,8 +62,8 @@ def as_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def fit_clusters(
     vectors: DataFrame, n_topics: int = K.N_TOPICS, seed: int = 42, max_iter: int = 20
 ) -> KMeansModel:
-    """At most ``n_topics`` clusters by cosine distance."""
-    features = vectors.select("features").persist()
+    """At most ``n_topics`` clusters by cosine distance, of the vectors that have a length."""
+    features = vectors.filter(_has_length()).select("features").persist()
     try:
         return KMeans(
             k=n_topics, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
@@ -73,6 +73,17 @@ def fit_clusters(
         features.unpersist()
 
 
+def _has_length() -> Column:
+    """Whether ``features`` is not all zeros, as that of a text without a word is: it has no cosine."""
+    return F.exists(F.unwrap_udt("features")["values"], lambda x: x != 0)
+
+
+def clustered(model: KMeansModel, vectors: DataFrame) -> DataFrame:
+    """Adds ``cluster``, null for vectors without a length."""
+    none = vectors.filter(~_has_length()).withColumn("cluster", F.lit(None).cast("int"))
+    return model.transform(vectors.filter(_has_length())).unionByName(none)
+
+
 def density(
     vectors: DataFrame, path: str, k: int = 5, compared: int = 300
 ) -> DataFrame:
@@ -112,10 +123,12 @@ def fold_small(
     cluster: str = "cluster",
     min_size: int = K.MIN_TOPIC_SIZE,
     n_topics: int = K.N_TOPICS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``topic_id``: clusters of at least ``min_size`` rows numbered from 0 by size,
-    at most ``n_topics`` of them; all other rows, those without a cluster too, are -1."""
-    sizes = assigned.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    at most ``n_topics`` of them; all other rows, those without a cluster too, are -1. ``counted`` may give
+    the same clusters in rows that are read sooner."""
+    sizes = (assigned if counted is None else counted).filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.filter(F.col("n") >= min_size).orderBy(F.desc("n"), cluster).limit(n_topics)
     numbered = largest.agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col(cluster))))
@@ -320,15 +333,16 @@ def fit(
     """``(members, topics)`` of texts whose ``features`` are given: ``(id, topic_id, features)``, and
     ``(topic_id, centroid, topic_label, topic_keywords)`` with a row per topic. Outliers have a
     label and no centroid."""
-    if vectors.isEmpty():
-        raise NoTopics("no vectors")
-    members = fold_small(fit_clusters(vectors, n_topics).transform(vectors), n_topics=n_topics).select(
-        id_, "topic_id", "features"
-    )
+    if vectors.filter(_has_length()).isEmpty():
+        raise NoTopics("no vector has a length")
+    assigned = clustered(fit_clusters(vectors, n_topics), vectors)
+    # Small rows: sizes and keywords read them, not the vectors, and no broadcast waits for these.
+    own = settle(assigned.select(id_, "cluster"))
+    members = fold_small(assigned, n_topics=n_topics, counted=own).select(id_, "topic_id", "features")
     centres = members.filter(F.col("topic_id") != K.NO_TOPIC).groupBy("topic_id").agg(
         Summarizer.mean(F.col("features")).alias("centroid")
     )
-    named = labels(keywords(members.select(id_, "topic_id").join(texts, id_)))
+    named = labels(keywords(fold_small(own, n_topics=n_topics).select(id_, "topic_id").join(texts, id_)))
     # A row per topic, which several later steps read.
     return members, settle(named.join(centres, "topic_id", "left").select(
         "topic_id", "centroid", "topic_label", "topic_keywords"
